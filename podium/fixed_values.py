@@ -89,9 +89,8 @@ usd | 1 | usd
 USD | 1 | dollar; dollars
 """
 
-# Scale suffixes of a number cell, tried in this order.
-NUMBER_SCALES = (("trillion|tn|t", 1e12), ("billion|bn|bln|b", 1e9), ("million|mn|mln|m", 1e6),
-                 ("thousand|k", 1e3))
+# Scale suffixes of a number cell (power of ten, words), tried in this order.
+NUMBER_SCALES = ((12, "trillion|tn|t"), (9, "billion|bn|bln|b"), (6, "million|mn|mln|m"), (3, "thousand|k"))
 CURRENCY_SIGNS = "$€£¥₹"
 
 # --- entities ----------------------------------------------------------------------------------------

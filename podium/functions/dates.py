@@ -8,53 +8,50 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fixed
-from .text import _col, clean, matched
+from .text import _col, bind, clean, matched
 
 
-def _parsed(iso: Column, frequency: str, year: Column, month: Column, day: Column) -> Column:
-    key = year.cast("bigint") * 10000 + month * 100 + day
-    return F.struct(iso.alias("iso"), F.lit(frequency).alias("frequency"), key.cast("bigint").alias("sort_key"))
+_MONTH_STARTS = "".join(m[:3] for m in fixed.MONTHS)
+_NAME = "(" + "|".join(m[:3] for m in fixed.MONTHS) + ")[a-z]{0,6}"
+_YEAR, _MONTH, _TIME = r"(-?\d{1,5})", "(0?[1-9]|1[0-2])", "(?:[T ].*)?"
+
+# Spelling -> "kind|year|part|day", in order of preference. The time of day after a T or a space is ignored.
+# A group that took no part in a match is empty, so $1$4 is whichever of the two alternatives matched.
+_REWRITES = (
+    (rf"(?s)^{_YEAR}[-/.](\d{{1,2}})[-/.](\d{{1,2}}).*$", "D|$1|$2|$3"),
+    (rf"(?i)^(?:{_YEAR}[-/ ]?Q([1-4])|Q([1-4])[-/ ]?{_YEAR})$", "Q|$1$4|$2$3|1"),
+    (rf"(?s)^(?:{_YEAR}[-/.]{_MONTH}{_TIME}|{_MONTH}[-/.]{_YEAR}{_TIME}|(?i:{_NAME}[ ,\-]+{_YEAR}|{_YEAR}[ ,\-]+{_NAME}))$",
+     "M|$1$4$6$7|$2$3$5$8|1"),
+    (rf"(?s)^{_YEAR}{_TIME}$", "A|$1|1|1"),
+)
 
 
 def parse_date(c: Column | str) -> Column:
     """``struct(iso, frequency, sort_key)`` of a date spelling, or null.
 
     Full dates win over quarters, quarters over months, months over years. Full dates match as a prefix and
-    their month and day are not range-checked (see ``is_calendar_date``).
+    their month and day are not range-checked (see ``is_calendar_date``). The spelling is rewritten step by step
+    into one form, so each pattern runs once per row and the generated code stays small.
     """
-    text = clean(c)
-    head = clean(F.regexp_extract(text, r"^([^T ]*)", 1))
-    one = F.lit(1)
-
-    def part(source: Column, rule: str, group: int) -> Column:
-        return matched(source, rule, group).cast("int")
-
-    def monthly(year: Column, month: Column) -> Column:
-        return _parsed(F.format_string("%04d-%02d", year, month), "monthly", year, month, one)
-
-    def quarterly(year: Column, quarter: Column) -> Column:
-        return _parsed(F.format_string("%04d-Q%d", year, quarter), "quarterly", year, quarter * 3 - 2, one)
-
-    number = F.create_map(*[F.lit(v) for i, m in enumerate(fixed.MONTHS) for v in (m[:3], i + 1)])
-
-    def named(source: Column, rule: str, group: int) -> Column:
-        return F.try_element_at(number, F.lower(F.substring(F.regexp_extract(source, rule, group), 1, 3)))
-
-    full = r"^(-?\d{1,5})[-/.](\d{1,2})[-/.](\d{1,2})"
-    year_quarter, quarter_year = r"^(-?\d{1,5})[-/ ]?[qQ]([1-4])$", r"^[qQ]([1-4])[-/ ]?(-?\d{1,5})$"
-    year_month, month_year = r"^(-?\d{1,5})[-/.](0?[1-9]|1[0-2])$", r"^(0?[1-9]|1[0-2])[-/.](-?\d{1,5})$"
-    name_year, year_name = r"(?i)^([a-z]{3,9})[ ,\-]+(-?\d{1,5})$", r"(?i)^(-?\d{1,5})[ ,\-]+([a-z]{3,9})$"
-    only_year = r"^(-?\d{1,5})$"
-    y, m, d = (part(head, full, g) for g in (1, 2, 3))
-    alone = part(head, only_year, 1)
-    return (F.when(head.rlike(full), _parsed(F.format_string("%04d-%02d-%02d", y, m, d), "daily", y, m, d))
-            .when(text.rlike(year_quarter), quarterly(part(text, year_quarter, 1), part(text, year_quarter, 2)))
-            .when(text.rlike(quarter_year), quarterly(part(text, quarter_year, 2), part(text, quarter_year, 1)))
-            .when(head.rlike(year_month), monthly(part(head, year_month, 1), part(head, year_month, 2)))
-            .when(head.rlike(month_year), monthly(part(head, month_year, 2), part(head, month_year, 1)))
-            .when(named(text, name_year, 1).isNotNull(), monthly(part(text, name_year, 2), named(text, name_year, 1)))
-            .when(named(text, year_name, 2).isNotNull(), monthly(part(text, year_name, 1), named(text, year_name, 2)))
-            .when(head.rlike(only_year), _parsed(F.format_string("%04d-01-01", alone), "annual", alone, one, one)))
+    text = F.translate(clean(c), "|", "!")
+    for spelling, form in _REWRITES:
+        text = F.regexp_replace(text, spelling, form)
+    return bind(F.split(text, r"\|"), _from_parts)
+
+
+def _from_parts(parts: Column) -> Column:
+    kind, year, day = parts[0], F.get(parts, F.lit(1)).try_cast("int"), F.get(parts, F.lit(3)).try_cast("int")
+    named = F.floor((F.instr(F.lit(_MONTH_STARTS), F.lower(F.substring(F.get(parts, F.lit(2)), 1, 3))) + 2) / 3)
+    part = F.coalesce(F.get(parts, F.lit(2)).try_cast("int"), named.cast("int"))
+    month = F.when(kind == "Q", part * 3 - 2).otherwise(part)
+    iso = (F.when(kind == "D", F.format_string("%04d-%02d-%02d", year, month, day))
+           .when(kind == "Q", F.format_string("%04d-Q%d", year, part))
+           .when(kind == "M", F.format_string("%04d-%02d", year, month))
+           .otherwise(F.format_string("%04d-01-01", year)))
+    frequency = (F.when(kind == "D", F.lit("daily")).when(kind == "Q", F.lit("quarterly"))
+                 .when(kind == "M", F.lit("monthly")).otherwise(F.lit("annual")))
+    key = (year.cast("bigint") * 10000 + month * 100 + day).cast("bigint")
+    return F.when(day.isNotNull(), F.struct(iso.alias("iso"), frequency.alias("frequency"), key.alias("sort_key")))
 
 
 def frequency_of_hint(c: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fixed
@@ -11,6 +13,16 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(c)`` with ``c`` evaluated once per row.
+
+    A Column used in several branches of a CASE is copied into each of them. For a chain of regular expressions
+    that means running the chain again and again, and code too large for the JVM to compile. A lambda variable
+    over a one-element array keeps one copy.
+    """
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def clean(c: Column | str) -> Column:
     """Text without leading and trailing white space of any kind."""
     return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
@@ -48,9 +60,8 @@ def prefixed_slug(prefix: str, c: Column | str, length: int = 60) -> Column:
 
 def strip_corporate_suffix(c: Column | str) -> Column:
     """Drop trailing company-form words; a name made only of them stays as it is."""
-    name = squeeze(c)
-    stripped = clean(F.regexp_replace(name, rf"(?i)(\s*\b({fixed.CORPORATE_SUFFIXES})\.?)+$", ""))
-    return F.coalesce(F.nullif(stripped, F.lit("")), name)
+    forms = rf"(?:\s*\b(?:{fixed.CORPORATE_SUFFIXES})\.?)+$"
+    return F.regexp_replace(squeeze(c), rf"(?i)^(?!{forms})(.*?){forms}", "$1")
 
 
 def _alias_map() -> Column:
@@ -60,8 +71,7 @@ def _alias_map() -> Column:
 
 def alias_name(c: Column | str) -> Column:
     """Display name after the alias table (62 fixed entries, folded into the plan as one literal map)."""
-    name = squeeze(c)
-    return F.coalesce(F.try_element_at(_alias_map(), F.lower(name)), name)
+    return bind(squeeze(c), lambda name: F.coalesce(F.try_element_at(_alias_map(), F.lower(name)), name))
 
 
 def canonical_key(c: Column | str) -> Column:
@@ -91,16 +101,20 @@ def scaled_number(c: Column | str) -> Column:
     The longest numeric prefix counts, as in ``12.5k``; a cell with no leading number has a null value.
     """
     cell = clean(c)
-    bare = F.regexp_replace(F.regexp_replace(cell, rf"[\s,{fixed.CURRENCY_SIGNS}]", ""), "%$", "")
-    scale, digits = F.lit(1.0), bare
-    for words, factor in reversed(fixed.NUMBER_SCALES):
-        ends = bare.rlike(f"(?i)({words})$")
-        scale = F.when(ends, F.lit(factor)).otherwise(scale)
-        digits = F.when(ends, F.regexp_replace(bare, f"(?i)({words})$", "")).otherwise(digits)
-    number = matched(digits, r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?").try_cast("double")
-    blank = (cell == "") | (cell == "-") | cell.rlike("(?i)^n/?a$")
-    value = F.when(~blank & (F.abs(number) < F.lit(float("inf"))), number * scale)
-    return F.struct(value.alias("value"), F.when(cell.endswith("%") & value.isNotNull(), F.lit("percent")).alias("unit_hint"))
+    marked = F.regexp_replace(F.translate(cell, "~" + fixed.CURRENCY_SIGNS + ",", "!"), r"\s+|%$", "")
+    for power, words in fixed.NUMBER_SCALES:
+        marked = F.regexp_replace(marked, f"(?i)({words})$", f"~{power}")
+    marked = F.when(~_col(c).rlike(r"(?i)^\s*n/?a\s*$"), F.concat(marked, F.when(cell.endswith("%"), F.lit("%")).otherwise(F.lit(""))))
+
+    def read(m: Column) -> Column:
+        number = F.regexp_extract(m, r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", 0).try_cast("double")
+        scale = F.lit(1.0)
+        for power, _ in fixed.NUMBER_SCALES:
+            scale = F.when(m.rlike(f"~{power}%?$"), F.lit(float(f"1e{power}"))).otherwise(scale)
+        value = F.when(F.abs(number) < F.lit(float("inf")), number * scale)
+        return F.struct(value.alias("value"), F.when(m.endswith("%") & number.isNotNull(), F.lit("percent")).alias("unit_hint"))
+
+    return bind(marked, read)
 
 
 def _fixed_digits(c: Column, digits: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fixed
-from .text import _col, clean
+from .text import _col, bind, clean
 
 
 def _unit_map() -> Column:
@@ -20,11 +20,13 @@ def _unit_map() -> Column:
 
 def normalize_unit(c: Column | str) -> Column:
     """``struct(canonical, dimension, factor, known)``; blank means count, an unknown unit keeps its spelling."""
-    spelling = clean(F.regexp_replace(F.lower(clean(c)), r"\.+$", ""))
-    unknown = F.struct(spelling.alias("canonical"), F.lit("unknown").alias("dimension"), F.lit(1.0).alias("factor"),
-                       F.lit(False).alias("known"))
-    key = F.when(spelling == "", F.lit("count")).otherwise(spelling)
-    return F.when(spelling.isNotNull(), F.coalesce(F.try_element_at(_unit_map(), key), unknown))
+    def look_up(spelling: Column) -> Column:
+        unknown = F.struct(spelling.alias("canonical"), F.lit("unknown").alias("dimension"), F.lit(1.0).alias("factor"),
+                           F.lit(False).alias("known"))
+        key = F.when(spelling == "", F.lit("count")).otherwise(spelling)
+        return F.when(spelling.isNotNull(), F.coalesce(F.try_element_at(_unit_map(), key), unknown))
+
+    return bind(F.regexp_replace(F.lower(clean(c)), r"\s*\.+$", ""), look_up)
 
 
 def convert_unit(value: Column | str, source: Column | str, target: Column | str) -> Column:
@@ -40,10 +42,13 @@ def convert_unit(value: Column | str, source: Column | str, target: Column | str
 
 def unit_word(c: Column | str) -> Column:
     """``struct(base, multiplier)`` used to compare values given in words of scale; null counts as 'count'."""
-    text = clean(F.coalesce(_col(c), F.lit("count")))
     entries = []
     for base, multiplier, words in fixed.table(fixed.UNIT_WORDS):
         for word in words.split(";"):
             entries += [F.lit(word.strip()), F.struct(F.lit(base).alias("base"), F.lit(float(multiplier)).alias("multiplier"))]
-    as_is = F.struct(F.when(text == "", F.lit("count")).otherwise(text).alias("base"), F.lit(1.0).alias("multiplier"))
-    return F.coalesce(F.try_element_at(F.create_map(*entries), F.lower(text)), as_is)
+
+    def look_up(text: Column) -> Column:
+        as_is = F.struct(F.when(text == "", F.lit("count")).otherwise(text).alias("base"), F.lit(1.0).alias("multiplier"))
+        return F.coalesce(F.try_element_at(F.create_map(*entries), F.lower(text)), as_is)
+
+    return bind(clean(F.coalesce(_col(c), F.lit("count"))), look_up)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fixed
-from .text import _col, clean, matched
+from .text import _col, bind, clean, matched
 
 
 def host_of(c: Column | str) -> Column:
@@ -22,7 +22,7 @@ def normalise_url(c: Column | str) -> Column:
     params = F.split(F.regexp_extract(page, r"\?(.*)$", 1), "&")
     kept = F.filter(params, lambda p: (p != "") & ~F.lower(p).rlike(fixed.TRACKING_PARAMS))
     kept = F.transform(kept, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))))
-    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))
+    query = bind(F.array_join(kept, "&"), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(q))
     web = url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+")
     return F.lower(F.when(web, F.regexp_replace(F.concat(path, query), "/$", "")).otherwise(clean(url)))
 
