@@ -118,7 +118,15 @@ def scaled_number(c: Column | str) -> Column:
 
 
 def _fixed_digits(c: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", c)
+    """Decimal text of the exact binary value; an exact tie rounds away from zero.
+
+    ``format_number`` works on the exact value but sends ties to the even digit. A double is an exact tie at d
+    digits only when 2^(d+1) times it is an odd integer, and that product is exact.
+    """
+    steps = c * F.lit(float(2 ** (digits + 1)))
+    tie = (steps == F.floor(steps)) & (F.abs(steps % 2) == 1)
+    nudged = F.when(tie, c + F.signum(c) * F.lit(0.5 ** (digits + 4))).otherwise(c)
+    return F.replace(F.format_number(nudged, digits), F.lit(","), F.lit(""))
 
 
 def compact_number(c: Column | str) -> Column:

@@ -128,9 +128,9 @@ def explode_names(df: DataFrame, column: str) -> DataFrame:
 
 def name_year_rows(df: DataFrame, entity: str, date: str, value: str) -> DataFrame:
     """(entity, date, value) rows with the date cut to its year; unusable rows are left out."""
-    year = matched(F.col(date), r"(-?\d{1,5})", 1)
-    parsed = scaled_number(value)["value"]
-    rows = df.select(F.col(entity).alias("entity"), year.alias("date"), parsed.alias("value"))
+    year = matched(F.col(date).cast("string"), r"(-?\d{1,5})", 1)
+    parsed = scaled_number(F.col(value).cast("string"))["value"]
+    rows = df.select(F.col(entity).cast("string").alias("entity"), year.alias("date"), parsed.alias("value"))
     return explode_names(rows.filter("date is not null and value > 0"), "entity")
 
 
@@ -144,7 +144,7 @@ def sum_by_name_year(df: DataFrame, entity: str, date: str, value: str, keep: in
 
 def year_end_values(points: DataFrame, scale: float = 1e5) -> DataFrame:
     """Last point of each UTC year 1900..2100 per entity. ``points(entity, ts in seconds, m)``."""
-    year = F.year(F.timestamp_seconds("ts"))
+    year = F.year(F.date_from_unix_date(F.floor(F.col("ts") / 86400).cast("int")))  # UTC whatever the session's zone
     kept = points.withColumn("year", year).filter("year between 1900 and 2100")
     last = kept.groupBy("entity", "year").agg(F.max_by("m", "ts").alias("m"))
     return last.select("entity", "year", F.floor(F.col("m") * scale + 0.5).cast("double").alias("value"))

@@ -215,10 +215,10 @@ def q_money(spark, sf):
     return quality.check_money(meta)
 
 
-@query("q_multi_value", """WITH n AS (SELECT DISTINCT split_part(text, '.', 1) AS name FROM documents) SELECT 'multi-value' AS "check", count(*) FILTER (contains(name, ','))
+@query("q_multi_value", """WITH n AS (SELECT DISTINCT text AS name FROM documents) SELECT 'multi-value' AS "check", count(*) FILTER (contains(name, ','))
  || ' of ' || count(*) AS detail, 1::BIGINT AS n FROM (SELECT DISTINCT regexp_replace(name, '^\\s+|\\s+$', '', 'g') AS name FROM n) WHERE name <> '' HAVING count(*) FILTER (contains(name, ',')) * 2 >= count(*)""")
 def q_multi_value(spark, sf):
-    return quality.check_multi_value(load(spark, sf, "documents").select(F.substring_index("text", ".", 1).alias("entity")))
+    return quality.check_multi_value(load(spark, sf, "documents").select(F.col("text").alias("entity")))
 
 
 @query("q_null_status", _sql("null-status", "ord", "obs WHERE value IS NULL AND coalesce(status <> 'UNKNOWN', true)"))
@@ -393,8 +393,8 @@ def dataset_stats(spark, sf):
     return insight.dataset_stats(_rows(spark, sf).withColumn("entity_id", ascii_slug("entity")))
 
 
-@query("majority_unit", f"""WITH {OBS_DIRTY} SELECT coalesce(nullif({trim('unit')}, ''), 'count') AS unit FROM obs WHERE value IS NOT NULL GROUP BY 1
- ORDER BY count(*) DESC, unit = 'count', min(ord) LIMIT 1""")
+@query("majority_unit", f"""WITH {OBS_DIRTY} SELECT u AS unit FROM (SELECT ord, coalesce(nullif({trim('unit')}, ''), 'count') AS u FROM obs WHERE value IS NOT NULL) GROUP BY u
+ ORDER BY count(*) DESC, u = 'count', min(ord) LIMIT 1""")
 def majority_unit(spark, sf):
     return insight.majority_unit(_rows(spark, sf))
 

@@ -298,9 +298,10 @@ def leaders(spark, sf):
 
 
 @query("last_frame_movers", tape_sql(OBS_USER_DAY) + f""" SELECT entity_id, rank, previous_rank - rank AS rank_delta FROM bars, size_
- WHERE frame_index = n * {STEPS} - 1 AND abs(previous_rank - rank) >= 2""")
+ WHERE frame_index = n * {STEPS} - 1 AND abs(previous_rank - rank) >= 1""")
 def last_frame_movers(spark, sf):
-    return insight.last_frame_movers(_user_tape(spark, sf))
+    ranked = ranking.rank_observations(obs_user_day(spark, sf), N, mover_threshold=1)
+    return insight.last_frame_movers(tape.build_tape(ranked, STEPS))
 
 
 @query("q_ranking", f"""WITH {OBS_ORDERS}, {cells_sql()} SELECT 'ranking' AS "check", sort_key::VARCHAR AS detail, 1 AS n FROM ranks
@@ -347,7 +348,7 @@ def trim_sparse_head(spark, sf):
  FROM mom m ASOF LEFT JOIN seg s ON m.user_id = s.user_id AND m.x >= s.x""")
 def interpolate_irregular(spark, sf):
     from .views import load
-    e = load(spark, sf, "events").select("event_id", "user_id", F.floor(F.unix_timestamp("ts") / 3600).alias("x"), "value")
+    e = load(spark, sf, "events").select("event_id", "user_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).alias("x"), "value")
     points = e.groupBy("user_id", "x").agg(F.min_by("value", "event_id").alias("value"))
     named = F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("entity_id")
     moments = e.select("user_id").distinct().select(named, F.explode(F.sequence(F.lit(473352).cast("bigint"), F.lit(473352 + 59 * 12).cast("bigint"), F.lit(12).cast("bigint"))).alias("x"))

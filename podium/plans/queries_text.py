@@ -176,9 +176,15 @@ def host_authority(spark, sf):
         "authority", fn.host_authority("host"))
 
 
-@query("compact_number", """SELECT o_orderkey AS ord, CASE WHEN v >= 1e9 THEN printf('%.2f B', v / 1e9) WHEN v >= 1e6 THEN printf('%.1f M', v / 1e6)
- WHEN v >= 1e3 THEN printf('%.1f K', v / 1e3) WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE printf('%.2f', v) END AS text,
- printf('%.2f%%', v) AS pct FROM (SELECT o_orderkey, (o_orderkey * 7919 % 1000000007)::DOUBLE / (CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1024 ELSE 0.25 END) AS v FROM orders)""")
+def fixed(v: str, d: int, after: str = "") -> str:
+    """Decimal text in SQL; C formatting sends exact ties to even, so those are nudged up."""
+    steps = f"(({v}) * {2 ** (d + 1)}::DOUBLE)"
+    return f"printf('%.{d}f{after}', ({v}) + CASE WHEN {steps} = floor({steps}) AND {steps}::HUGEINT % 2 = 1 THEN {0.5 ** (d + 4)}::DOUBLE ELSE 0 END)"
+
+
+@query("compact_number", f"""SELECT o_orderkey AS ord, CASE WHEN v >= 1e9 THEN {fixed('v / 1e9::DOUBLE', 2, ' B')} WHEN v >= 1e6 THEN {fixed('v / 1e6::DOUBLE', 1, ' M')}
+ WHEN v >= 1e3 THEN {fixed('v / 1e3::DOUBLE', 1, ' K')} WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE {fixed('v', 2)} END AS text, {fixed('v', 2, '%%')} AS pct
+ FROM (SELECT o_orderkey, (o_orderkey * 7919 % 1000000007)::DOUBLE / (CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1024 ELSE 0.25 END)::DOUBLE AS v FROM orders)""")
 def compact_number(spark, sf):
     k = F.col("o_orderkey")
     v = (k * 7919 % 1000000007).cast("double") / F.when(k % 3 == 0, F.lit(1.0)).when(k % 3 == 1, F.lit(1024.0)).otherwise(F.lit(0.25))
@@ -238,10 +244,10 @@ def unit_sniff(spark, sf):
     return prompts(spark, sf).select("id", fn.table_unit(F.lit("Country Name 1960"), "text").alias("unit"), fn.indicator_unit("text").alias("indicator_unit"))
 
 
-@query("extract_urls", r"""SELECT page_id, u AS url FROM (SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(html, 'https?://[^\s)"'']+'),
+@query("extract_urls", r"""SELECT page_id, u AS url FROM (SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(url || '. ' || html, 'https?://[^\s)"'']+'),
  lambda x: regexp_replace(x, '[.,;]+$', '')))) AS u FROM pages)""")
 def extract_urls(spark, sf):
-    return load(spark, sf, "pages").select("page_id", F.explode(fn.extract_urls("html")).alias("url"))
+    return load(spark, sf, "pages").select("page_id", F.explode(fn.extract_urls(F.concat_ws(". ", "url", "html"))).alias("url"))
 
 
 # --- resolution ----------------------------------------------------------------------------------------------

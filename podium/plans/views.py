@@ -37,7 +37,10 @@ def sql_pick(k: str, *options: str) -> str:
 # --- orders as raw observations: many rows per (customer, month) ------------------------------------------------
 
 def obs_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders")
+    return orders_as_obs(load(spark, sf_dir, "orders"))
+
+
+def orders_as_obs(o: DataFrame) -> DataFrame:
     return o.select(
         F.col("o_orderkey").alias("ord"), F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("entity"),
         F.date_format("o_orderdate", "yyyy-MM").alias("date"), F.col("o_totalprice").alias("value"),

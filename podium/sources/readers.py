@@ -36,33 +36,38 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", multi_line: b
     return raw.select(*cells, _file_name()).filter(_not_blank(names))
 
 
-def _as_text(df: DataFrame) -> list[Column]:
-    """Scalars as text, null as empty text, nested values as JSON text."""
-    out = []
-    for field in df.schema.fields:
-        c = F.col(f"`{field.name}`")
-        nested = isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType))
-        out.append(F.coalesce(F.to_json(c) if nested else c.cast("string"), F.lit("")).alias(field.name))
-    return out
+def _text_columns(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def _no_nulls(df: DataFrame) -> DataFrame:
+    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
 
 
 def read_json_table(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON document: a list of objects, an object holding such a list, or one object.
+    """JSON documents, one per file: a list of objects, an object holding such a list, or one object.
 
-    The list is the first present of the known envelope names.
+    The list is the first present of the known envelope names. The first pass finds the names only; the second
+    asks for text, so numbers keep their spelling, nested values come as JSON text and null as empty text.
     """
-    raw = spark.read.json(path, multiLine=True, primitivesAsString=True)
-    lists = {f.name for f in raw.schema.fields if isinstance(f.dataType, T.ArrayType)
-             and isinstance(f.dataType.elementType, T.StructType)}
+    found = spark.read.json(path, multiLine=True, primitivesAsString=True).schema
+    lists = {f.name: f.dataType.elementType for f in found.fields
+             if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)}
     envelope = next((name for name in fixed.JSON_ENVELOPES if name in lists), None)
-    rows = raw if envelope is None else raw.select(F.inline(F.col(f"`{envelope}`")))
-    return rows.select(*_as_text(rows))
+    if envelope is None:
+        return _no_nulls(spark.read.schema(_text_columns(found.names)).json(path, multiLine=True))
+    rows = T.StructType([T.StructField(envelope, T.ArrayType(_text_columns(lists[envelope].names)))])
+    return _no_nulls(spark.read.schema(rows).json(path, multiLine=True).select(F.inline(F.col(f"`{envelope}`"))))
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One object per line; blank lines are skipped and a bad line is an error."""
-    raw = spark.read.json(path, mode="FAILFAST", primitivesAsString=True)
-    return raw.select(*_as_text(raw))
+def read_jsonl(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """One object per line; blank lines are skipped and a bad line is an error.
+
+    Give ``columns`` to spare the pass that finds the names.
+    """
+    if columns is None:
+        columns = spark.read.json(path, mode="FAILFAST", primitivesAsString=True).columns
+    return _no_nulls(spark.read.schema(_text_columns(columns)).json(path, mode="FAILFAST"))
 
 
 def read_table(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
