@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fixed
-from .text import _col, bind, clean, matched
+from .text import _col, bind, clean, fixed_map, matched
 
 
 _MONTH_STARTS = "".join(m[:3] for m in fixed.MONTHS)
@@ -56,8 +56,7 @@ def _from_parts(parts: Column) -> Column:
 
 def frequency_of_hint(c: Column | str) -> Column:
     """Frequency named by a hint word, or null."""
-    words = F.create_map(*[F.lit(v) for pair in fixed.FREQUENCY_HINTS.items() for v in pair])
-    return F.try_element_at(words, F.lower(clean(c)))
+    return F.try_element_at(fixed_map(fixed.FREQUENCY_HINTS), F.lower(clean(c)))
 
 
 def is_calendar_date(c: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
@@ -23,6 +24,11 @@ def bind(c: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
+def fixed_map(entries: dict, value_type: str = "string") -> Column:
+    """A constant map. As JSON text it is one small node while a plan is built; the optimizer turns it into a literal."""
+    return F.from_json(F.lit(json.dumps(entries)), f"map<string,{value_type}>")
+
+
 def clean(c: Column | str) -> Column:
     """Text without leading and trailing white space of any kind."""
     return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
@@ -64,14 +70,9 @@ def strip_corporate_suffix(c: Column | str) -> Column:
     return F.regexp_replace(squeeze(c), rf"(?i)^(?!{forms})(.*?){forms}", "$1")
 
 
-def _alias_map() -> Column:
-    pairs = [F.lit(v) for row in fixed.table(fixed.ENTITY_ALIASES, " = ") for v in row]
-    return F.create_map(*pairs)
-
-
 def alias_name(c: Column | str) -> Column:
     """Display name after the alias table (62 fixed entries, folded into the plan as one literal map)."""
-    return bind(squeeze(c), lambda name: F.coalesce(F.try_element_at(_alias_map(), F.lower(name)), name))
+    return bind(squeeze(c), lambda name: F.coalesce(F.try_element_at(fixed_map(dict(fixed.table(fixed.ENTITY_ALIASES, " = "))), F.lower(name)), name))
 
 
 def canonical_key(c: Column | str) -> Column:
@@ -83,7 +84,7 @@ def flag_emoji(c: Column | str) -> Column:
     """Two regional-indicator letters for a two-letter code, else null."""
     code = F.upper(_col(c))
     letters = [chr(0x41 + i) for i in range(26)]
-    flags = F.create_map(*[F.lit(v) for i, a in enumerate(letters) for v in (a, chr(0x1F1E6 + i))])
+    flags = fixed_map({a: chr(0x1F1E6 + i) for i, a in enumerate(letters)})
     emoji = F.concat(F.try_element_at(flags, F.substring(code, 1, 1)), F.try_element_at(flags, F.substring(code, 2, 1)))
     return F.when(code.rlike("^[A-Z]{2}$"), emoji)
 
@@ -125,7 +126,7 @@ def _fixed_digits(c: Column, digits: int) -> Column:
     """
     steps = c * F.lit(float(2 ** (digits + 1)))
     tie = (steps == F.floor(steps)) & (F.abs(steps % 2) == 1)
-    nudged = F.when(tie, c + F.signum(c) * F.lit(0.5 ** (digits + 4))).otherwise(c)
+    nudged = F.when(tie, c + F.signum(c) * F.lit(10.0 ** -(digits + 2))).otherwise(c)
     return F.replace(F.format_number(nudged, digits), F.lit(","), F.lit(""))
 
 
@@ -216,7 +217,7 @@ def month_day_hint(c: Column | str) -> Column:
     stamp = matched(text, r"\b(?:19|20)\d{2}(\d{4})\b", 1)
     stamp = F.when(stamp.rlike(r"^(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$"), stamp)
     rule = rf"(?i)\b({'|'.join(fixed.MONTHS)})\s+(\d{{1,2}})\b"
-    number = F.create_map(*[F.lit(v) for i, m in enumerate(fixed.MONTHS) for v in (m, f"{i + 1:02d}")])
+    number = fixed_map({m: f"{i + 1:02d}" for i, m in enumerate(fixed.MONTHS)})
     named = F.concat(F.try_element_at(number, F.lower(matched(text, rule, 1))), F.lpad(matched(text, rule, 2), 2, "0"))
     return F.coalesce(stamp, named, F.lit("0101"))
 

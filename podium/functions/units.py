@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fixed
-from .text import _col, bind, clean
+from .text import _col, bind, clean, fixed_map
 
 
 def _unit_map() -> Column:
-    entries = []
+    known = {}
     for canonical, dimension, factor, spellings in fixed.table(fixed.UNITS):
-        known = F.struct(F.lit(canonical).alias("canonical"), F.lit(dimension).alias("dimension"),
-                         F.lit(float(factor)).alias("factor"), F.lit(True).alias("known"))
-        for spelling in spellings.split(";"):
-            entries += [F.lit(spelling.strip()), known]
-    return F.create_map(*entries)
+        entry = {"canonical": canonical, "dimension": dimension, "factor": float(factor), "known": True}
+        known.update({spelling.strip(): entry for spelling in spellings.split(";")})
+    return fixed_map(known, "struct<canonical:string,dimension:string,factor:double,known:boolean>")
 
 
 def normalize_unit(c: Column | str) -> Column:
@@ -42,13 +40,12 @@ def convert_unit(value: Column | str, source: Column | str, target: Column | str
 
 def unit_word(c: Column | str) -> Column:
     """``struct(base, multiplier)`` used to compare values given in words of scale; null counts as 'count'."""
-    entries = []
-    for base, multiplier, words in fixed.table(fixed.UNIT_WORDS):
-        for word in words.split(";"):
-            entries += [F.lit(word.strip()), F.struct(F.lit(base).alias("base"), F.lit(float(multiplier)).alias("multiplier"))]
+    words = {}
+    for base, multiplier, spellings in fixed.table(fixed.UNIT_WORDS):
+        words.update({w.strip(): {"base": base, "multiplier": float(multiplier)} for w in spellings.split(";")})
 
     def look_up(text: Column) -> Column:
         as_is = F.struct(F.when(text == "", F.lit("count")).otherwise(text).alias("base"), F.lit(1.0).alias("multiplier"))
-        return F.coalesce(F.try_element_at(F.create_map(*entries), F.lower(text)), as_is)
+        return F.coalesce(F.try_element_at(fixed_map(words, "struct<base:string,multiplier:double>"), F.lower(text)), as_is)
 
     return bind(clean(F.coalesce(_col(c), F.lit("count"))), look_up)

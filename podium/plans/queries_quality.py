@@ -9,6 +9,7 @@ from ..operators import clean as cleaning
 from ..operators import insight, quality, verify
 from ..operators.ranking import with_period
 from .catalogue import query
+from .dataset import SourceTable, build_dataset
 from .queries_text import CANONICAL, KEYED, PARSED, UNITS, trim
 from .views import OBS_DIRTY, OBS_ORDERS, OBS_PUBLISHERS, OBS_USER_DAY, load, obs_dirty, obs_orders, obs_publishers, obs_user_day
 
@@ -430,3 +431,30 @@ def distinct_sources(spark, sf):
 @query("publisher_line", f"WITH {OBS_PUBLISHERS} SELECT DISTINCT source FROM obs_s")
 def publisher_line(spark, sf):
     return insight.publisher_line(obs_publishers(spark, sf))
+
+
+# --- raw tables to a dataset ------------------------------------------------------------------------------------------
+
+BUILT = f"""WITH {VERIFIED} SELECT canonical AS entity_id, o.date, value, CASE outcome WHEN 'verified' THEN 'VERIFIED' ELSE status END AS status, source
+ FROM obs_s o JOIN oc USING (canonical, date, base_unit) WHERE value IS NOT NULL AND ord = prim_ord
+ UNION ALL SELECT canonical, date, value, status, source FROM obs_s WHERE value IS NULL AND pub = (SELECT pub FROM prim)"""
+
+
+def _built(spark, sf):
+    rows = obs_publishers(spark, sf)
+    text = rows.select("ord", F.col("entity").alias("country"), F.col("date").alias("year"), F.col("value").cast("string").alias("total"), "source", "source_url")
+    tables = [SourceTable(text.filter((F.col("source") == name) & (F.col("source_url") == url)).select("ord", "country", "year", "total"), name, url, unit, trust)
+              for name, url, unit, trust in (("Ledger A", "https://www.a.test/1", "count", 0.8), ("Ledger B", "https://b.test/x", "million", 0.7),
+                                             ("ledger a", "https://a.test/2", "count", 0.6))]
+    return build_dataset(tables, "2026-01-01")
+
+
+@query("dataset_build", BUILT)
+def dataset_build(spark, sf):
+    return _built(spark, sf).observations.select("entity_id", "date", "value", "status", "source")
+
+
+@query("dataset_report", f"""WITH b AS ({BUILT}) SELECT 'duplicate' AS "check", 0::BIGINT AS violations, true AS passed UNION ALL
+ SELECT unnest(['schema', 'type', 'date', 'unit', 'entity', 'range', 'source', 'temporal', 'ranking', 'rank-as-value', 'citation']), 0, true""")
+def dataset_report(spark, sf):
+    return _built(spark, sf).report()

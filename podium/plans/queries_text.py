@@ -179,7 +179,7 @@ def host_authority(spark, sf):
 def fixed(v: str, d: int, after: str = "") -> str:
     """Decimal text in SQL; C formatting sends exact ties to even, so those are nudged up."""
     steps = f"(({v}) * {2 ** (d + 1)}::DOUBLE)"
-    return f"printf('%.{d}f{after}', ({v}) + CASE WHEN {steps} = floor({steps}) AND {steps}::HUGEINT % 2 = 1 THEN {0.5 ** (d + 4)}::DOUBLE ELSE 0 END)"
+    return f"printf('%.{d}f{after}', ({v}) + CASE WHEN {steps} = floor({steps}) AND {steps}::HUGEINT % 2 = 1 THEN {10.0 ** -(d + 2)}::DOUBLE ELSE 0 END)"
 
 
 @query("compact_number", f"""SELECT o_orderkey AS ord, CASE WHEN v >= 1e9 THEN {fixed('v / 1e9::DOUBLE', 2, ' B')} WHEN v >= 1e6 THEN {fixed('v / 1e6::DOUBLE', 1, ' M')}

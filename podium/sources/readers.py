@@ -48,7 +48,7 @@ def read_json_table(spark: SparkSession, path: str) -> DataFrame:
     """JSON documents, one per file: a list of objects, an object holding such a list, or one object.
 
     The list is the first present of the known envelope names. The first pass finds the names only; the second
-    asks for text, so numbers keep their spelling, nested values come as JSON text and null as empty text.
+    asks for text, so numbers and nested values come as they are written and null as empty text.
     """
     found = spark.read.json(path, multiLine=True, primitivesAsString=True).schema
     lists = {f.name: f.dataType.elementType for f in found.fields
