@@ -15,7 +15,7 @@ def boundary_bars(tape: Tape, include_last: bool = False) -> DataFrame:
 
     The last period has no such frame; ``include_last`` adds it from the filled series.
     """
-    bars = tape.bars(hold=False).filter("is_boundary").select(
+    bars = tape.bars(hold=False, moments="boundaries").select(
         F.col("transition").alias("period_index"), "entity_id", "rank", "value")
     if not include_last:
         return bars
@@ -76,7 +76,7 @@ def spotlights(tape: Tape, labels: list[str] | None = None, back: int = 10) -> D
     frame = F.when(F.col("label") == labels[-1], F.lit(last)).otherwise(F.least(F.col("period_index") * steps, F.lit(last)))
     earlier = F.least(F.greatest(F.lit(0), F.col("period_index") - back) * steps, F.lit(last))
     marks = periods.select("label", frame.cast("bigint").alias("frame_index"), earlier.cast("bigint").alias("earlier_frame"))
-    bars = tape.bars().select("frame_index", "entity_id", "rank", "value")
+    bars = tape.bars(moments="marks").select("frame_index", "entity_id", "rank", "value")
     shown = marks.join(bars, "frame_index")
     then = bars.select(F.col("frame_index").alias("earlier_frame"), "entity_id", F.col("rank").alias("earlier_rank"))
     moved = shown.join(then, ["earlier_frame", "entity_id"], "left")
@@ -112,7 +112,7 @@ def leaders(boundaries: DataFrame) -> DataFrame:
 
 def last_frame_movers(tape: Tape) -> DataFrame:
     end = tape.last_moving_frame + tape.frames_per_transition
-    return tape.bars().filter((F.col("frame_index") == end) & F.col("is_mover")).select("entity_id", "rank", "rank_delta")
+    return tape.bars(moments="marks").filter((F.col("frame_index") == end) & F.col("is_mover")).select("entity_id", "rank", "rank_delta")
 
 
 # --- datasets ------------------------------------------------------------------------------------------------

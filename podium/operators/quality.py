@@ -30,35 +30,111 @@ def _is_number(v: str = "value") -> Column:
     return F.col(v).isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
 
 
+def _problem(check: str, bad: Column, detail: Column) -> Column:
+    return F.when(bad, F.struct(F.lit(check).alias("check"), detail.cast("string").alias("detail")))
+
+
+def row_violations(obs: DataFrame, *problems: Column) -> DataFrame:
+    """All row-level checks in one pass: a row yields one violation per problem it has."""
+    return obs.select(F.inline(F.array_compact(F.array(*problems)))).withColumn("n", F.lit(1).cast("bigint"))
+
+
+def _empty_entity() -> Column:
+    return _problem("schema", _blank("entity"), F.concat_ws(" ", "ord", F.lit("empty entity")))
+
+
+def _empty_date() -> Column:
+    return _problem("schema", _blank("date"), F.concat_ws(" ", "ord", F.lit("empty date")))
+
+
+def _type() -> Column:
+    return _problem("type", F.col("value").isNotNull() & ~_is_number(), F.col("ord"))
+
+
+def _date(key: Column) -> Column:
+    return _problem("date", key.isNull(), F.concat_ws(" ", "ord", "date"))
+
+
+def _date_normalised() -> Column:
+    return _problem("date", ~F.col("date").rlike(fixed.NORMALISED_DATE), F.concat_ws(" ", "ord", "date"))
+
+
+def _unit(known: Column, dataset_unit: str | None) -> Column:
+    return _problem("unit", F.coalesce(~known, F.lit(dataset_unit is None)), F.concat_ws(" ", "ord", "unit"))
+
+
+def _unit_present() -> Column:
+    return _problem("unit", _blank("unit"), F.col("ord"))
+
+
+def _range(dimension: Column) -> Column:
+    counts = F.coalesce(dimension, F.lit("count")) == "count"
+    return _problem("range", counts & (F.col("value") < 0), F.concat_ws(" ", "ord", "value"))
+
+
+def _range_count() -> Column:
+    return _problem("range", (F.col("unit") == "count") & (F.col("value") < 0), F.col("ord"))
+
+
+def _source() -> Column:
+    nowhere = F.col("source").isNull() & F.col("source_url").isNull()
+    malformed = F.col("source_url").isNotNull() & ~F.col("source_url").rlike("^(http|file:|upload:)")
+    return _problem("source", nowhere | malformed, F.concat_ws(" ", "ord", "source_url"))
+
+
+def _source_url() -> Column:
+    return _problem("source", F.coalesce("source_url", F.lit("")) == "", F.col("ord"))
+
+
+def _temporal(key: Column, max_date: str) -> Column:
+    flagged = F.coalesce(F.lower("status").isin("forecast", "estimated"), F.lit(False))
+    return _problem("temporal", (key > parse_date(F.lit(max_date))["sort_key"]) & ~flagged, F.concat_ws(" ", "ord", "date"))
+
+
+def _temporal_text(max_date: str) -> Column:
+    return _problem("temporal", F.substring("date", 1, 10) > max_date, F.concat_ws(" ", "ord", "date"))
+
+
+def _citation_each() -> Column:
+    return _problem("citation", F.col("value").isNotNull() & (F.coalesce("source", F.lit("")) == ""), F.col("ord"))
+
+
+def _null_status() -> Column:
+    return _problem("null-status", F.col("value").isNull() & ~F.coalesce(F.col("status") == "UNKNOWN", F.lit(False)), F.col("ord"))
+
+
+def _no_rows(obs: DataFrame) -> DataFrame:
+    none = obs.limit(1).agg(F.count("*").alias("rows")).filter("rows = 0")
+    return _found("schema", none, F.lit("no observations present"))
+
+
+def _sort_key() -> Column:
+    return parse_date("date")["sort_key"]
+
+
 def check_schema(obs: DataFrame) -> DataFrame:
     """A blank entity and a blank date count one each; so does an empty dataset."""
-    problems = F.array_compact(F.array(F.when(_blank("entity"), F.lit("empty entity")),
-                                       F.when(_blank("date"), F.lit("empty date"))))
-    rows = obs.select("ord", F.explode(problems).alias("problem"))
-    none = obs.limit(1).agg(F.count("*").alias("rows")).filter("rows = 0")
-    return _found("schema", rows, F.concat_ws(" ", "ord", "problem")).unionByName(
-        _found("schema", none, F.lit("no observations present")))
+    return row_violations(obs, _empty_entity(), _empty_date()).unionByName(_no_rows(obs))
 
 
 def check_type(obs: DataFrame) -> DataFrame:
-    return _found("type", obs.filter(F.col("value").isNotNull() & ~_is_number()), F.col("ord"))
+    return row_violations(obs, _type())
 
 
 def check_date(obs: DataFrame) -> DataFrame:
-    return _found("date", obs.filter(parse_date("date").isNull()), F.concat_ws(" ", "ord", "date"))
+    return row_violations(obs, _date(_sort_key()))
 
 
 def check_date_normalised(obs: DataFrame) -> DataFrame:
-    return _found("date", obs.filter(~F.col("date").rlike(fixed.NORMALISED_DATE)), F.concat_ws(" ", "ord", "date"))
+    return row_violations(obs, _date_normalised())
 
 
 def check_unit(obs: DataFrame, dataset_unit: str | None = None) -> DataFrame:
-    bad = F.coalesce(~normalize_unit("unit")["known"], F.lit(dataset_unit is None))
-    return _found("unit", obs.filter(bad), F.concat_ws(" ", "ord", "unit"))
+    return row_violations(obs, _unit(normalize_unit("unit")["known"], dataset_unit))
 
 
 def check_unit_present(obs: DataFrame) -> DataFrame:
-    return _found("unit", obs.filter(_blank("unit")), F.col("ord"))
+    return row_violations(obs, _unit_present())
 
 
 def check_entity(obs: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
@@ -82,34 +158,28 @@ def check_duplicate_cells(obs: DataFrame) -> DataFrame:
 
 
 def check_range(obs: DataFrame) -> DataFrame:
-    counts = F.coalesce(normalize_unit("unit")["dimension"], F.lit("count")) == "count"
-    return _found("range", obs.filter(counts & (F.col("value") < 0)), F.concat_ws(" ", "ord", "value"))
+    return row_violations(obs, _range(normalize_unit("unit")["dimension"]))
 
 
 def check_range_count(obs: DataFrame) -> DataFrame:
-    return _found("range", obs.filter((F.col("unit") == "count") & (F.col("value") < 0)), F.col("ord"))
+    return row_violations(obs, _range_count())
 
 
 def check_source(obs: DataFrame) -> DataFrame:
-    nowhere = F.col("source").isNull() & F.col("source_url").isNull()
-    malformed = F.col("source_url").isNotNull() & ~F.col("source_url").rlike("^(http|file:|upload:)")
-    return _found("source", obs.filter(nowhere | malformed), F.concat_ws(" ", "ord", "source_url"))
+    return row_violations(obs, _source())
 
 
 def check_source_url(obs: DataFrame) -> DataFrame:
-    return _found("source", obs.filter(F.coalesce("source_url", F.lit("")) == ""), F.col("ord"))
+    return row_violations(obs, _source_url())
 
 
 def check_temporal(obs: DataFrame, max_date: str) -> DataFrame:
     """Dates after ``max_date`` without a forecast or estimated flag."""
-    flagged = F.coalesce(F.lower("status").isin("forecast", "estimated"), F.lit(False))
-    key = parse_date(F.lit(max_date))["sort_key"]
-    late = obs.filter((parse_date("date")["sort_key"] > key) & ~flagged)
-    return _found("temporal", late, F.concat_ws(" ", "ord", "date"))
+    return row_violations(obs, _temporal(_sort_key(), max_date))
 
 
 def check_temporal_text(obs: DataFrame, max_date: str) -> DataFrame:
-    return _found("temporal", obs.filter(F.substring("date", 1, 10) > max_date), F.concat_ws(" ", "ord", "date"))
+    return row_violations(obs, _temporal_text(max_date))
 
 
 def check_ranking(ranked: DataFrame) -> DataFrame:
@@ -150,8 +220,7 @@ def check_citation(obs: DataFrame) -> DataFrame:
 
 
 def check_citation_each(obs: DataFrame) -> DataFrame:
-    bad = obs.filter(F.col("value").isNotNull() & (F.coalesce("source", F.lit("")) == ""))
-    return _found("citation", bad, F.col("ord"))
+    return row_violations(obs, _citation_each())
 
 
 def check_unit_mismatch(obs: DataFrame) -> DataFrame:
@@ -178,27 +247,29 @@ def check_multi_value(obs: DataFrame) -> DataFrame:
 
 def check_null_status(obs: DataFrame) -> DataFrame:
     """Rows without a value that are not marked UNKNOWN."""
-    bad = obs.filter(F.col("value").isNull() & ~F.coalesce(F.col("status") == "UNKNOWN", F.lit(False)))
-    return _found("null-status", bad, F.col("ord"))
+    return row_violations(obs, _null_status())
 
 
 def core_violations(obs: DataFrame, max_date: str, dataset_unit: str | None = None, ranked: DataFrame | None = None,
                     dictionary: DataFrame | None = None) -> DataFrame:
-    """Violations of the core checks. Pass ``ranked`` (sort_key, rank) to include the ranking check."""
-    found = [check_schema(obs), check_type(obs), check_date(obs), check_unit(obs, dataset_unit),
-             check_entity(obs, dictionary), check_duplicate(obs), check_range(obs), check_source(obs),
-             check_temporal(obs, max_date), check_rank_as_value(obs), check_citation(obs)]
+    """Violations of the core checks. Pass ``ranked`` (sort_key, rank) to include the ranking check.
+
+    The seven row-level checks share one pass, in which a date and a unit are parsed once. Checks about groups
+    add one aggregation each, over the few columns they need.
+    """
+    parsed = obs.withColumns({"_key": _sort_key(), "_unit": normalize_unit("unit")})
+    rows = row_violations(parsed, _empty_entity(), _empty_date(), _type(), _date(F.col("_key")), _unit(F.col("_unit.known"), dataset_unit),
+                          _range(F.col("_unit.dimension")), _source(), _temporal(F.col("_key"), max_date))
+    found = [rows, _no_rows(obs), check_entity(obs, dictionary), check_duplicate(obs), check_rank_as_value(obs), check_citation(obs)]
     if ranked is not None:
         found.append(check_ranking(ranked))
     return reduce(DataFrame.unionByName, found)
 
 
 def platform_violations(obs: DataFrame, max_date: str) -> DataFrame:
-    """Violations of the checks on verified datasets."""
-    empty = check_schema(obs).filter(F.col("detail") == "no observations present")
-    found = [empty, check_type(obs), check_date_normalised(obs), check_unit_present(obs), check_range_count(obs),
-             check_source_url(obs), check_temporal_text(obs, max_date), check_citation_each(obs),
-             check_duplicate_cells(obs), check_unit_mismatch(obs), check_outlier(obs), check_rank_as_value(obs),
+    """Violations of the checks on verified datasets; the row-level ones share one pass."""
+    rows = row_violations(obs, _type(), _date_normalised(), _unit_present(), _range_count(), _source_url(), _temporal_text(max_date), _citation_each())
+    found = [rows, _no_rows(obs), check_duplicate_cells(obs), check_unit_mismatch(obs), check_outlier(obs), check_rank_as_value(obs),
              check_rejected(obs)]
     return reduce(DataFrame.unionByName, found)
 
@@ -226,8 +297,7 @@ def gate(obs: DataFrame, frames: DataFrame, report: DataFrame) -> DataFrame:
     no_frames = frames.limit(1).agg(F.count("*").alias("rows")).filter("rows = 0")
     failed = report.filter(~F.col("passed"))
     blank = obs.filter(_blank("entity"))
-    empty = check_schema(obs).filter(F.col("detail") == "no observations present")
-    return (_found("gate", empty, F.col("detail"))
+    return (_found("gate", _no_rows(obs), F.col("detail"))
             .unionByName(_found("gate", no_frames, F.lit("no frames")))
             .unionByName(_found("gate", check_null_status(obs), F.concat(F.lit("null not UNKNOWN: "), F.col("detail"))))
             .unionByName(_found("gate", blank, F.concat(F.lit("blank name: "), F.col("ord").cast("string"))))

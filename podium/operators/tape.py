@@ -121,21 +121,27 @@ class Tape:
         """Top-N of the filled series at each period."""
         return first_per_group(self.filled, ["period_index"], self.order(), self.top_n)
 
-    def tweens(self, prune: bool = True) -> DataFrame:
-        """Value of every entity that may be drawn, for every moving frame."""
+    def tweens(self, prune: bool = True, moments: str = "all") -> DataFrame:
+        """Value of every entity that may be drawn, for the moving frames asked for.
+
+        ``moments`` is all, boundaries (the first frame of each transition) or marks (these and the very last).
+        """
         ends = transitions(self.filled, self.n_periods, self.policy)
         if prune:
             ends = drawable(ends, self.top_n, self.ranking.direction)
         steps = self.frames_per_transition
         frame = F.col("transition") * steps + F.col("k")
-        return (ends.withColumn("k", F.explode(_count(0, steps - 1)))
+        wanted = _count(0, steps - 1) if moments == "all" else _count(0, 0)
+        if moments == "marks":
+            wanted = F.when(F.col("transition") == self.n_transitions - 1, F.array_distinct(F.concat(wanted, _count(steps - 1, steps - 1)))).otherwise(wanted)
+        return (ends.withColumn("k", F.explode(wanted))
                 .withColumn("t", F.col("k") / F.lit(float(steps)))
                 .select(frame.alias("frame_index"), "transition", "k", "t", "entity_id",
                         (F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias("value"), "held"))
 
-    def bars(self, prune: bool = True, hold: bool = True) -> DataFrame:
+    def bars(self, prune: bool = True, hold: bool = True, moments: str = "all") -> DataFrame:
         """Drawn bars. The last moving frame is repeated for one more transition when ``hold``."""
-        drawn = first_per_group(self.tweens(prune), ["frame_index"], self.order(), self.top_n)
+        drawn = first_per_group(self.tweens(prune, moments), ["frame_index"], self.order(), self.top_n)
         in_frame = Window.partitionBy("frame_index")  # at most top_n rows each
         scale = F.greatest(F.max("value").over(in_frame), F.lit(fixed.SMALLEST_BAR_SCALE))
         drawn = drawn.withColumn("max_value", scale)

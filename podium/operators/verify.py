@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import canonical_key, publisher_key, unit_word
+from ..session import write_stage
 from .ordering import with_previous
 
 CELL = ["canonical", "date", "base_unit"]
@@ -67,7 +68,7 @@ def verify_across_sources(obs: DataFrame, tolerance: float = 0.05, single_source
                           expected_unit: str | None = None) -> Verification:
     """Compare independent publishers inside each (entity, date, base unit) cell.
 
-    One aggregation decides a cell. A cell with one row passes. Two or more independent publishers within
+    One aggregation, written out, decides every cell. A cell with one row passes. Two or more independent publishers within
     ``tolerance`` make its first (or primary) row VERIFIED. Repeats of one publisher keep the first row. Otherwise
     the cell conflicts: all of its rows are CONFLICTING, or the primary publisher's row stands in single-source
     mode. Rows without a value are appended unchanged. Candidates of a conflict stay rows of a table; they are not
@@ -101,6 +102,8 @@ def verify_across_sources(obs: DataFrame, tolerance: float = 0.05, single_source
         F.col("kept").isNull(), F.lit("dropped")).when(F.col("n") == 1, F.lit("single"))
         .when((F.col("spread") <= tolerance) & (F.col("publishers") >= 2), F.lit("verified"))
         .when(F.col("publishers") < 2, F.lit("repeated")).otherwise(F.lit("conflict")))
+    # One row per cell, written once: the observations, conflicts and dropped cells below all read it.
+    decided = write_stage(decided, "verified-cells")
     agreed = F.col("outcome") == "verified"
     trust = F.least(F.lit(0.98), F.lit(0.75) + F.lit(0.05) * F.col("publishers"))
     stands = decided.filter(F.col("outcome") != "dropped")
