@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fixed
@@ -9,33 +11,38 @@ from ..country_values import COUNTRIES
 from ..functions import alias_name, has_real_flag, norm_key, slugify
 
 
+SHAPE = "name string, iso2 string, iso3 string, region string, aliases array<string>"
+
+
 def country_dictionary(spark: SparkSession) -> DataFrame:
     """The default dictionary: name, iso2, iso3, region, aliases."""
-    rows = [(n, a, b, r, [s.strip() for s in more.split(";") if s.strip()])
+    rows = [{"name": n, "iso2": a, "iso3": b, "region": r, "aliases": [s.strip() for s in more.split(";") if s.strip()]}
             for n, a, b, r, more in fixed.table(COUNTRIES)]
-    return spark.createDataFrame(rows, "name string, iso2 string, iso3 string, region string, aliases array<string>")
+    struct = ", ".join(f.replace(" ", ": ", 1) for f in SHAPE.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{struct}>>")))
 
 
 def dictionary_keys(dictionary: DataFrame) -> DataFrame:
-    """One row per comparison key: the single entry it names, or the names it could mean.
-
-    The result is one row per spelling in the dictionary, a table of fixed size that joins may broadcast.
-    """
+    """One row per comparison key: the single entry it names, or the names it could mean."""
     spellings = F.concat(F.array("name", "iso2", "iso3"), F.coalesce("aliases", F.array().cast("array<string>")))
-    spelled = dictionary.select(F.explode(spellings).alias("spelling"), "name", "iso2", "region")
-    keyed = spelled.select(norm_key("spelling").alias("key"), "name", "iso2", "region").filter("key != ''")
-    return keyed.distinct().groupBy("key").agg(
-        F.count("*").alias("hits"), F.min("name").alias("known_name"), F.min("iso2").alias("iso2"),
-        F.min("region").alias("region"), F.array_sort(F.collect_list("name")).alias("names"))
+    spelled = dictionary.select(F.explode(spellings).alias("spelling"), F.struct("name", "iso2", "region").alias("entry"))
+    keyed = spelled.groupBy(norm_key("spelling").alias("key")).agg(F.array_sort(F.collect_set("entry")).alias("entries")).filter("key != ''")
+    first = F.col("entries")[0]
+    return keyed.select("key", F.size("entries").alias("hits"), first["name"].alias("known_name"), first["iso2"].alias("iso2"),
+                        first["region"].alias("region"), F.transform("entries", lambda e: e["name"]).alias("names"))
 
 
 def resolve_entities(df: DataFrame, column: str = "entity", dictionary: DataFrame | None = None) -> DataFrame:
     """Add resolution (resolved, ambiguous, unresolved), resolved_id, resolved_name, iso2, flag_code, region, candidates.
 
-    The dictionary is broadcast: its size is the number of spellings it lists (429 for the default one).
+    The default dictionary has a fixed size (429 spellings) and is broadcast. A dictionary passed in may be of any
+    size, so the planner chooses its join.
     """
-    keys = dictionary_keys(dictionary if dictionary is not None else country_dictionary(df.sparkSession))
-    joined = df.withColumn("key", norm_key(column)).join(F.broadcast(keys), "key", "left")
+    if dictionary is None:
+        keys = F.broadcast(dictionary_keys(country_dictionary(df.sparkSession)))
+    else:
+        keys = dictionary_keys(dictionary)
+    joined = df.withColumn("key", norm_key(column)).join(keys, "key", "left")
     one, many = F.col("hits") == 1, F.col("hits") > 1
     status = F.when(one, F.lit("resolved")).when(many, F.lit("ambiguous")).otherwise(F.lit("unresolved"))
     iso2 = F.when(one, F.col("iso2"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import write_stage
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
+_MAP_SIDE_LIMIT = 1000  # Spark limits groups before the shuffle up to this n (windowGroupLimitThreshold)
 
 
 def ranked_stage(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str = "rank",
@@ -55,8 +56,11 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     """The ``n`` first rows of each group, with their place.
 
     Spark applies the ``rank <= n`` limit in every task before the shuffle, so at most n rows per group and task
-    travel, whatever the size of the group.
+    travel, whatever the size of the group. It does so only for small n; beyond that the rows are ranked across
+    tasks, and ``order`` must be a total order.
     """
+    if n > _MAP_SIDE_LIMIT:
+        return ranked_stage(df, keys, order, rank, name="top").filter(F.col(rank) <= n)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
     return df.withColumn(rank, place).filter(F.col(rank) <= n)
 

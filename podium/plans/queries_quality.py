@@ -236,7 +236,21 @@ def quality_report(spark, sf):
     return quality.quality_report(quality.core_violations(_rows(spark, sf), MAX_DATE))
 
 
-@query("quality_report_platform")
+PLATFORM = {
+    "date": r"obs WHERE NOT regexp_matches(date, '^-?\d{1,5}(-\d{2}(-\d{2})?|(-Q[1-4]))?$')",
+    "unit": f"obs WHERE {BLANK('unit')}", "range": "obs WHERE unit = 'count' AND value < 0", "source": "obs WHERE source_url IS NULL",
+    "temporal": f"obs WHERE substr(date, 1, 10) > '{MAX_DATE}'", "citation": "obs WHERE value IS NOT NULL AND source IS NULL",
+    "duplicate": f"(SELECT 1 FROM k GROUP BY canonical, date, {BASE_UNIT} HAVING count(*) > 1 AND count(*) FILTER (status = 'CONFLICTING') < count(*))",
+    "unit-mismatch": f"(SELECT 1 FROM k WHERE value IS NOT NULL GROUP BY canonical, date HAVING count(DISTINCT {BASE_UNIT}) > 1)",
+    "outlier": f"""(SELECT value, lag(value) OVER (PARTITION BY canonical, {BASE_UNIT} ORDER BY sort_key NULLS FIRST, k.ord) AS was FROM k LEFT JOIN (SELECT ord, sort_key FROM dated) d
+      ON d.ord = k.ord WHERE value IS NOT NULL AND value <> 0) WHERE abs(value) / abs(was) >= 100 OR abs(value) / abs(was) <= 1 / 100::DOUBLE""",
+    "ranking": "(SELECT 1 FROM obs WHERE value IS NOT NULL AND status = 'REJECTED' LIMIT 1)",
+}
+PLATFORM_SQL = " UNION ALL ".join(f"SELECT '{name}' AS \"check\", count(*) AS violations FROM {body}" for name, body in PLATFORM.items())
+
+
+@query("quality_report_platform", f"""WITH {OBS_DIRTY}, {PARSED}, {CANONICAL},
+ r AS ({PLATFORM_SQL} UNION ALL SELECT unnest(['schema', 'type', 'rank-as-value']), 0) SELECT "check", violations, violations = 0 AS passed FROM r""")
 def quality_report_platform(spark, sf):
     return quality.quality_report(quality.platform_violations(_rows(spark, sf), MAX_DATE), quality.PLATFORM_CHECKS)
 
