@@ -15,43 +15,51 @@ _MONTH_STARTS = "".join(m[:3] for m in fixed.MONTHS)
 _NAME = "(" + "|".join(m[:3] for m in fixed.MONTHS) + ")[a-z]{0,6}"
 _YEAR, _MONTH, _TIME = r"(-?\d{1,5})", "(0?[1-9]|1[0-2])", "(?:[T ].*)?"
 
-# Spelling -> "kind|year|part|day", in order of preference. The time of day after a T or a space is ignored.
-# A group that took no part in a match is empty, so $1$4 is whichever of the two alternatives matched.
-_REWRITES = (
-    (rf"(?s)^{_YEAR}[-/.](\d{{1,2}})[-/.](\d{{1,2}}).*$", "D|$1|$2|$3"),
-    (rf"(?i)^(?:{_YEAR}[-/ ]?Q([1-4])|Q([1-4])[-/ ]?{_YEAR})$", "Q|$1$4|$2$3|1"),
-    (rf"(?s)^(?:{_YEAR}[-/.]{_MONTH}{_TIME}|{_MONTH}[-/.]{_YEAR}{_TIME}|(?i:{_NAME}[ ,\-]+{_YEAR}|{_YEAR}[ ,\-]+{_NAME}))$",
-     "M|$1$4$6$7|$2$3$5$8|1"),
-    (rf"(?s)^{_YEAR}{_TIME}$", "A|$1|1|1"),
-)
+# One pattern for all spellings, in order of preference: full date, quarter, month in digits or by name, year. The
+# time of day after a T or a space is ignored.
+_SPELLING = (
+    rf"(?s)^(?:{_YEAR}[-/.](\d{{1,2}})[-/.](\d{{1,2}}).*"
+    rf"|{_YEAR}[-/ ]?[qQ]([1-4])|[qQ]([1-4])[-/ ]?{_YEAR}"
+    rf"|{_YEAR}[-/.]{_MONTH}{_TIME}|{_MONTH}[-/.]{_YEAR}{_TIME}"
+    rf"|(?i:{_NAME}[ ,\-]+{_YEAR}|{_YEAR}[ ,\-]+{_NAME})"
+    rf"|{_YEAR}{_TIME})$")
+# Groups outside the matching alternative are empty, so each field below is the one group that took part:
+# year | month of a full date | day | quarter | month or month name.
+_FIELDS = "$1$4$7$8$11$13$14$16|$2|$3|$5$6|$9$10$12$15"
 
 
 def parse_date(c: Column | str) -> Column:
     """``struct(iso, frequency, sort_key)`` of a date spelling, or null.
 
     Full dates win over quarters, quarters over months, months over years. Full dates match as a prefix and
-    their month and day are not range-checked (see ``is_calendar_date``). The spelling is rewritten step by step
-    into one form, so each pattern runs once per row and the generated code stays small.
+    their month and day are not range-checked (see ``is_calendar_date``). One regular expression runs per row.
     """
-    text = F.translate(clean(c), "|", "!")
-    for spelling, form in _REWRITES:
-        text = F.regexp_replace(text, spelling, form)
-    return bind(F.split(text, r"\|"), _from_parts)
-
-
-def _from_parts(parts: Column) -> Column:
-    kind, year, day = parts[0], F.get(parts, F.lit(1)).try_cast("int"), F.get(parts, F.lit(3)).try_cast("int")
-    named = F.floor((F.instr(F.lit(_MONTH_STARTS), F.lower(F.substring(F.get(parts, F.lit(2)), 1, 3))) + 2) / 3)
-    part = F.coalesce(F.get(parts, F.lit(2)).try_cast("int"), named.cast("int"))
-    month = F.when(kind == "Q", part * 3 - 2).otherwise(part)
-    iso = (F.when(kind == "D", F.format_string("%04d-%02d-%02d", year, month, day))
-           .when(kind == "Q", F.format_string("%04d-Q%d", year, part))
-           .when(kind == "M", F.format_string("%04d-%02d", year, month))
-           .otherwise(F.format_string("%04d-01-01", year)))
-    frequency = (F.when(kind == "D", F.lit("daily")).when(kind == "Q", F.lit("quarterly"))
-                 .when(kind == "M", F.lit("monthly")).otherwise(F.lit("annual")))
-    key = (year.cast("bigint") * 10000 + month * 100 + day).cast("bigint")
-    return F.when(day.isNotNull(), F.struct(iso.alias("iso"), frequency.alias("frequency"), key.alias("sort_key")))
+    fields = F.regexp_replace(F.translate(clean(c), "|", "!"), _SPELLING, _FIELDS)
+    return F.when(_col(c).isNotNull(), bind(F.split(fields, r"\|"), _from_fields))
+
+
+def _from_fields(fields: Column) -> Column:
+    # Casts are guarded by what the pattern matched: a failing try_cast costs far more than the whole parse.
+    def text(i: int) -> Column:
+        return F.get(fields, F.lit(i))
+
+    def whole(i: int) -> Column:
+        return text(i).cast("int")
+
+    year, quarter, month = whole(0), whole(3), text(4)
+    named = F.floor((F.instr(F.lit(_MONTH_STARTS), F.lower(F.substring(month, 1, 3))) + 2) / 3).cast("int")
+    month = F.when(month < "A", month.cast("int")).otherwise(named)
+
+    def parsed(iso: Column, frequency: str, m: Column, d: Column) -> Column:
+        key = (year.cast("bigint") * 10000 + m * 100 + d).cast("bigint")
+        return F.struct(iso.alias("iso"), F.lit(frequency).alias("frequency"), key.alias("sort_key"))
+
+    one = F.lit(1)
+    return (F.when(F.size(fields) == 1, F.lit(None))
+            .when(text(2) != "", parsed(F.format_string("%04d-%02d-%02d", year, whole(1), whole(2)), "daily", whole(1), whole(2)))
+            .when(text(3) != "", parsed(F.format_string("%04d-Q%d", year, quarter), "quarterly", quarter * 3 - 2, one))
+            .when(text(4) != "", parsed(F.format_string("%04d-%02d", year, month), "monthly", month, one))
+            .otherwise(parsed(F.format_string("%04d-01-01", year), "annual", one, one)))
 
 
 def frequency_of_hint(c: Column | str) -> Column:

@@ -108,7 +108,9 @@ def scaled_number(c: Column | str) -> Column:
     marked = F.when(~_col(c).rlike(r"(?i)^\s*n/?a\s*$"), F.concat(marked, F.when(cell.endswith("%"), F.lit("%")).otherwise(F.lit(""))))
 
     def read(m: Column) -> Column:
-        number = F.regexp_extract(m, r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", 0).try_cast("double")
+        # Guarded, because a failing try_cast is very slow; the pattern admits numbers only.
+        digits = F.regexp_extract(m, r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", 0)
+        number = bind(digits, lambda d: F.when(d != "", d.cast("double")))
         scale = F.lit(1.0)
         for power, _ in fixed.NUMBER_SCALES:
             scale = F.when(m.rlike(f"~{power}%?$"), F.lit(float(f"1e{power}"))).otherwise(scale)
@@ -169,12 +171,16 @@ def format_spec_value(c: Column | str, unit: Column | str) -> Column:
 
 def cell_names(c: Column | str, limit: int = fixed.MAX_NAMES_PER_CELL) -> Column:
     """Names inside a JSON list of objects, at most ``limit``; else the cell itself when it is a plain name."""
-    cell = clean(c)
-    found = F.regexp_extract_all(cell, F.lit(r'"name"\s*:\s*"((?:[^"\\]|\\.)+)"'), F.lit(1))
-    names = F.transform(found, lambda n: clean(F.replace(n, F.lit('\\"'), F.lit('"'))))
-    names = F.slice(F.array_distinct(F.filter(names, lambda n: F.length(n) > 1)), 1, limit)
-    single = F.when(F.length(cell) > 1, F.array(cell)).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(names) >= 1, names).otherwise(single)
+    # The name pattern never backtracks, so a long text cannot exhaust the stack of the regex engine.
+    pattern = r'"name"\s*:\s*"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+
+    def names(cell: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(cell, F.lit(pattern), F.lit(1)), lambda n: clean(F.replace(n, F.lit('\\"'), F.lit('"'))))
+        kept = F.slice(F.array_distinct(F.filter(found, lambda n: F.length(n) > 1)), 1, limit)
+        single = F.when(F.length(cell) > 1, F.array(cell)).otherwise(F.array().cast("array<string>"))
+        return bind(kept, lambda k: F.when(F.size(k) >= 1, k).otherwise(single))
+
+    return bind(clean(c), names)
 
 
 # --- text taggers ------------------------------------------------------------------------------------------

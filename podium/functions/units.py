@@ -33,9 +33,13 @@ def convert_unit(value: Column | str, source: Column | str, target: Column | str
     Both units must be known and share the canonical unit: a dimension alone is not enough, since dollars and
     euros (or barrels and litres) have no fixed ratio.
     """
-    a, b = normalize_unit(source), normalize_unit(target)
+    return convert_known(_col(value), normalize_unit(source), normalize_unit(target))
+
+
+def convert_known(value: Column, a: Column, b: Column) -> Column:
+    """As ``convert_unit`` for units that are already looked up."""
     defined = a["known"] & b["known"] & (a["dimension"] == b["dimension"]) & (a["canonical"] == b["canonical"])
-    return F.when(defined, _col(value) * a["factor"] / b["factor"])
+    return F.when(defined, value * a["factor"] / b["factor"])
 
 
 def unit_word(c: Column | str) -> Column:

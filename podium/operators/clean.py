@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import (ascii_slug, clean, convert_unit, infer_frequency, normalize_unit, parse_date,
+from ..functions import (ascii_slug, clean, convert_known, infer_frequency, normalize_unit, parse_date,
                          scaled_number)
 from .entities import resolve_entities
 from .ordering import first_per_group
@@ -59,21 +59,21 @@ def normalize(obs: DataFrame, dataset_unit: str | None = None, target_unit: str
               dictionary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(normalised, dropped): ISO date, canonical unit, optional conversion, resolved entity. Nothing is imputed."""
     obs = with_observation_columns(obs)
-    parsed = obs.withColumn("_date", parse_date("date"))
-    dropped = parsed.filter(F.col("_date").isNull()).select("ord", "date", F.lit("unparsable-date").alias("reason"))
+    dropped = obs.filter(parse_date("date").isNull()).select("ord", "date", F.lit("unparsable-date").alias("reason"))
     raw_unit = F.coalesce(F.col("unit"), F.lit(dataset_unit).cast("string"))
-    unit = normalize_unit(raw_unit)
+    # One evaluation of each rule: the generator drops unreadable dates, and fields are taken from stored structs.
+    dated = obs.select("*", F.inline(F.array_compact(F.array(parse_date("date")))).alias("_iso", "_frequency", "_key"))
+    dated = dated.withColumn("_unit", normalize_unit(raw_unit))
     value, factor = F.col("value"), F.lit(None).cast("double")
     if target_unit:
-        converted = convert_unit("value", raw_unit, F.lit(target_unit))
-        value, factor = F.coalesce(converted, value), F.when(converted.isNotNull(), unit["factor"])
-    known = resolve_entities(parsed.filter(F.col("_date").isNotNull()), "entity", dictionary)
-    rows = known.select(
+        dated = dated.withColumn("_converted", convert_known(value, F.col("_unit"), normalize_unit(F.lit(target_unit))))
+        value, factor = F.coalesce("_converted", value), F.when(F.col("_converted").isNotNull(), F.col("_unit.factor"))
+    rows = resolve_entities(dated, "entity", dictionary).select(
         "ord", F.col("resolved_name").alias("entity"), F.col("resolved_id").alias("entity_id"), "resolution", "iso2",
-        F.col("date").alias("source_date"), F.col("_date.iso").alias("date"), F.col("_date.frequency").alias("frequency"),
-        F.col("_date.sort_key").alias("sort_key"), value.alias("value"),
+        F.col("date").alias("source_date"), F.col("_iso").alias("date"), F.col("_frequency").alias("frequency"),
+        F.col("_key").alias("sort_key"), value.alias("value"),
         F.when(F.col("value").isNull(), F.lit("UNKNOWN")).otherwise(F.coalesce("status", F.lit("SUPPORTED"))).alias("status"),
-        unit["canonical"].alias("unit"), unit["dimension"].alias("unit_dimension"), unit["known"].alias("unit_known"),
+        F.col("_unit.canonical").alias("unit"), F.col("_unit.dimension").alias("unit_dimension"), F.col("_unit.known").alias("unit_known"),
         factor.alias("conversion_factor"), "geography", "source", "source_url", "confidence")
     return rows, dropped
 

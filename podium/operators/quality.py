@@ -288,8 +288,8 @@ def report_totals(report: DataFrame, obs: DataFrame) -> DataFrame:
     """One row: observations, entities, violations, passed."""
     counts = obs.select(slugify("entity").alias("slug")).groupBy("slug").agg(F.count("*").alias("n")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("observations"), F.count("*").alias("entities"))
-    violations = report.agg(F.sum("violations")).scalar()
-    return counts.select("*", violations.alias("violations"), (violations == 0).alias("passed"))
+    counts = counts.select("*", report.agg(F.sum("violations")).scalar().alias("violations"))
+    return counts.withColumn("passed", F.col("violations") == 0)
 
 
 def gate(obs: DataFrame, frames: DataFrame, report: DataFrame) -> DataFrame:

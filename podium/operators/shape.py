@@ -130,8 +130,10 @@ def name_year_rows(df: DataFrame, entity: str, date: str, value: str) -> DataFra
     """(entity, date, value) rows with the date cut to its year; unusable rows are left out."""
     year = matched(F.col(date).cast("string"), r"(-?\d{1,5})", 1)
     parsed = scaled_number(F.col(value).cast("string"))["value"]
-    rows = df.select(F.col(entity).cast("string").alias("entity"), year.alias("date"), parsed.alias("value"))
-    return explode_names(rows.filter("date is not null and value > 0"), "entity")
+    rows = df.select(F.col(entity).cast("string").alias("_cell"), year.alias("date"), parsed.alias("value"))
+    # Unusable rows have no names. A filter would be pushed below and parse every number twice.
+    names = F.when(F.col("date").isNotNull() & (F.col("value") > 0), F.transform(cell_names("_cell"), strip_corporate_suffix))
+    return rows.select(F.explode(names).alias("entity"), "date", "value")
 
 
 def sum_by_name_year(df: DataFrame, entity: str, date: str, value: str, keep: int | None = 200_000) -> DataFrame:

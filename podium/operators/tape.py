@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as fixed
-from ..functions import flag_emoji, leading_year
+from ..functions import flag_emoji, leading_year, matched
 from ..session import write_stage
 from .entities import resolve_entities
 from .ordering import first_per_group, with_previous
@@ -85,7 +85,7 @@ def drawable(ends: DataFrame, top_n: int, direction: str) -> DataFrame:
 
 def carry_cap_in_periods(obs: DataFrame, years: int = 10) -> DataFrame:
     """One row: about ``years`` of carry, in periods, from the mean spacing of the distinct years."""
-    found = obs.select(F.regexp_extract("date", r"^(\d{1,4})", 1).try_cast("int").alias("y")).dropna().distinct()
+    found = obs.select(matched(F.col("date"), r"^(\d{1,4})", 1).cast("int").alias("y")).dropna().distinct()
     stats = found.agg(F.count("*").alias("n"), (F.max("y") - F.min("y")).alias("span"))
     span = F.when(F.col("n") > 1, F.col("span")).otherwise(1).cast("double")
     spacing = F.greatest(F.lit(1.0), span / F.greatest(F.lit(1), F.col("n") - 1))
@@ -287,5 +287,7 @@ def trim_sparse_head(obs: DataFrame, top_n: int) -> DataFrame:
     per_year = pairs.groupBy("y").agg(F.count("*").alias("n"))
     wanted = pairs.agg(F.greatest(F.lit(2), F.least(F.lit(top_n), F.count_distinct("entity_id")))).scalar()
     first = per_year.agg(F.min(F.when(F.col("n") >= wanted, F.col("y"))).alias("full"), F.min("y").alias("head"))
-    start = first.select(F.when(F.col("full") > F.col("head"), F.col("full"))).scalar()
-    return obs.filter(start.isNull() | (year >= start))
+    # Without a cut the threshold lies below every year, and below the stand-in for a date without a year.
+    undated, everything = F.lit(-100_001), F.lit(-100_002)
+    start = first.select(F.coalesce(F.when(F.col("full") > F.col("head"), F.col("full")), everything)).scalar()
+    return obs.filter(F.coalesce(year, undated) >= start)
