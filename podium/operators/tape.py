@@ -139,8 +139,13 @@ class Tape:
                 .select(frame.alias("frame_index"), "transition", "k", "t", "entity_id",
                         (F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias("value"), "held"))
 
-    def bars(self, prune: bool = True, hold: bool = True, moments: str = "all") -> DataFrame:
-        """Drawn bars. The last moving frame is repeated for one more transition when ``hold``."""
+    def bars(self, prune: bool = True, hold: bool = True, moments: str = "all", exact_final: bool = False) -> DataFrame:
+        """Drawn bars. The last moving frame is repeated for one more transition when ``hold``.
+
+        With ``exact_final`` the hold shows the last period's own values.
+        """
+        if hold and exact_final:
+            return self.bars(prune, False, moments).unionByName(self.exact_final_bars())
         drawn = first_per_group(self.tweens(prune, moments), ["frame_index"], self.order(), self.top_n)
         in_frame = Window.partitionBy("frame_index")  # at most top_n rows each
         scale = F.greatest(F.max("value").over(in_frame), F.lit(fixed.SMALLEST_BAR_SCALE))
@@ -161,6 +166,20 @@ class Tape:
         return bars.select("frame_index", "transition", "entity_id", "value", "rank", "previous_rank", "width", "held",
                            "rank_delta", "is_mover", "is_boundary", "max_value")
 
+    def exact_final_bars(self) -> DataFrame:
+        """The hold as the last period itself, instead of the last moving frame: bars of the filled series there."""
+        ranks, n, steps = self.boundary_ranks(), self.n_periods, self.frames_per_transition
+        before = ranks.filter(F.col("period_index") == max(n - 2, 0)).select("entity_id", F.col("rank").alias("previous_rank"))
+        scale = F.greatest(F.max("value").over(Window.partitionBy("period_index")), F.lit(fixed.SMALLEST_BAR_SCALE))  # top_n rows
+        end = ranks.filter(F.col("period_index") == n - 1).withColumn("max_value", scale).join(before, "entity_id", "left")
+        change = F.col("previous_rank") - F.col("rank")
+        first = self.last_moving_frame + 1
+        return end.select(
+            F.explode(_count(first, first + steps - 1)).alias("frame_index"), F.lit(self.n_transitions - 1).cast("bigint").alias("transition"),
+            "entity_id", "value", "rank", "previous_rank", (F.col("value") / F.col("max_value")).alias("width"), "held",
+            change.alias("rank_delta"), F.coalesce(F.abs(change) >= self.ranking.mover_threshold, F.lit(False)).alias("is_mover"),
+            F.lit(False).alias("is_boundary"), "max_value")
+
     def frames(self) -> DataFrame:
         """One row per frame: labels, position in the transition, boundary flag, bar scale."""
         steps, n = self.frames_per_transition, self.n_periods

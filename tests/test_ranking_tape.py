@@ -87,6 +87,13 @@ def test_single_period_tape(obs):
     assert [f.t for f in t.frames().orderBy("frame_index").collect()][-1] == 1.0
 
 
+def test_exact_final_hold(obs):
+    rows = [("A", "2000", 4.0), ("A", "2001", 8.0), ("B", "2000", 5.0), ("B", "2001", 6.0)]
+    t = tape.build_tape(ranking.rank_observations(obs(rows), top_n=2, mover_threshold=1), 2)
+    got = {(b.frame_index, b.entity_id, b.value, b.rank, b.rank_delta, b.width) for b in t.bars(exact_final=True).filter("frame_index >= 2").collect()}
+    assert got == {(i, *x) for i in (2, 3) for x in (("a", 8.0, 1, 1, 1.0), ("b", 6.0, 2, -1, 0.75))}
+
+
 def test_carry_cap(obs):
     rows = [("A", str(y), 1.0) for y in range(2000, 2008)] + [("B", "2000", 5.0), ("B", "2002", 6.0)]
     t = tape.build_tape(ranking.rank_observations(obs(rows), top_n=5), 2, max_carry=2)
