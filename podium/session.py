@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _local_folder: str | None = None
 
@@ -55,3 +56,38 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a written table through Hadoop's file system, so that it works wherever the folder lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Stages:
+    """Owner of written intermediate tables.
+
+    ``write`` stages a table under a fresh name and returns it reread; ``drop`` removes those that later steps no
+    longer read. What a returned plan still reads stays; the cluster's lifetime rule for ``spark.checkpoint.dir`` ends it.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root, self._paths = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", set()
+
+    def path(self, name: str) -> str:
+        """A folder of this owner, for files that are not tables."""
+        self._paths.add(name)
+        return f"{self.root}/{name}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(self.path(name))
+        return self.read(name, df.schema)
+
+    def read(self, name: str, schema: StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names or tuple(self._paths):
+            if name in self._paths:
+                self._paths.discard(name)
+                drop_folder(self.spark, f"{self.root}/{name}")
