@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import Stages
 from .common import documents, slices
-from .encoding import as_ids, encoder
+from .encoding import encoder
 
 _MAGIC = b"PODBITS1"
 _FOOTER = struct.Struct("<8sIIQQQ")
@@ -86,9 +86,10 @@ class Writer:
         self.data.write(packed)
         self.at += len(packed)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.ids.append(doc_id)
-        self.lengths.append(len(ids))
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Append documents: their ids one after another, and how many each has."""
+        self.ids += doc_ids
+        self.lengths += lengths.tolist()
         self.held.append(ids)
         self.n_held += len(ids)
         if self.n_held >= self.block_ids:
@@ -164,11 +165,11 @@ def write_packed(docs: DataFrame, tokenizer: str, end_id: int, stages: Stages, i
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, out = encoder(tokenizer), TaskContext.get().partitionId(), None
-        path, end = f"{folder}/part-{part:06d}.bits", np.array([end_id], "<u4")
-        for batch in slices(batches):
+        path = f"{folder}/part-{part:06d}.bits"
+        for batch in slices(batches, byte_bound=2 << 20):
             out = out or Writer(path, bits_for(tool.vocabulary))
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), tool.encode(batch["text"].to_pylist())):
-                out.add(doc_id, np.concatenate([as_ids(ids, tool.dtype), end]))
+            ids, at = tool.column(batch["text"])
+            out.add(batch["doc_id"].to_pylist(), np.insert(ids, at[1:], end_id), np.diff(at) + 1)
         if out:
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]},

@@ -1,8 +1,9 @@
 """Token ids by the tokenizers library, remembered per stretch of text.
 
-Byte-level BPE of this kind never merges across the border between a word and a space before the next word, so a
-text is cut at single spaces, each distinct stretch is encoded once per process and the ids are joined. Where a cut could
-matter (runs of blanks, special tokens, any other kind of tokenizer) the library encodes the text as a whole.
+Byte-level BPE of this kind never merges across the border between a word and the space, line feed or punctuation mark
+that follows it. Texts are cut there by array operations, equal stretches are found by a 64-bit hash, each new stretch
+is encoded once per process, and ids are gathered from the table of stretches. Borders that could belong to a longer run of
+blanks are no cuts; texts with special tokens, and other kinds of tokenizers, go to the library as they are.
 """
 
 from __future__ import annotations
@@ -11,27 +12,93 @@ import json
 import os
 import string
 from array import array
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import regex
 
+from .textvec import span_hashes, text_bytes
+
 #: Pre-tokens of byte-level BPE with its built-in pattern (fixed value of that tokenizer kind).
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Up to here the classes of letters, digits and blanks are the same in every Unicode release in use.
 _STABLE = regex.compile(r"[\u0000-ʯ]*")
+_BYTES = np.arange(256)
+#: Bytes that cannot begin a blank: no control or space, no first byte of a blank beyond ASCII.
+_NO_BLANK = ~np.isin(_BYTES, [*range(0, 33), 0xC2, 0xE1, 0xE2, 0xE3])
+_PRINTED = (_BYTES > 32) & (_BYTES < 127)
+_LETTER = np.isin(_BYTES, list(string.ascii_letters.encode()))
+_MARK = np.isin(_BYTES, list(string.punctuation.encode()))
 
 
 def byte_alphabet() -> list[str]:
     """The letter that stands for each byte in vocabularies of this kind: printable bytes themselves, the rest from U+0100."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     others = iter(range(0x100, 0x200))
-    return [chr(b) if b in set(plain) else chr(next(others)) for b in range(256)]
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+def cuts(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of the stretches of all texts: text starts, spaces and line feeds before a word, marks behind a letter."""
+    n = len(flat)
+    follows = np.zeros(n, bool)
+    follows[:-1] = _NO_BLANK[flat[1:]]
+    follows[offsets[1:][offsets[1:] > 0] - 1] = False
+    cut = (flat == 32) & follows
+    line = (flat == 10) & follows
+    line[0:1] = False
+    line[1:] &= _PRINTED[flat[:-1]]
+    mark = _MARK[flat]
+    mark[0:1] = False
+    mark[1:] &= _LETTER[flat[:-1]]
+    cut |= line | mark
+    cut[offsets[:-1][offsets[:-1] < n]] = True
+    return np.flatnonzero(cut)
+
+
+class StretchTable:
+    """Ids of stretches, found by hash. ``learn`` encodes new ones; beyond ``limit`` stretches the table starts anew."""
+
+    def __init__(self, learn: Callable[[list[bytes]], list[bytes]], dtype: str, limit: int = 1_500_000) -> None:
+        self.learn, self.dtype, self.limit = learn, dtype, limit
+        self._reset()
+
+    def _reset(self) -> None:
+        self.keys, self.at, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, self.dtype)
+
+    def rows(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The table row of each stretch; unknown ones are encoded and added first."""
+        keys, first, back = np.unique(span_hashes(flat, starts, ends, lower=False), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > self.limit:
+            self._reset()
+        at = np.searchsorted(self.keys, keys)
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        if not known.all():
+            fresh = np.flatnonzero(~known)
+            text, of = flat.tobytes(), first[fresh]
+            found = self.learn([text[a:b] for a, b in zip(starts[of].tolist(), ends[of].tolist())])
+            lengths = np.array([len(x) for x in found], np.int32) // np.dtype(self.dtype).itemsize
+            begin = len(self.ids) + np.cumsum(lengths) - lengths
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), self.dtype)])
+            where = at[fresh]
+            self.keys = np.insert(self.keys, where, keys[fresh])
+            self.at, self.lengths = np.insert(self.at, where, begin), np.insert(self.lengths, where, lengths)
+            at = np.searchsorted(self.keys, keys)
+        return at[back.reshape(-1)]
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the stretches one after another, position of each stretch and the end)."""
+        lengths = self.lengths[rows]
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        return self.ids[np.repeat(self.at[rows] - ends[:-1], lengths) + np.arange(ends[-1])], ends
 
 
 class Encoder:
-    """``encode`` gives each text's ids as little-endian bytes of ``dtype``. ``entries`` bounds what is remembered."""
+    """``column`` gives the ids of all texts of an Arrow column, one after another, and where each text's ids begin."""
 
-    def __init__(self, path: str, specials_as_text: bool = False, entries: int = 350_000) -> None:
+    def __init__(self, path: str, specials_as_text: bool = False, learn: Callable[[Encoder, list[bytes]], list[bytes]] | None = None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -39,78 +106,57 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.library.encode_special_tokens = specials_as_text
-        spec = json.loads(self.library.to_str())
+        self.spec = json.loads(self.library.to_str())
         self.vocabulary = max(self.library.get_vocab(with_added_tokens=True).values()) + 1
-        self.dtype = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
-        self._kind = "H" if self.vocabulary <= 1 << 16 else "I"
-        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
-        self._by_stretch = (
-            spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+        self.dtype, self.kind = ("<u2", "H") if self.vocabulary <= 1 << 16 else ("<u4", "I")
+        before, model = self.spec.get("pre_tokenizer") or {}, self.spec["model"]
+        self.by_stretch = (
+            self.spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
             and not before.get("add_prefix_space") and model["type"] == "BPE" and not model.get("dropout")
             and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and not model.get("ignore_merges"))
-        self._specials = [] if specials_as_text else [t["content"] for t in spec.get("added_tokens", [])]
-        self._letters = dict(enumerate(byte_alphabet()))
-        self._find = regex.compile(PRETOKENS).findall
-        self._model = self.library.model
-        self._half = entries
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._marks = {m: self._whole(m) for m in string.punctuation}
-
-    def _whole(self, text: str) -> bytes:
-        return array(self._kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(self._letters)
-        return array(self._kind, [t.id for t in self._model.tokenize(letters)]).tobytes()
-
-    def _stretch(self, text: str) -> bytes:
-        if not _STABLE.fullmatch(text):
-            return self._whole(text)
-        return b"".join([self._word(w) for w in self._find(text)])
-
-    def _learn(self, piece: str, lead: str = " ") -> bytes | None:
-        """Ids of ``lead`` (a space or a line feed) and ``piece``; None where the lead may belong to a longer run of blanks.
-
-        A word with a punctuation mark or a line break behind it ends there, so only words are kept in mind.
-        """
-        if not piece or piece[0].isspace():
+        self.specials = [] if specials_as_text else [t["content"].encode() for t in self.spec.get("added_tokens", [])]
+        self.letters = dict(enumerate(byte_alphabet()))
+        self.find = regex.compile(PRETOKENS).findall
+        self.table = StretchTable((lambda new: learn(self, new)) if learn else self._learn, self.dtype)
+
+    def whole(self, text: str) -> bytes:
+        return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def pretokens(self, stretch: bytes) -> list[bytes] | None:
+        """The pre-tokens of a stretch; None where only the library's own Unicode tables should decide."""
+        text = stretch.decode()
+        if not stretch.isascii() and not _STABLE.fullmatch(text):
             return None
-        key = piece if lead == " " else " " + lead + piece  # no piece holds a space
-        ids = self._young.get(key) or self._old.get(key)
-        if ids is None:
-            if "\n" in piece:
-                first, *lines = piece.split("\n")
-                if any(not x or x[0].isspace() or x[-1].isspace() for x in (first, *lines)):
-                    ids = self._stretch(lead + piece)
-                else:
-                    return b"".join([self._learn(first, lead), *[self._learn(x, "\n") for x in lines]])
-            elif piece[-1] in self._marks and (word := piece[:-1]).isalpha() and _STABLE.fullmatch(word):
-                return self._learn(word, lead) + self._marks[piece[-1]]
-            elif lead == " " and piece.isalpha() and piece.isascii():
-                ids = array(self._kind, [t.id for t in self._model.tokenize("Ġ" + piece)]).tobytes()
+        return [stretch] if text[1:].isalpha() and text[0] == " " else [w.encode() for w in self.find(text)]
+
+    def _learn(self, stretches: list[bytes]) -> list[bytes]:
+        tokenize, letters, kind, out = self.library.model.tokenize, self.letters, self.kind, []
+        for stretch in stretches:
+            words = self.pretokens(stretch)
+            if words is None:
+                out.append(self.whole(stretch.decode()))
+            else:
+                out.append(array(kind, [t.id for w in words for t in tokenize(w.decode("latin-1").translate(letters))]).tobytes())
+        return out
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        flat, offsets = text_bytes(texts)
+        held = flat.tobytes() if self.specials else b""
+        if not self.by_stretch or any(s in held for s in self.specials):
+            return self._one_by_one(texts, flat, offsets)
+        starts = cuts(flat, offsets)
+        ids, ends = self.table.gather(self.table.rows(flat, starts, np.append(starts[1:], len(flat))))
+        return ids, ends[np.searchsorted(starts, offsets)]
+
+    def _one_by_one(self, texts: pa.Array, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for i in range(len(texts)):
+            text = flat[offsets[i] : offsets[i + 1]].tobytes()
+            if self.by_stretch and not any(s in text for s in self.specials):
+                found.append(self.column(texts.slice(i, 1))[0])
             else:
-                ids = self._stretch(lead + piece)
-        if len(self._young) >= self._half:
-            self._old, self._young = self._young, {}
-        self._young[key] = ids
-        return ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [self._one(t) for t in texts]
-
-    def _one(self, text: str) -> bytes:
-        if not self._by_stretch or any(s in text for s in self._specials):
-            return self._whole(text)
-        head, *pieces = text.split(" ")
-        found = [*map(self._young.get, pieces)]
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None and (learnt := self._learn(pieces[i])) is not None:
-                    found[i] = learnt
-                elif ids is None:
-                    return self._whole(text)
-        return (self._stretch(head) if head else b"") + b"".join(found)
+                found.append(np.frombuffer(self.whole(text.decode()), self.dtype))
+        return np.concatenate(found or [np.zeros(0, self.dtype)]), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)]).astype(np.int64)
 
 
 _loaded: dict[tuple, Encoder] = {}
@@ -122,7 +168,3 @@ def encoder(path: str, specials_as_text: bool = False) -> Encoder:
     if key not in _loaded:
         _loaded[key] = Encoder(path, specials_as_text)
     return _loaded[key]
-
-
-def as_ids(ids: bytes, dtype: str) -> np.ndarray:
-    return np.frombuffer(ids, dtype).astype("<u4")

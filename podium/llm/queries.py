@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .bitpack import pack_documents
 from .common import Query, table
 from .exact_dedup import exact_dedup
+from .quality import quality
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -45,3 +47,13 @@ def op4_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary(), end_id=50256)
+
+
+@_query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

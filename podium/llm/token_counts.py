@@ -32,15 +32,15 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, stages: Stages, id_
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, stream, ordinal, size = encoder(tokenizer, True), TaskContext.get().partitionId(), None, 0, 0
-        end = np.array([end_id], tool.dtype).tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, byte_bound=2 << 20):
             if stream is None:
                 files, path = filesystem(f"{folder}/part-{part:06d}.tokens")
                 files.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 stream = files.open_output_stream(partial := f"{path}.{uuid.uuid4().hex}")
-            for ids in tool.encode(batch["text"].to_pylist()):
-                stream.write(ids + end)
-                size += len(ids) + len(end)
+            ids, at = tool.column(batch["text"])
+            ids = np.insert(ids, at[1:], end_id)
+            stream.write(ids.tobytes())
+            size += ids.nbytes
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()),
                                               pa.array(range(ordinal, ordinal + n), pa.int64()), batch["doc_id"]], schema=schema)
@@ -48,7 +48,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, stages: Stages, id_
         if stream is not None:
             stream.close()
             files.move(partial, path)
-            yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/part-{part:06d}.tokens"], "n_bytes": [size], "width": [len(end)],
+            yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/part-{part:06d}.tokens"], "n_bytes": [size], "width": [ids.itemsize],
                                               "ordinal": [None], "doc_id": [None]}, schema)
 
     said = stages.write(documents(docs, id_col, text_col).mapInArrow(
