@@ -57,6 +57,12 @@ def cuts(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def ragged(flat: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The slices of ``flat`` that begin at ``at``, one after another."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return flat[np.repeat(at - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class StretchTable:
     """Ids of stretches, found by hash. ``learn`` encodes new ones; beyond ``limit`` stretches the table starts anew."""
 
@@ -68,23 +74,38 @@ class StretchTable:
         self.keys, self.at, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids = np.zeros(0, self.dtype)
 
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, keys)
+        return at, self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+    def add(self, keys: np.ndarray, stretches: list[bytes]) -> None:
+        """Encode stretches whose ``keys`` (ascending, distinct) the table does not have."""
+        if len(self.keys) + len(keys) > self.limit:
+            self._reset()
+        found = self.learn(stretches)
+        lengths = np.array([len(x) for x in found], np.int32) // np.dtype(self.dtype).itemsize
+        begin = len(self.ids) + np.cumsum(lengths) - lengths
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), self.dtype)])
+        where = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, where, keys)
+        self.at, self.lengths = np.insert(self.at, where, begin), np.insert(self.lengths, where, lengths)
+
+    def unknown(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[int, bytes]:
+        keys, first = np.unique(span_hashes(flat, starts, ends, lower=False), return_index=True)
+        fresh = ~self._find(keys)[1]
+        text, of = flat.tobytes(), first[fresh]
+        return dict(zip(keys[fresh].tolist(), [text[a:b] for a, b in zip(starts[of].tolist(), ends[of].tolist())]))
+
     def rows(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The table row of each stretch; unknown ones are encoded and added first."""
         keys, first, back = np.unique(span_hashes(flat, starts, ends, lower=False), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.limit:
-            self._reset()
-        at = np.searchsorted(self.keys, keys)
-        known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        at, known = self._find(keys)
         if not known.all():
-            fresh = np.flatnonzero(~known)
-            text, of = flat.tobytes(), first[fresh]
-            found = self.learn([text[a:b] for a, b in zip(starts[of].tolist(), ends[of].tolist())])
-            lengths = np.array([len(x) for x in found], np.int32) // np.dtype(self.dtype).itemsize
-            begin = len(self.ids) + np.cumsum(lengths) - lengths
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), self.dtype)])
-            where = at[fresh]
-            self.keys = np.insert(self.keys, where, keys[fresh])
-            self.at, self.lengths = np.insert(self.at, where, begin), np.insert(self.lengths, where, lengths)
+            if len(self.keys) + len(keys) > self.limit:
+                self._reset()
+                known[:] = False
+            text, of = flat.tobytes(), first[~known]
+            self.add(keys[~known], [text[a:b] for a, b in zip(starts[of].tolist(), ends[of].tolist())])
             at = np.searchsorted(self.keys, keys)
         return at[back.reshape(-1)]
 
@@ -92,7 +113,7 @@ class StretchTable:
         """(ids of the stretches one after another, position of each stretch and the end)."""
         lengths = self.lengths[rows]
         ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        return self.ids[np.repeat(self.at[rows] - ends[:-1], lengths) + np.arange(ends[-1])], ends
+        return ragged(self.ids, self.at[rows], lengths), ends
 
 
 class Encoder:
@@ -122,21 +143,17 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def pretokens(self, stretch: bytes) -> list[bytes] | None:
-        """The pre-tokens of a stretch; None where only the library's own Unicode tables should decide."""
+    def pretokens(self, stretch: bytes) -> list[bytes]:
         text = stretch.decode()
-        if not stretch.isascii() and not _STABLE.fullmatch(text):
-            return None
         return [stretch] if text[1:].isalpha() and text[0] == " " else [w.encode() for w in self.find(text)]
 
     def _learn(self, stretches: list[bytes]) -> list[bytes]:
         tokenize, letters, kind, out = self.library.model.tokenize, self.letters, self.kind, []
         for stretch in stretches:
-            words = self.pretokens(stretch)
-            if words is None:
-                out.append(self.whole(stretch.decode()))
+            if not stretch.isascii() and not _STABLE.fullmatch(stretch.decode()):
+                out.append(self.whole(stretch.decode()))  # the library's own Unicode tables decide
             else:
-                out.append(array(kind, [t.id for w in words for t in tokenize(w.decode("latin-1").translate(letters))]).tobytes())
+                out.append(array(kind, [t.id for w in self.pretokens(stretch) for t in tokenize(w.decode("latin-1").translate(letters))]).tobytes())
         return out
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

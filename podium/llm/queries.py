@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .bitpack import pack_documents
+from .bitpack import pack_documents as pack_bits
+from .bpe import bpe_round_trip
 from .common import Query, table
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
 from .quality import quality
 from .token_counts import token_counts
 from .toxicity import toxicity
@@ -41,7 +43,7 @@ FROM n JOIN g ON n.t = g.t
 
 @_query
 def op4_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
+    return pack_bits(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
 @_query
@@ -57,3 +59,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@_query
+def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), end_id=0, window=1024)
