@@ -100,7 +100,8 @@ def scan_flat(files: DataFrame, end_id: int, block_bytes: int = BLOCK_BYTES) ->
         F.sum("ends").alias("ends"),
         F.max_by(F.when(F.col("ends") > 0, F.col("open")).otherwise(F.col("in_open") + F.col("open")), "block").alias("open"))
     outer = scanned(groups, ["part"], "group", "out").select("part", "group", "out_ends", "out_open")
-    whole = inner.join(outer, ["part", "group"])
+    # The planner takes both sides for as small as the list of files they come from, so it must not choose to broadcast.
+    whole = inner.hint("merge").join(outer, ["part", "group"])
     carried = F.col("in_open") + F.when(F.col("in_ends") == 0, F.col("out_open")).otherwise(0)
     first = F.col("out_ends") + F.col("in_ends")
     whole = whole.select("part", "block", "ends", "lengths", "open", carried.alias("carried"), first.alias("first"))
@@ -118,4 +119,4 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     columns are ignored.
     """
     files, names = write_flat(docs, tokenizer, end_id, Stages(docs.sparkSession, "token-counts"), id_col, text_col)
-    return names.join(scan_flat(files, end_id), ["part", "ordinal"]).select("doc_id", "n_tokens", "part", "ordinal")
+    return names.hint("merge").join(scan_flat(files, end_id), ["part", "ordinal"]).select("doc_id", "n_tokens", "part", "ordinal")
