@@ -8,6 +8,7 @@ from .bitpack import pack_documents as pack_bits
 from .bpe import bpe_round_trip
 from .common import Query, table
 from .exact_dedup import exact_dedup
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import quality
 from .token_counts import token_counts
@@ -69,3 +70,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), end_id=0, window=1024)
+
+
+@_query
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("c1", "c2")
