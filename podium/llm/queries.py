@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import search
 from .bitpack import pack_documents as pack_bits
 from .bpe import bpe_round_trip
 from .common import Query, table
@@ -75,3 +76,8 @@ def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("c1", "c2")
+
+
+@_query
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
