@@ -26,6 +26,12 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(col(id_col).cast("bigint").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """k1, k2: 128 bits that stand for a document's id and text. Null ids have keys, too; equal rows have equal keys."""
+    doc_id, text = col(id_col).cast("bigint"), F.coalesce(col(text_col), F.lit(""))
+    return [F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(text, doc_id, F.lit(1)).alias("k2")]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, byte_bound: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of at most ``rows`` rows and about ``byte_bound`` bytes (one long row may exceed it)."""
     for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import Stages
-from .common import col, slices
+from .common import col, row_key, slices
 from .components import components
 from .hamming import Index, confirm, suspects
 from .textvec import mix, window_hashes, words
@@ -42,12 +42,8 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets or [long]), np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)]).astype(np.int64)
 
 
-def _content(text) -> list:
-    return [F.xxhash64(text).alias("c1"), F.xxhash64(text, F.lit(1)).alias("c2")]
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, index: Index = INDEX) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, and c1, c2, two hashes of the text as it is.
+    """One row per document: doc_id, n_shingles, component_id, kept, and k1, k2, the key of the row.
 
     Sets of distinct shingles of five words; a shorter text is one shingle, a text without words has none and is linked
     with nothing. Documents with equal sets are one class. Classes whose signatures meet in the Hamming join form families;
@@ -61,8 +57,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     stages = Stages(spark, "near-dedup")
     text = F.coalesce(col(text_col), F.lit(""))
-    read = docs.select(col(id_col).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), *_content(text), text.alias("text"))
-    schema = "doc_id bigint, row bigint, c1 bigint, c2 bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>, sig binary"
+    read = docs.select(col(id_col).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), *row_key(id_col, text_col), text.alias("text"))
+    schema = "doc_id bigint, row bigint, k1 bigint, k2 bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>, sig binary"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256, 1 << 20):
@@ -76,28 +72,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sigs: list = [None] * len(size)
             for i, k, s in zip(some.tolist(), index.keys(signatures), signatures.astype(np.uint8)):
                 keys[i], sigs[i] = k, s.tobytes()
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "row", "c1", "c2")), pa.array(size), *map(pa.array, prints),
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "row", "k1", "k2")), pa.array(size), *map(pa.array, prints),
                                               pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                                             names=["doc_id", "row", "c1", "c2", "n", "f1", "f2", "keys", "sig"])
+                                             names=["doc_id", "row", "k1", "k2", "n", "f1", "f2", "keys", "sig"])
 
     signed = stages.write(read.mapInArrow(sign, schema), "signed")
     same = ["n", "f1", "f2"]
     classes = signed.filter("n > 0").groupBy(*same).agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     classes = stages.write(classes, "classes")
-    heads = signed.select(F.col("row").alias("node"), "doc_id", "c1", "c2", "keys", "sig").join(classes.select("node"), "node")
+    heads = signed.select(F.col("row").alias("node"), "k1", "k2", "keys", "sig").join(classes.select("node"), "node")
     heads = stages.write(heads, "heads")
     pairs = stages.write(suspects(heads.select("node", "keys", "sig"), index), "suspects")
     families = components(pairs, "near-dedup-families").select("node", F.col("root").alias("family"))
-    wanted = stages.write(families.join(heads.select("node", F.col("doc_id").alias("_id"), F.col("c1").alias("_c1"), F.col("c2").alias("_c2")), "node"), "members")
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("c1") == F.col("_c1")) & (F.col("c2") == F.col("_c2"))
+    wanted = stages.write(families.join(heads.select("node", "k1", "k2"), "node"), "members")
     # Fully repeated rows match together; any of them will do, as their texts are equal.
-    members = read.drop("row").join(wanted, match).groupBy("node", "family").agg(F.min("text").alias("text"))
+    members = read.select("k1", "k2", "text").join(wanted.hint("merge"), ["k1", "k2"]).groupBy("node", "family").agg(F.min("text").alias("text"))
     links = stages.write(confirm(members, shingles, percent), "links")
     roots = components(links, "near-dedup-components")
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stages.write(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select(*same, "component_id")
-    out = signed.select("doc_id", *same, "c1", "c2").join(named, same, "left")
+    out = signed.select("doc_id", *same, "k1", "k2").join(named, same, "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "c1", "c2")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "k1", "k2")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component, other columns as they are; of repeated rows one stays."""
+    kept = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    k1, k2 = row_key(id_col, text_col)
+    rows = docs.withColumn("_1", k1).withColumn("_2", k2)
+    rows = rows.join(kept.hint("merge"), (F.col("_1") == F.col("_k1")) & (F.col("_2") == F.col("_k2")), "left_semi")
+    return rows.dropDuplicates(["_1", "_2"]).select(*map(col, docs.columns))

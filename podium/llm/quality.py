@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import Stages
-from .common import col, documents, slices
+from .common import col, row_key, slices
 from .textvec import span_hashes, text_bytes, word_spans, BLANK
 from .toxicity import held_out, label_rows
 
@@ -128,7 +128,7 @@ def site_posteriors(labelled: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, id_col: str = "doc_id",
             text_col: str = "text", label_col: str = "quality", threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, evidence, site, score, kept of every document.
+    """doc_id, held_out, evidence, site, score, kept of every document, and k1, k2, the key of the row.
 
     ``host`` and ``path`` name a document's site, by default its source and, within it, its language. ``evidence`` is
     the document classifier's probability, ``site`` the posterior share of good documents at its path, ``score``
@@ -141,16 +141,18 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path
     """
     stages = Stages(docs.sparkSession, "quality")
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
-    narrow = docs.select(col(id_col).cast("bigint").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"),
+    narrow = docs.select(col(id_col).cast("bigint").alias("doc_id"), *row_key(id_col, text_col), F.coalesce(col(text_col), F.lit("")).alias("text"),
                          F.coalesce(host.cast("string"), F.lit("\u0000none")).alias("host"), F.coalesce(path.cast("string"), F.lit("\u0000none")).alias("path"))
 
+    names, kinds = ("doc_id", "k1", "k2", "host", "path"), "doc_id bigint, k1 bigint, k2 bigint, host string, path string"
+
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, byte_bound=1 << 20):
             m = measures(batch["text"])
             lists = pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["host"], batch["path"], lists], names=["doc_id", "host", "path", "m"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), lists], names=[*names, "m"])
 
-    rows = stages.write(narrow.mapInArrow(measured, "doc_id bigint, host string, path string, m array<double>"), "measures")
+    rows = stages.write(narrow.mapInArrow(measured, f"{kinds}, m array<double>"), "measures")
     labelled = stages.write(rows.join(label_rows(labels, label_col), "doc_id"), "labelled")
     weights = fit_logistic(labelled)
     sites = stages.write(site_posteriors(labelled), "sites")
@@ -161,13 +163,21 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path
             if batch.num_rows:
                 x = _with_squares(np.asarray(batch["m"].flatten()).reshape(batch.num_rows, -1))
                 p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["host"], batch["path"], pa.array(p)], names=["doc_id", "host", "path", "evidence"])
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(p)], names=[*names, "evidence"])
 
-    scored = rows.mapInArrow(judged, "doc_id bigint, host string, path string, evidence double")
+    scored = rows.mapInArrow(judged, f"{kinds}, evidence double")
     by_host = sites.filter("path = '\u0000any'").select("host", F.col("site").alias("_h"))
     scored = scored.join(sites.select("host", "path", "site"), ["host", "path"], "left").join(by_host, "host", "left")
     prior = F.lit(0.5 if prior is None else float(prior))
     site = F.coalesce("site", "_h", prior)
     total = _logit(F.greatest(F.least("evidence", F.lit(1 - 1e-9)), F.lit(1e-9))) + _logit(site) - _logit(prior)
     score = 1 / (1 + F.exp(-total))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "evidence", site.alias("site"), score.alias("score"), (score >= threshold).alias("kept"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "evidence", site.alias("site"), score.alias("score"), (score >= threshold).alias("kept"), "k1", "k2")
+
+
+def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the documents that are not kept, other columns as they are."""
+    poor = quality(docs, labels, id_col=id_col, text_col=text_col, **options).filter("NOT kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    k1, k2 = row_key(id_col, text_col)
+    rows = docs.withColumn("_1", k1).withColumn("_2", k2)
+    return rows.join(poor.hint("merge"), (F.col("_1") == F.col("_k1")) & (F.col("_2") == F.col("_k2")), "left_anti").select(*map(col, docs.columns))

@@ -9,6 +9,7 @@ from .bitpack import pack_documents as pack_bits
 from .bpe import bpe_round_trip
 from .common import Query, table
 from .exact_dedup import exact_dedup
+from .line_dedup import line_duplicates
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import quality
@@ -60,7 +61,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("k1", "k2")
 
 
 @_query
@@ -75,9 +76,14 @@ def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("c1", "c2")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("k1", "k2")
 
 
 @_query
 def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
+@_query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_duplicates(table(spark, sf_dir, "documents")).drop("k1", "k2")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import col, documents, slices
 from .textvec import NOT_ALNUM, window_hashes, words
@@ -86,8 +86,8 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 20, sample_rows: int =
     return parts.groupBy("feature").agg((F.sum("weight") / shards).alias("weight"))
 
 
-def score(docs: DataFrame, weights: DataFrame, bits: int = 20) -> DataFrame:
-    """doc_id and score (0 to 1) of every document's whole text, with weights of at most 2^bits + 1 features."""
+def score(docs: DataFrame, weights: DataFrame, bits: int = 20, text_col: str = "text", carry: Sequence[str] = ("doc_id",), into: str = "score") -> DataFrame:
+    """The columns of ``carry`` and the score (0 to 1) of every document's whole text, with weights of at most 2^bits + 1 features."""
     table = weights.toPandas()  # bounded by the feature space
     dense = np.zeros((1 << bits) + 1, np.float32)
     dense[table["feature"].to_numpy(np.int64)] = table["weight"]
@@ -98,13 +98,15 @@ def score(docs: DataFrame, weights: DataFrame, bits: int = 20) -> DataFrame:
         w = np.zeros((1 << bits) + 1, np.float32)
         w[sent.value[0]] = sent.value[1]
         for batch in slices(batches, byte_bound=1 << 20):
-            numbers, text = features(batch["text"], bits)
+            *kept, text = batch.columns
+            numbers, owner = features(text, bits)
             live = np.flatnonzero(w[numbers])  # most are zero: only the others need to be made distinct
-            numbers, text = per_text(numbers[live], text[live], bits)
-            total = np.bincount(text, weights=w[numbers], minlength=batch.num_rows) + float(w[1 << bits])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], names=["doc_id", "score"])
+            numbers, owner = per_text(numbers[live], owner[live], bits)
+            total = np.bincount(owner, weights=w[numbers], minlength=batch.num_rows) + float(w[1 << bits])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], names=[*carry, into])
 
-    return docs.mapInArrow(rows, "doc_id bigint, score double")
+    schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(into, T.DoubleType())])
+    return docs.select(*map(col, carry), F.coalesce(col(text_col), F.lit("")).alias("_text")).mapInArrow(rows, schema)
 
 
 def held_out(doc_id) -> F.Column:
@@ -128,3 +130,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     weights = train(tidy, label_rows(labels, label_col), **options)
     scored = score(tidy, weights, options.get("bits", 20))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
+    """``docs`` without the documents predicted toxic, other columns as they are. One pass after learning, no join."""
+    weights = train(documents(docs, id_col, text_col), label_rows(labels, label_col), **options)
+    scored = score(docs, weights, options.get("bits", 20), text_col, docs.columns, "_toxicity")
+    return scored.filter("_toxicity < 0.5").drop("_toxicity")
