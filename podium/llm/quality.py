@@ -83,8 +83,10 @@ def fit_logistic(rows: DataFrame, rounds: int = 8, ridge: float = 1.0) -> np.nda
                 c += (x * (p * (1 - p))[:, None]).T @ x
             yield pa.RecordBatch.from_pydict({"sums": [np.concatenate([g, c.ravel()])]})
 
-        found = rows.mapInArrow(sums, "sums array<double>").agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(width + width * width)]).first()
-        total = np.array([v or 0.0 for v in found])
+        each = rows.mapInArrow(sums, "sums array<double>").select(F.posexplode("sums").alias("i", "v"))
+        total = np.zeros(width + width * width)
+        for row in each.groupBy("i").agg(F.sum("v").alias("v")).collect():  # as many rows as there are sums
+            total[row["i"]] = row["v"]
         pull = np.full(width, ridge)
         pull[0] = 1e-3
         step = np.linalg.solve(total[width:].reshape(width, width) + np.diag(pull), total[:width] - pull * weights)
