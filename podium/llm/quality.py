@@ -64,7 +64,7 @@ def _with_squares(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((len(x), 1)), x, x * x], 1)
 
 
-def fit_logistic(rows: DataFrame, rounds: int = 8, ridge: float = 1.0) -> np.ndarray:
+def fit_logistic(rows: DataFrame, rounds: int = 12, ridge: float = 0.1) -> np.ndarray:
     """Newton's method on (m array<double>, label); each round is one pass that adds up gradients and curvatures.
 
     A task sends one row of a few hundred numbers, whatever the number of documents.
