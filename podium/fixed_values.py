@@ -177,8 +177,6 @@ RESERVED_COLUMNS = ("code", "iso", "iso3", "iso_code", "slug", "continent", "fla
 MEASURE_WORDS = ("value|population|total|amount|count|number|sales|users|spend|gdp|production|share|percent|rate|"
                  "emission|revenue|profit|income|deaths|cases|capacity|output|volume|headcount|customers")
 PERSON_COLUMN_WORDS = "cast|actor|actress|player|athlete|artist|performer|starring|people|personnel"
-SAMPLE_ROWS = 50
-MAX_NAMES_PER_CELL = 60
 JSON_ENVELOPES = ("rows", "data", "records", "observations", "items", "results")
 
 # --- text rules: topics, directions, units ----------------------------------------------------------------

@@ -10,6 +10,10 @@ from pyspark.sql import Column, functions as F
 from .. import fixed_values as fixed
 
 
+#: Inside a character class: white space of any script, no-break spaces and the byte order mark included.
+BLANK = r"\t-\r\x85\p{Z}\uFEFF"
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -31,12 +35,12 @@ def fixed_map(entries: dict, value_type: str = "string") -> Column:
 
 def clean(c: Column | str) -> Column:
     """Text without leading and trailing white space of any kind."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
 def squeeze(c: Column | str) -> Column:
     """Trimmed text with inner white space collapsed to one space."""
-    return F.regexp_replace(clean(c), r"\s+", " ")
+    return F.regexp_replace(clean(c), f"[{BLANK}]+", " ")
 
 
 def matched(c: Column, pattern: str, group: int = 0) -> Column:
@@ -59,9 +63,9 @@ def ascii_slug(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(_col(c)), r"[^a-z0-9]+", "-"), r"^-|-$", "")
 
 
-def prefixed_slug(prefix: str, c: Column | str, length: int = 60) -> Column:
-    """``prefix_slug`` identifier, the slug cut to ``length``."""
-    return F.concat(F.lit(prefix + "_"), F.substring(ascii_slug(c), 1, length))
+def prefixed_slug(prefix: str, c: Column | str) -> Column:
+    """``prefix_slug`` identifier."""
+    return F.concat(F.lit(prefix + "_"), ascii_slug(c))
 
 
 def strip_corporate_suffix(c: Column | str) -> Column:
@@ -102,10 +106,10 @@ def scaled_number(c: Column | str) -> Column:
     The longest numeric prefix counts, as in ``12.5k``; a cell with no leading number has a null value.
     """
     cell = clean(c)
-    marked = F.regexp_replace(F.translate(cell, "~" + fixed.CURRENCY_SIGNS + ",", "!"), r"\s+|%$", "")
+    marked = F.regexp_replace(F.translate(cell, "~" + fixed.CURRENCY_SIGNS + ",", "!"), f"[{BLANK}]+|%$", "")
     for power, words in fixed.NUMBER_SCALES:
         marked = F.regexp_replace(marked, f"(?i)({words})$", f"~{power}")
-    marked = F.when(~_col(c).rlike(r"(?i)^\s*n/?a\s*$"), F.concat(marked, F.when(cell.endswith("%"), F.lit("%")).otherwise(F.lit(""))))
+    marked = F.when(~cell.rlike("(?i)^n/?a$"), F.concat(marked, F.when(cell.endswith("%"), F.lit("%")).otherwise(F.lit(""))))
 
     def read(m: Column) -> Column:
         # Guarded, because a failing try_cast is very slow; the pattern admits numbers only.
@@ -169,14 +173,14 @@ def format_spec_value(c: Column | str, unit: Column | str) -> Column:
 
 # --- lists of names in a cell ------------------------------------------------------------------------------
 
-def cell_names(c: Column | str, limit: int = fixed.MAX_NAMES_PER_CELL) -> Column:
-    """Names inside a JSON list of objects, at most ``limit``; else the cell itself when it is a plain name."""
+def cell_names(c: Column | str) -> Column:
+    """Distinct names inside a JSON list of objects; else the cell itself when it is a plain name."""
     # The name pattern never backtracks, so a long text cannot exhaust the stack of the regex engine.
     pattern = r'"name"\s*:\s*"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 
     def names(cell: Column) -> Column:
         found = F.transform(F.regexp_extract_all(cell, F.lit(pattern), F.lit(1)), lambda n: clean(F.replace(n, F.lit('\\"'), F.lit('"'))))
-        kept = F.slice(F.array_distinct(F.filter(found, lambda n: F.length(n) > 1)), 1, limit)
+        kept = F.array_distinct(F.filter(found, lambda n: F.length(n) > 1))
         single = F.when(F.length(cell) > 1, F.array(cell)).otherwise(F.array().cast("array<string>"))
         return bind(kept, lambda k: F.when(F.size(k) >= 1, k).otherwise(single))
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import (ascii_slug, clean, convert_known, infer_frequency, normalize_unit, parse_date,
-                         scaled_number)
+from ..functions import (ascii_slug, clean, convert_known, infer_frequency, normalize_unit, parse_date)
 from .entities import resolve_entities
 from .ordering import first_per_group
 
@@ -103,18 +102,12 @@ def tape_input(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return obs.filter(~out), obs.filter(out).agg(F.count("*").alias("excluded"))
 
 
-def browse(obs: DataFrame, text: str = "", limit: int = 300) -> DataFrame:
+def browse(obs: DataFrame, limit: int, text: str = "") -> DataFrame:
     """Latest valued rows whose entity contains ``text``; the limit is the feature."""
     shown = obs.filter(F.col("value").isNotNull() & F.lower("entity").contains(text.lower()))
     return shown.orderBy(F.col("date").desc(), F.col("ord")).limit(limit)
 
 
-def number_cells(df: DataFrame, column: str) -> DataFrame:
-    """Replace a text column by its scaled number, with the unit it hints at."""
-    parsed = scaled_number(column)
-    return df.withColumns({column: parsed["value"], column + "_unit": parsed["unit_hint"]})
-
-
 def to_core(obs: DataFrame) -> DataFrame:
     """Nested observations to the flat working columns."""
     return obs.select(F.col("entity.name").alias("entity"), "date", "value", "unit", "frequency", "geography", "status",

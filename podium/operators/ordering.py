@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import write_stage
 
-_ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
-_MAP_SIDE_LIMIT = 1000  # Spark limits groups before the shuffle up to this n (windowGroupLimitThreshold)
 
 
 def ranked_stage(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str = "rank",
@@ -25,7 +23,7 @@ def ranked_stage(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ra
     columns = [F.col(k) for k in keys]
     laid = (df.repartitionByRange(*columns, *order).sortWithinPartitions(*columns, *order)
             .withColumn("_place", F.monotonically_increasing_id()))
-    laid = write_stage(laid.withColumn("_task", F.shiftright("_place", _ROW_BITS)), name)
+    laid = write_stage(laid.withColumn("_task", F.spark_partition_id().cast("bigint")), name)
     same_task = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     blocks = laid.groupBy("_task", *keys).agg(F.count("*").alias("_rows"), F.min("_place").alias("_first"))
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(same_task), F.lit(0))).drop("_rows")
@@ -40,15 +38,14 @@ def ranked_stage(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ra
 
 
 def first_rows(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
-    """The ``k`` first rows in a total order.
+    """The ``k`` first rows, in order. Each task keeps k rows and one task merges them, so k must fit in a task."""
+    return df.orderBy(*order).limit(k)
 
-    Small k is a plain ordered limit (each task keeps k rows). Beyond that the merge of per-task rows would
-    outgrow one task, so the rows are ranked across tasks instead.
-    """
-    if k <= 10_000:
-        return df.orderBy(*order).limit(k)
-    ranked = ranked_stage(df.withColumn("_all", F.lit(0)), ["_all"], order, rank="_n", name="first-rows")
-    return ranked.filter(F.col("_n") <= k).drop("_n", "_all")
+
+def first_rows_spread(df: DataFrame, order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
+    """The ``k`` first rows in a total order with their ``rank``, for any k. The result stays spread over tasks and is not sorted."""
+    ranked = ranked_stage(df.withColumn("_all", F.lit(0)), ["_all"], order, rank=rank, name="first-rows")
+    return ranked.filter(F.col(rank) <= k).drop("_all")
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
@@ -56,15 +53,18 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     """The ``n`` first rows of each group, with their place.
 
     Spark applies the ``rank <= n`` limit in every task before the shuffle, so at most n rows per group and task
-    travel, whatever the size of the group. It does so only for small n; beyond that the rows are ranked across
-    tasks, and ``order`` must be a total order.
+    travel, whatever the size of the group. Above ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000) it
+    does not; ``first_per_group_spread`` is for such n.
     """
-    if n > _MAP_SIDE_LIMIT:
-        return ranked_stage(df, keys, order, rank, name="top").filter(F.col(rank) <= n)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
     return df.withColumn(rank, place).filter(F.col(rank) <= n)
 
 
+def first_per_group_spread(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
+    """As ``first_per_group`` for any n: rows are ranked across tasks. ``order`` must be a total order in a group."""
+    return ranked_stage(df, keys, order, rank, name="top").filter(F.col(rank) <= n)
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, out: str,
                   include_current: bool = False, name: str = "previous") -> DataFrame:
     """Add the latest non-null ``value`` among the earlier rows (or this one, too) of the row's group.
@@ -76,7 +76,7 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], v
     columns = [F.col(k) for k in keys]
     laid = (df.withColumn("_value", value).repartitionByRange(*columns, *order).sortWithinPartitions(*columns, *order)
             .withColumn("_place", F.monotonically_increasing_id()))
-    laid = write_stage(laid.withColumn("_task", F.shiftright("_place", _ROW_BITS)), name)
+    laid = write_stage(laid.withColumn("_task", F.spark_partition_id().cast("bigint")), name)
     share = Window.partitionBy("_task", *keys).orderBy("_place").rowsBetween(
         Window.unboundedPreceding, 0 if include_current else -1)
     shares = laid.filter(F.col("_value").isNotNull()).groupBy("_task", *keys).agg(

@@ -13,6 +13,8 @@ from .verify import outlier_jumps, unit_mismatches
 
 CORE_CHECKS = ("schema", "type", "date", "unit", "entity", "duplicate", "range", "source", "temporal", "ranking",
                "rank-as-value", "citation")
+#: What ``core_violations`` runs when it is given no ranking.
+UNRANKED_CHECKS = tuple(c for c in CORE_CHECKS if c != "ranking")
 PLATFORM_CHECKS = ("schema", "type", "date", "unit", "range", "source", "temporal", "citation", "duplicate",
                    "unit-mismatch", "outlier", "rank-as-value", "ranking")
 
@@ -274,8 +276,8 @@ def platform_violations(obs: DataFrame, max_date: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def quality_report(violations: DataFrame, checks: tuple[str, ...] = CORE_CHECKS) -> DataFrame:
-    """One row per check: violations and whether it passed. Checks without violations are listed, too.
+def quality_report(violations: DataFrame, checks: tuple[str, ...] = UNRANKED_CHECKS) -> DataFrame:
+    """One row per check: violations and whether it passed. ``checks`` are those that ran; they are listed without violations, too.
 
     The listed checks are appended as zero-count rows, so the roll-up is one small aggregation.
     """

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fixed
+from ..functions.text import BLANK
 from ..functions import cell_names, clean, looks_like_date, matched, scaled_number, strip_corporate_suffix
 from .ordering import first_rows
 
@@ -30,8 +31,8 @@ class Columns:
     value_guessed: bool
 
 
-def numeric_shares(df: DataFrame, columns: list[str], rows: int = fixed.SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """Share of number cells and of text cells per column in the first rows: one job that returns one row."""
+def numeric_shares(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """Share of number cells and of text cells per column of the whole table: one job that returns one row."""
     if not columns:
         return {}
     stats = []
@@ -39,7 +40,7 @@ def numeric_shares(df: DataFrame, columns: list[str], rows: int = fixed.SAMPLE_R
         cell = clean(F.col(f"`{c}`").cast("string"))
         stats += [F.count(F.when(cell != "", F.lit(1))).alias(f"t{i}"),
                   F.count(F.when((cell != "") & scaled_number(cell)["value"].isNotNull(), F.lit(1))).alias(f"n{i}")]
-    row = df.limit(rows).agg(*stats).first()
+    row = df.agg(*stats).first()
     out = {}
     for i, c in enumerate(columns):
         total, numbers = row[f"t{i}"], row[f"n{i}"]
@@ -48,7 +49,7 @@ def numeric_shares(df: DataFrame, columns: list[str], rows: int = fixed.SAMPLE_R
 
 
 def detect_columns(df: DataFrame) -> Columns:
-    """Pick the entity, date and value columns by name, then by what the first rows hold."""
+    """Pick the entity, date and value columns by name, then by what the cells hold."""
     lower = [c.lower() for c in df.columns]
 
     def named(wanted: tuple[str, ...]) -> str | None:
@@ -70,7 +71,7 @@ def melt_wide(df: DataFrame, entity: str, unit: str = "count") -> DataFrame:
     """Years as headers: one draft per positive number cell."""
     years = [c for c in df.columns if _YEAR_HEADER.fullmatch(c.strip())]
     text = df.select(strip_corporate_suffix(F.col(f"`{entity}`")).alias("entity"),
-                     *[F.regexp_replace(clean(F.col(f"`{c}`").cast("string")), r"[,\s]", "").alias(c.strip()) for c in years])
+                     *[F.regexp_replace(clean(F.col(f"`{c}`").cast("string")), f"[,{BLANK}]", "").alias(c.strip()) for c in years])
     long = text.unpivot("entity", [c.strip() for c in years], "date", "cell").filter("entity != ''")
     value = scaled_number(F.when(~F.col("cell").isin("", "–", "-", "?"), F.col("cell")))["value"]
     return long.select("entity", "date", value.alias("value"), F.lit(unit).alias("unit")).filter("value > 0")
@@ -82,6 +83,8 @@ def melt_transposed(df: DataFrame, date: str, unit: str = "count", entities: lis
         free = [c for c in df.columns if c != date and c.strip() and not _DATE_HEADER.fullmatch(c.strip())]
         shares = numeric_shares(df, free)
         entities = [c for c in free if shares[c][0] >= 0.5]
+        if len(entities) < 2:
+            raise ValueError(f"a table with entities as headers needs two number columns at least, found {entities}")
     text = df.select(clean(F.col(f"`{date}`").cast("string")).alias("date"),
                      *[F.col(f"`{c}`").cast("string").alias(c.strip()) for c in entities])
     long = text.unpivot("date", [c.strip() for c in entities], "entity", "cell").filter(looks_like_date("date"))
@@ -136,8 +139,8 @@ def name_year_rows(df: DataFrame, entity: str, date: str, value: str) -> DataFra
     return rows.select(F.explode(names).alias("entity"), "date", "value")
 
 
-def sum_by_name_year(df: DataFrame, entity: str, date: str, value: str, keep: int | None = 200_000) -> DataFrame:
-    """Sums per (name, year); the ``keep`` largest of them, or all of them with ``keep=None``."""
+def sum_by_name_year(df: DataFrame, entity: str, date: str, value: str, keep: int | None = None) -> DataFrame:
+    """Sums per (name, year), or the ``keep`` largest of them, in order."""
     sums = name_year_rows(df, entity, date, value).groupBy("entity", "date").agg(F.sum("value").alias("value"))
     if keep is None:
         return sums

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fixed
+from ..functions.text import BLANK
 from ..functions import clean, host_authority, host_of, normalise_url
 from .ordering import first_per_group
 
@@ -132,7 +133,7 @@ def match_order(name: str = "name", tie: str = "ord") -> list[Column]:
 
 def match_text(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.lower(F.regexp_replace(c, r"\s+", " "))
+    return F.lower(F.regexp_replace(c, f"[{BLANK}]+", " "))
 
 
 def ground_claims(claims: DataFrame, pages: DataFrame) -> DataFrame:
@@ -157,18 +158,17 @@ def ground_claims(claims: DataFrame, pages: DataFrame) -> DataFrame:
     return marked.withColumn("dropped", F.when(again, F.lit("repeated cell")).otherwise(F.col("dropped"))).drop("_e", "_d", "_first")
 
 
-def claim_unit(c: Column | str) -> Column:
-    text = clean(c)
-    return F.when(text.rlike("(?i)^%|percent"), F.lit("percent")).otherwise(F.coalesce(F.nullif(text, F.lit("")), F.lit("count")))
+def grounded_links(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """Proposed links (run_id, url) that occur in a page read in the same run (run_id, url, text) or are a page's address.
 
-
-def grounded_links(links: DataFrame, pages: DataFrame, inspected: int = 6) -> DataFrame:
-    """Proposed links (run_id, url) that literally occur in a page read in the same run or are a page's address.
-
-    A run reads its ``inspected`` first pages (run_id, ord, url, text), so a link meets at most that many.
+    All pages of a run are read. The addresses of a page's text are taken out once and meet the links of the same run and
+    host by an equi-join, so only short addresses are compared, never whole texts.
     """
-    read = first_per_group(pages, ["run_id"], [F.col("ord")], inspected, "_n").select(
-        "run_id", F.col("url").alias("page_url"), match_text("text").alias("page_text"))
-    found = F.contains("page_text", match_text(F.col("url"))) | (F.col("page_url") == F.col("url"))
-    wanted = links.filter(F.col("url").rlike("^https?:")).distinct()
-    return wanted.join(read, "run_id").filter(found).select(*wanted.columns).distinct()
+    host = r"https?:/*([^/?#\s]*)"
+    wanted = links.filter(F.col("url").rlike("^https?:")).select("run_id", "url").distinct()
+    said = pages.select("run_id", F.explode(F.regexp_extract_all(match_text("text"), F.lit(r"\S*https?:\S*"), F.lit(0))).alias("_said")).distinct()
+    said = said.select("run_id", "_said", F.explode(F.array_distinct(F.regexp_extract_all("_said", F.lit(host), F.lit(1)))).alias("_host"))
+    asked = wanted.withColumn("_url", match_text(F.col("url"))).withColumn("_host", F.regexp_extract("_url", host, 1))
+    in_text = asked.join(said, ["run_id", "_host"]).filter(F.contains("_said", F.col("_url"))).select("run_id", "url")
+    own = wanted.join(pages.select("run_id", "url").distinct(), ["run_id", "url"], "left_semi")
+    return in_text.unionByName(own).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -11,7 +12,7 @@ from ..functions import ascii_slug, infer_frequency
 from ..operators import clean, entities, insight, quality, ranking, shape, tape, verify
 from ..session import write_stage
 
-_SOURCE_SHIFT = 55  # room for 256 sources; the rest holds monotonically_increasing_id or a data key
+_PER_SOURCE = Decimal(1 << 64)  # more than any bigint, so the keys of two sources never meet
 
 
 @dataclass
@@ -43,9 +44,11 @@ class Dataset:
         return insight.observed_range(self.observations)
 
     def report(self) -> DataFrame:
-        return quality.quality_report(quality.core_violations(self.observations, self.max_date))
+        """All core checks, the ranking that the tape is made of included."""
+        ranked = self.ranking(top_n=None).cells.filter("n_valued > 0")
+        return quality.quality_report(quality.core_violations(self.observations, self.max_date, ranked=ranked), quality.CORE_CHECKS)
 
-    def ranking(self, top_n: int = 10, **options) -> ranking.Ranking:
+    def ranking(self, top_n: int | None = 10, **options) -> ranking.Ranking:
         return ranking.rank_observations(clean.tape_input(self.observations)[0], top_n, **options)
 
     def tape(self, top_n: int = 10, frames_per_transition: int = 30, direction: str = "desc", max_carry: int | None = None) -> tape.Tape:
@@ -61,7 +64,7 @@ def source_observations(sources: list[SourceTable], countries_only: bool = False
     for i, source in enumerate(sources):
         drafts = shape.drafts_from_table(source.table, source.unit)
         place = F.col("ord").cast("bigint") if "ord" in drafts.columns else F.monotonically_increasing_id()
-        drafts = drafts.withColumn("ord", place + F.lit(i << _SOURCE_SHIFT).cast("bigint"))
+        drafts = drafts.withColumn("ord", place.cast("decimal(38,0)") + F.lit(i * _PER_SOURCE).cast("decimal(38,0)"))
         named = (entities.countries_only if countries_only else entities.canonical_names)(drafts, "entity", dictionary)
         parts.append(named.select("ord", "entity", "date", "value", "unit").withColumns(
             {"source": F.lit(source.publisher), "source_url": F.lit(source.url), "confidence": F.lit(source.confidence).cast("double")}))

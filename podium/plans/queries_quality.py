@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ascii_slug, slugify
 from ..operators import clean as cleaning
-from ..operators import insight, quality, verify
+from ..operators import insight, quality, ranking, tape, verify
 from ..operators.ranking import with_period
 from .catalogue import query
 from .dataset import SourceTable, build_dataset
@@ -233,7 +233,9 @@ REPORT = " UNION ALL ".join(f"SELECT * FROM ({sql})" for sql in CHECK_SQL.values
 @query("quality_report", f"""SELECT "check", sum(n)::BIGINT AS violations, sum(n) = 0 AS passed FROM ({REPORT} UNION ALL
  SELECT unnest(['schema', 'type', 'date', 'unit', 'entity', 'duplicate', 'range', 'source', 'temporal', 'ranking', 'rank-as-value', 'citation']), NULL, 0) GROUP BY "check" """)
 def quality_report(spark, sf):
-    return quality.quality_report(quality.core_violations(_rows(spark, sf), MAX_DATE))
+    obs = _rows(spark, sf)
+    drawn = ranking.top_per_period(cleaning.tape_input(obs)[0], 10)
+    return quality.quality_report(quality.core_violations(obs, MAX_DATE, ranked=drawn), quality.CORE_CHECKS)
 
 
 PLATFORM = {
@@ -258,16 +260,18 @@ def quality_report_platform(spark, sf):
 @query("report_totals", f"""WITH v AS ({REPORT}) SELECT (SELECT count(*) FROM (WITH {OBS_DIRTY} SELECT * FROM obs)) AS observations,
  (SELECT count(DISTINCT {SLUG}) FROM (WITH {OBS_DIRTY} SELECT * FROM obs)) AS entities, sum(n)::BIGINT AS violations, sum(n) = 0 AS passed FROM v""")
 def report_totals(spark, sf):
-    return quality.report_totals(quality.quality_report(quality.core_violations(_rows(spark, sf), MAX_DATE)), _rows(spark, sf))
+    obs = _rows(spark, sf)
+    ranked = ranking.rank_observations(cleaning.tape_input(obs)[0]).cells.filter("n_valued > 0")
+    return quality.report_totals(quality.quality_report(quality.core_violations(obs, MAX_DATE, ranked=ranked), quality.CORE_CHECKS), obs)
 
 
 @query("gate", _sql("gate", "text", """(SELECT 'null not UNKNOWN: ' || ord AS text FROM obs WHERE value IS NULL AND coalesce(status <> 'UNKNOWN', true)
  UNION ALL SELECT 'blank name: ' || ord FROM obs WHERE trim(entity) = '' UNION ALL SELECT 'failed check: citation')"""))
 def gate(spark, sf):
     obs = _rows(spark, sf)
-    frames = load(spark, sf, "orders").select("o_orderkey")
+    frames = tape.build_tape(ranking.rank_observations(cleaning.tape_input(obs)[0], 10), 2).frames()
     none = F.lit(None).cast("string")
-    report = quality.quality_report(quality.check_citation(obs.withColumns({"source": none, "source_url": none})))
+    report = quality.quality_report(quality.check_citation(obs.withColumns({"source": none, "source_url": none})), ("citation",))
     return quality.gate(obs, frames, report)
 
 
@@ -398,7 +402,7 @@ def tape_input(spark, sf):
 
 @query("browse", f"WITH {OBS_DIRTY} SELECT ord, entity, date, value FROM obs WHERE value IS NOT NULL AND contains(lower(entity), 'customer') ORDER BY date DESC, ord LIMIT 300")
 def browse(spark, sf):
-    return cleaning.browse(_rows(spark, sf), "Customer").select("ord", "entity", "date", "value")
+    return cleaning.browse(_rows(spark, sf), 300, "Customer").select("ord", "entity", "date", "value")
 
 
 @query("dataset_stats", f"""WITH {OBS_DIRTY} SELECT count(*) AS observations, count(DISTINCT {ASCII}) AS entities, count(*) FILTER (status = 'VERIFIED') AS verified,

@@ -92,8 +92,8 @@ def top_name_years(spark, sf):
 @query("top_rows_large", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 12000")
 def top_rows_large(spark, sf):
     """A top-k too large for one task's merge."""
-    from ..operators.ordering import first_rows
-    return first_rows(load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 12_000)
+    from ..operators.ordering import first_rows_spread
+    return first_rows_spread(load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 12_000).drop("rank")
 
 
 @query("year_end_value", """SELECT 'user ' || (user_id % 40) AS entity, year(ts + to_days((event_id % 900)::INT)) AS year,
@@ -352,14 +352,14 @@ def ground_quotes(spark, sf):
     return sourcing.ground_claims(claims, d.select(F.col("doc_id").alias("page_id"), text.alias("text"))).select("ord", "page_id", "dropped")
 
 
-@query("grounded_links", """WITH p AS (SELECT conv_id AS run_id, turn AS ord, text || ' HTTPS://s' || (conv_id % 5) || '.test/' || turn AS text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2),
+@query("grounded_links", """WITH p AS (SELECT conv_id AS run_id, turn AS ord, text || ' HTTPS://s' || (conv_id % 5) || '.test/' || turn AS text FROM conversations),
  l AS (SELECT DISTINCT conv_id AS run_id, 'https://s' || (conv_id % 5) || '.test/' || turn AS url FROM conversations)
  SELECT DISTINCT l.run_id, url FROM l JOIN p ON p.run_id = l.run_id AND contains(lower(regexp_replace(text, '\\s+', ' ', 'g')), url)""")
 def grounded_links(spark, sf):
     c = load(spark, sf, "conversations")
     address = F.concat(F.lit("https://s"), (F.col("conv_id") % 5).cast("string"), F.lit(".test/"), F.col("turn").cast("string"))
-    read = c.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("ord"), F.lit("none").alias("url"), F.concat("text", F.lit(" "), F.replace(address, F.lit("https"), F.lit("HTTPS"))).alias("text"))
-    return sourcing.grounded_links(c.select(F.col("conv_id").alias("run_id"), address.alias("url")), read, inspected=2)
+    read = c.select(F.col("conv_id").alias("run_id"), F.lit("none").alias("url"), F.concat("text", F.lit(" "), F.replace(address, F.lit("https"), F.lit("HTTPS"))).alias("text"))
+    return sourcing.grounded_links(c.select(F.col("conv_id").alias("run_id"), address.alias("url")), read)
 
 
 @query("sources_for_topics", f"""WITH {PROMPT}, t AS (SELECT count(*) FILTER (id % 6 = 0) > 0 AS any_ FROM p) SELECT 20 AS tier1, 17 AS tier2, 0 AS tier3 FROM t WHERE any_""")

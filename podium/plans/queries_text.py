@@ -9,7 +9,9 @@ from ..operators import entities
 from .catalogue import query
 from .views import OBS_DIRTY, load, obs_dirty
 
-TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+#: White space of any script in the oracle's regular expressions.
+WS = r"\t-\r\x85\p{Z}\x{FEFF}"
+TRIM = rf"regexp_replace({{0}}, '^[{WS.replace('{', '{{').replace('}', '}}')}]+|[{WS.replace('{', '{{').replace('}', '}}')}]+$', '', 'g')"
 
 
 def trim(c: str) -> str:
@@ -63,7 +65,7 @@ def looks_like_date(spark, sf):
     return obs_dirty(spark, sf).select("date").distinct().withColumn("looks", fn.looks_like_date("date"))
 
 
-SCALED = r"""c AS (SELECT *, regexp_replace(cell, '[\s,$€£¥₹]|%$', '', 'g') AS b FROM obs),
+SCALED = r"""c AS (SELECT *, regexp_replace(cell, '[\t-\r\x85\p{Z}\x{FEFF},$€£¥₹]|%$', '', 'g') AS b FROM obs),
  e AS (SELECT *, try_cast(regexp_extract(b, '^[+-]?(\d+\.?\d*|\.\d+)') AS DOUBLE) AS num, CASE WHEN regexp_matches(b, '(?i)(trillion|tn|t)$') THEN 1e12
   WHEN regexp_matches(b, '(?i)(billion|bn|bln|b)$') THEN 1e9 WHEN regexp_matches(b, '(?i)(million|mn|mln|m)$') THEN 1e6
   WHEN regexp_matches(b, '(?i)(thousand|k)$') THEN 1e3 ELSE 1 END::DOUBLE AS f FROM c)"""
@@ -120,7 +122,7 @@ def norm_key(spark, sf):
 
 
 SUFFIX = r"(\s*\b(inc|ltd|llc|corp|corporation|co|company|gmbh|s\.?a\.?|s\.?r\.?l\.?|pty|plc|bv|nv|ab|asa|oyj|k\.?k\.?)\.?)+$"
-STRIPPED = f"""s AS (SELECT *, regexp_replace({trim('entity')}, '\\s+', ' ', 'g') AS name FROM obs),
+STRIPPED = f"""s AS (SELECT *, regexp_replace({trim('entity')}, '[{WS}]+', ' ', 'g') AS name FROM obs),
  t AS (SELECT *, CASE WHEN regexp_replace(name, '(?i){SUFFIX}', '') = '' THEN name ELSE regexp_replace(name, '(?i){SUFFIX}', '') END AS stripped FROM s)"""
 
 
@@ -271,7 +273,7 @@ def country_only(spark, sf):
 
 
 @query("canonical_names", f"""WITH {OBS_DIRTY}, {KEYED} SELECT ord, coalesce(known, CASE WHEN key = 'côtedivoire' THEN 'Cote d''Ivoire' ELSE
- regexp_replace({trim('entity')}, '\\s+', ' ', 'g') END) AS entity FROM r""")
+ regexp_replace({trim('entity')}, '[{WS}]+', ' ', 'g') END) AS entity FROM r""")
 def canonical_names(spark, sf):
     return entities.canonical_names(obs_dirty(spark, sf)).select("ord", "entity")
 

@@ -149,15 +149,15 @@ def obs_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     year, quarter = F.date_format(d, "yyyy"), F.quarter(d).cast("string")
-    name = pick(k, "USA", "United States of America", "Deutschland", "Nokia Corp.", " Côte  d'Ivoire ", "World",
+    name = pick(k, "USA", "United States of America", "Deutschland", "Nokia Corp.", "\u00a0Côte \u00a0d'Ivoire\ufeff", "World",
                 F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"), F.lit(" Co., Ltd.")))
-    date = pick(k, year, F.date_format(d, "yyyy-MM"), F.concat(F.lit("Q"), quarter, F.lit(" "), year), F.date_format(d, "MM/yyyy"),
+    date = pick(k, F.concat(F.lit("\u00a0"), year), F.date_format(d, "yyyy-MM"), F.concat(F.lit("Q"), quarter, F.lit(" "), year), F.date_format(d, "MM/yyyy"),
                 F.date_format(d, "MMM yyyy"), F.date_format(d, "yyyy MMM"), F.date_format(d, "yyyy-MM-dd"),
                 F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T10:00")), "n.d.", F.concat(year, F.lit("-Q"), quarter))
     whole, tenth = (k % 9973).cast("string"), (k % 10).cast("string")
     number = F.concat(whole, F.lit("."), tenth)
     cell = pick(k, F.concat(number, F.lit("M")), F.concat(F.lit("$"), number, F.lit("bn")), F.concat(number, F.lit("%")), "n/a",
-                F.concat(F.lit("1 "), F.lpad(tenth, 3, "2")), F.concat(number, F.lit(" million")), F.concat(F.lit("-"), number), "", "unknown",
+                F.concat(F.lit("1\u00a0"), F.lpad(tenth, 3, "2")), F.concat(number, F.lit(" million")), F.concat(F.lit("-"), number), "", "unknown",
                 F.concat(F.lit("€"), whole, F.lit(",000")), F.concat(number, F.lit("k")))
     value = F.when(k % 17 != 3, F.when(k % 13 == 5, -F.col("o_totalprice")).otherwise(F.col("o_totalprice")))
     unit = pick(k, "million", "USD", "%", "count", "kg", "furlongs", "people", " Tonnes. ", "", F.lit(None).cast("string"), "mi")
@@ -176,12 +176,12 @@ _Y, _Q = "strftime(o_orderdate, '%Y')", "quarter(o_orderdate)"
 _NUM = "((o_orderkey % 9973) || '.' || (o_orderkey % 10))"
 OBS_DIRTY = f"""obs AS (SELECT o_orderkey AS ord,
   CASE WHEN o_orderkey % 97 = 0 THEN ' ' ELSE {sql_pick('o_orderkey', "'USA'", "'United States of America'", "'Deutschland'", "'Nokia Corp.'",
-  "' Côte  d''Ivoire '", "'World'", "'Customer ' || o_custkey || ' Co., Ltd.'")} END AS entity,
-  CASE WHEN o_orderkey % 89 = 0 THEN ' ' ELSE {sql_pick('o_orderkey', _Y, "strftime(o_orderdate, '%Y-%m')", f"'Q' || {_Q} || ' ' || {_Y}",
+  "chr(160) || 'Côte ' || chr(160) || 'd''Ivoire' || chr(65279)", "'World'", "'Customer ' || o_custkey || ' Co., Ltd.'")} END AS entity,
+  CASE WHEN o_orderkey % 89 = 0 THEN ' ' ELSE {sql_pick('o_orderkey', f"chr(160) || {_Y}", "strftime(o_orderdate, '%Y-%m')", f"'Q' || {_Q} || ' ' || {_Y}",
   "strftime(o_orderdate, '%m/%Y')", "strftime(o_orderdate, '%b %Y')", "strftime(o_orderdate, '%Y %b')", "strftime(o_orderdate, '%Y-%m-%d')",
   "strftime(o_orderdate, '%Y-%m-%d') || 'T10:00'", "'n.d.'", f"{_Y} || '-Q' || {_Q}")} END AS date,
   CASE WHEN o_orderkey % 17 <> 3 THEN CASE WHEN o_orderkey % 13 = 5 THEN -o_totalprice ELSE o_totalprice END END AS value,
-  {sql_pick('o_orderkey', f"{_NUM} || 'M'", f"'$' || {_NUM} || 'bn'", f"{_NUM} || '%'", "'n/a'", "'1 22' || (o_orderkey % 10)", f"{_NUM} || ' million'",
+  {sql_pick('o_orderkey', f"{_NUM} || 'M'", f"'$' || {_NUM} || 'bn'", f"{_NUM} || '%'", "'n/a'", "'1' || chr(160) || '22' || (o_orderkey % 10)", f"{_NUM} || ' million'",
   f"'-' || {_NUM}", "''", "'unknown'", "'€' || (o_orderkey % 9973) || ',000'", f"{_NUM} || 'k'")} AS cell,
   {sql_pick('o_orderkey', "'million'", "'USD'", "'%'", "'count'", "'kg'", "'furlongs'", "'people'", "' Tonnes. '", "''", "NULL", "'mi'")} AS unit,
   {sql_pick('o_orderkey', "'Ledger A'", "' ledger a'", "'Ledger B'", "NULL", "'Ledger C'")} AS source,

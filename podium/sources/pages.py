@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import clean, host_of, matched
+from ..functions import clean, host_of, matched, squeeze
 from ..operators.ordering import first_per_group
 
 TABLE, ROW = r"(?is)<table[\s>].*?</table\s*>", r"(?is)<tr[\s>].*?</tr\s*>"
-CELL = r"(?is)<(?:td|th)[\s>].*?</(?:td|th)\s*>"
+CELL = r"(?is)<(td|th)[\s>].*?</\1\s*>"
 YEAR = r"\b((?:19|20)\d{2})\b"
 
 
@@ -20,7 +20,7 @@ def plain_text(c: Column) -> Column:
     """Text without tags, numbered citations and the two common entities, white space squeezed."""
     bare = F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"\[\s*\d+\s*\]", "")
     bare = F.replace(F.replace(bare, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&"))
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return squeeze(bare)
 
 
 def html_tables(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
@@ -30,7 +30,7 @@ def html_tables(pages: DataFrame, page: str = "page_id", html: str = "html") ->
     """
     rows = lambda t: F.filter(F.transform(_all(t, ROW), lambda r: F.transform(_all(r, CELL), plain_text)), lambda r: F.size(r) > 0)
     tables = F.filter(F.transform(_all(F.col(html), TABLE), rows), lambda t: F.size(t) >= 2)
-    dated = F.filter(tables, lambda t: F.exists(F.slice(t[0], 2, 100000), lambda h: h.rlike(YEAR)))
+    dated = F.filter(tables, lambda t: F.exists(F.slice(t[0], 2, F.size(t[0])), lambda h: h.rlike(YEAR)))
     found = pages.filter(F.col(html).rlike("(?i)<table")).select(page, dated.alias("tables")).filter(F.size("tables") > 0)
     found = found.select(page, F.col("tables")[0][0][0].alias("entity_header"), F.posexplode("tables").alias("t", "table"))
     body = found.select(page, "entity_header", "t", F.col("table")[0].alias("head"), F.posexplode("table").alias("r", "row"))
@@ -48,16 +48,18 @@ def as_wide(cells: DataFrame, years: list[str], page: str = "page_id") -> DataFr
     return cells.groupBy(page, "entity").pivot("year", years).agg(F.first("value"))
 
 
-def html_links(pages: DataFrame, limit: int = 60, absolute_only: bool = True, page: str = "page_id", html: str = "html") -> DataFrame:
-    """(page_id, place, url, title): each target once per page, first occurrence first, at most ``limit``."""
+def html_links(pages: DataFrame, limit: int | None = None, absolute_only: bool = True, page: str = "page_id", html: str = "html") -> DataFrame:
+    """(page_id, place, url, title): each target once per page, first occurrence first; at most ``limit`` of a page if given."""
     rule = r"""(?is)<a\s+[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
     zipped = F.arrays_zip(_all(F.col(html), rule, 1).alias("url"), _all(F.col(html), rule, 2).alias("inner"))
     links = pages.select(page, F.posexplode(zipped).alias("at", "a")).select(page, "at", F.col("a.url").alias("url"), F.col("a.inner").alias("inner"))
     if absolute_only:
         links = links.filter(F.col("url").rlike("^https?:"))
     once = links.groupBy(page, "url").agg(F.min("at").alias("at"), F.min_by("inner", "at").alias("inner"))
-    title = F.trim(F.regexp_replace(F.regexp_replace("inner", "<[^>]+>", " "), r"\s+", " "))
-    listed = first_per_group(once, [page], [F.col("at")], limit, "place")
+    title = squeeze(F.regexp_replace("inner", "<[^>]+>", " "))
+    listed = once.withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy("at")).cast("bigint"))  # a page's links fit in a task
+    if limit is not None:
+        listed = listed.filter(F.col("place") <= limit)
     return listed.select(page, "place", "url", F.when(title == "", host_of("url")).otherwise(title).alias("title"))
 
 

@@ -79,7 +79,7 @@ def community_candidates(payloads: DataFrame, as_of: str, column: str = "value")
     fresh = F.coalesce(F.datediff(F.to_date(F.lit(as_of)), updated) < 365, F.lit(False))
     return sets.select(
         prefixed_slug("kaggle", "ref").alias("candidate_id"), F.substring_index("ref", "/", 1).alias("owner"), "ref",
-        F.coalesce("title", "ref").alias("title"), F.coalesce("subtitle", F.substring("description", 1, 300)).alias("description"),
+        F.coalesce("title", "ref").alias("title"), F.coalesce("subtitle", F.col("description")).alias("description"),
         F.coalesce("licenseName", F.lit("UNKNOWN")).alias("license"), F.lit(True).alias("machine_readable"),
         F.lit(0.55).alias("authority"), F.lit(0.5).alias("directness"), F.lit(0.6).alias("coverage"),
         F.lit(0.4).alias("methodology"), F.when(fresh, F.lit(0.7)).otherwise(F.lit(0.4)).alias("recency"), F.lit(0.4).alias("consistency"))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import fixed_values as fixed
+from ..functions import clean
 
 SOURCE_FILE = "source_file"
 
@@ -20,20 +21,26 @@ def _file_name() -> Column:
 
 
 def _not_blank(columns: list[str]) -> Column:
-    return F.length(F.trim(F.concat_ws("", *[F.col(f"`{c}`") for c in columns]))) > 0
+    return F.length(clean(F.concat_ws("", *[F.col(f"`{c}`") for c in columns]))) > 0
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
-    """Delimited text with a header. Ragged rows are padded or cut, cells trimmed, blank rows dropped.
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False, ragged: str | None = None) -> DataFrame:
+    """Delimited text with a header. Cells are trimmed, blank rows dropped, short rows padded.
 
-    ``multi_line`` allows line breaks inside quotes; such a file cannot be split, so leave it off for big files
-    without them.
+    Several files must have the same header: one in another order or with other names is an error, never read by
+    position. Cells beyond the header have no column; name a column ``ragged`` to get the whole line of every row whose
+    number of cells is not the header's. ``multi_line`` allows line breaks inside quotes; such a file cannot be split,
+    so leave it off for big files without them.
     """
-    raw = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', mode="PERMISSIVE", multiLine=multi_line,
-                         ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False, enforceSchema=True)
-    names = [c.strip() for c in raw.columns]
-    cells = [F.trim(F.col(f"`{c}`")).alias(n) for c, n in zip(raw.columns, names)]
-    return raw.select(*cells, _file_name()).filter(_not_blank(names))
+    options = dict(header=True, sep=sep, quote='"', escape='"', mode="PERMISSIVE", multiLine=multi_line, ignoreLeadingWhiteSpace=True,
+                   ignoreTrailingWhiteSpace=True, enforceSchema=False)
+    raw = spark.read.csv(path, inferSchema=False, **options)
+    heads = raw.columns
+    if ragged is not None:
+        raw = spark.read.schema(_text_columns([*heads, ragged])).csv(path, columnNameOfCorruptRecord=ragged, **options)
+    names = [c.strip() for c in heads]
+    cells = [clean(F.col(f"`{c}`")).alias(n) for c, n in zip(heads, names)]
+    return raw.select(*cells, *([ragged] if ragged else []), _file_name()).filter(_not_blank(names))
 
 
 def _text_columns(names: list[str]) -> T.StructType:
@@ -44,20 +51,29 @@ def _no_nulls(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
 
 
-def read_json_table(spark: SparkSession, path: str) -> DataFrame:
+def read_json_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """JSON documents, one per file: a list of objects, an object holding such a list, or one object.
 
-    The list is the first present of the known envelope names. The first pass finds the names only; the second
-    asks for text, so numbers and nested values come as they are written and null as empty text.
+    In each document the list is the first present of the known envelope names; a document without any is a row itself.
+    The first pass finds the names only (give ``columns`` to spare it); the second asks for text, so numbers and nested
+    values come as they are written and null as empty text.
     """
-    found = spark.read.json(path, multiLine=True, primitivesAsString=True).schema
-    lists = {f.name: f.dataType.elementType for f in found.fields
-             if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)}
-    envelope = next((name for name in fixed.JSON_ENVELOPES if name in lists), None)
-    if envelope is None:
-        return _no_nulls(spark.read.schema(_text_columns(found.names)).json(path, multiLine=True))
-    rows = T.StructType([T.StructField(envelope, T.ArrayType(_text_columns(lists[envelope].names)))])
-    return _no_nulls(spark.read.schema(rows).json(path, multiLine=True).select(F.inline(F.col(f"`{envelope}`"))))
+    lists = dict.fromkeys(fixed.JSON_ENVELOPES, columns)
+    if columns is None:
+        found = spark.read.json(path, multiLine=True, primitivesAsString=True).schema
+        kinds = {f.name: f.dataType.elementType for f in found.fields
+                 if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)}
+        lists = {name: kinds[name].names for name in fixed.JSON_ENVELOPES if name in kinds}
+        columns = list(dict.fromkeys(c for names in lists.values() for c in names)) or found.names
+    row = _text_columns(columns)
+    own = [c for c in columns if c not in lists]
+    fields = [*row.fields, *[T.StructField(name, T.ArrayType(row)) for name in lists]]
+    docs = spark.read.schema(T.StructType([f for f in fields if f.name in own or f.name in lists])).json(path, multiLine=True)
+    plain = F.struct(*[(F.col(f"`{c}`") if c in own else F.lit(None).cast("string")).alias(c) for c in columns])
+    rows = [F.col(f"`{name}`") for name in lists]
+    if own:
+        rows.append(F.when(F.size(F.array_compact(F.array(*[F.col(f"`{c}`") for c in own]))) > 0, F.array(plain)))
+    return _no_nulls(docs.select(F.inline(F.coalesce(*rows))))
 
 
 def read_jsonl(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -132,13 +148,13 @@ def read_zipped_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_zipped(spark: SparkSession, path: str) -> DataFrame:
-    """Archives of one layout as a table with the header of the first archive."""
+    """Archives as one table with the columns of all their headers; cells go by name, not by place."""
     rows = read_zipped_cells(spark, path)
-    first = rows.select("header").first()
-    if first is None:
+    headers = [r["header"] for r in rows.filter("row = 0").select("path", "header").distinct().orderBy("path").collect()]  # one per archive
+    if not headers:
         raise ValueError(f"no rows in the archives at {path}")
-    header = first["header"]
-    cells = [F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(header)]
+    names = list(dict.fromkeys(name for header in headers for name in header))
+    cells = [F.get("cells", F.array_position("header", F.lit(name)).cast("int") - 1).alias(name) for name in names]
     return rows.select(*cells, F.regexp_extract("path", r"([^/]*)$", 1).alias(SOURCE_FILE))
 
 

@@ -9,11 +9,11 @@ from ..operators.ordering import first_per_group
 
 
 def snapshot_series(lists: DataFrame, first_year: int, last_year: int, mmdd: str = "0101", top_n: int = 10,
-                    list_size: int = 100, offsets: tuple[int, ...] = fixed.SNAPSHOT_OFFSETS) -> DataFrame:
+                    list_size: int = 100, offsets: tuple[int, ...] = fixed.SNAPSHOT_OFFSETS, least_list: int | None = None, least_rows: int = 10) -> DataFrame:
     """``lists(day date, rank, entity)`` to (entity, year, score) with one list per year.
 
-    A year takes the first of its wanted day and the days around it whose list is long enough. Scores fall with
-    rank. Fewer than 10 rows in all is no series, and the result is empty. Days without a list never join, so the
+    A year takes the first of its wanted day and the days around it whose list has ``least_list`` rows (10, or ``top_n`` if that
+    is fewer, by default). Scores fall with rank. Fewer than ``least_rows`` rows in all are no series: the result is empty. Days without a list never join, so the
     lists are read once for the days asked for.
     """
     spark: SparkSession = lists.sparkSession
@@ -22,11 +22,11 @@ def snapshot_series(lists: DataFrame, first_year: int, last_year: int, mmdd: str
     wanted = years.select("year", base.alias("base"), F.posexplode(F.array(*[F.lit(o) for o in offsets])).alias("place", "offset"))
     wanted = wanted.select("year", "place", F.date_add("base", F.col("offset")).alias("day"))
     usable = lists.filter((F.col("rank") >= 1) & (F.col("rank") == F.floor("rank")))
-    sizes = usable.groupBy("day").agg(F.count("*").alias("rows")).filter(F.col("rows") >= min(10, top_n))
+    sizes = usable.groupBy("day").agg(F.count("*").alias("rows")).filter(F.col("rows") >= (min(10, top_n) if least_list is None else least_list))
     chosen = wanted.join(sizes, "day").groupBy("year").agg(F.min_by("day", "place").alias("day"))
     rows = first_per_group(usable.join(chosen, "day"), ["year"], [F.col("rank"), F.col("entity")], top_n, "_n")
     total = rows.agg(F.count("*")).scalar()
-    return rows.filter(total >= 10).select("entity", "year", (F.lit(list_size + 1) - F.col("rank")).alias("score"))
+    return rows.filter(total >= least_rows).select("entity", "year", (F.lit(list_size + 1) - F.col("rank")).alias("score"))
 
 
 def is_domain(column: str):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from podium.operators import insight, ranking, tape
-from podium.operators.ordering import first_rows, ranked_stage, with_previous
+from podium.operators.ordering import first_rows, first_rows_spread, ranked_stage, with_previous
 
 
 def test_desc_drops_missing(obs):
@@ -63,7 +63,8 @@ def test_with_previous_across_tasks(spark):
 
 def test_first_rows_large(spark):
     df = spark.range(30_000).select((F.col("id") * 7919 % 30011).alias("v"))
-    got = sorted(r.v for r in first_rows(df, [F.col("v").desc()], 10_500).collect())
+    assert [r.v for r in first_rows(df, [F.col("v").desc()], 3).collect()] == sorted([r.v for r in df.collect()])[:-4:-1]
+    got = sorted(r.v for r in first_rows_spread(df, [F.col("v").desc()], 10_500).collect())
     assert got == sorted((r.v for r in df.collect()), reverse=True)[:10_500][::-1]
 
 

@@ -169,7 +169,7 @@ def test_payloads(spark, folder, tmp_path):
     assert [(c.candidate_id, c.publisher, c.access, c.machine_readable) for c in best] == [("ckan_set-r", "d.test", "download", True)]
     community = '[{"ref":"ann/set-1","title":"T","lastUpdated":"2026-01-02T00:00:00Z"},{"ref":"b/c","description":"' + "d" * 400 + '"}]'
     got = payloads.community_candidates(spark.createDataFrame([(community,)], "value string"), "2026-06-01").collect()
-    assert [(c.owner, c.title, c.recency, len(c.description or "")) for c in got] == [("ann", "T", 0.7, 0), ("b", "b/c", 0.4, 300)]
+    assert [(c.owner, c.title, c.recency, len(c.description or "")) for c in got] == [("ann", "T", 0.7, 0), ("b", "b/c", 0.4, 400)]
     service = '{"features":[{"name":"a"}],"rows":[{"row":{"a":1,"b":"x"}},{"row":{"a":null}}]}'
     assert rows(payloads.row_service_table(spark.createDataFrame([(service,)], "value string"), ["a", "b"])) == [("", ""), ("1", "x")]
 
@@ -218,3 +218,52 @@ def test_writers(spark, tmp_path):
     writers.append_log(spark.createDataFrame([("a", 1)], "agent string, n bigint"), log)
     (tmp_path / "log" / "part-x.json").write_text('{"agent": "b", "n": 2}\n{broken\n')
     assert rows(writers.read_log(spark, log, "agent string, n bigint")) == [("a", 1), ("b", 2)]
+
+
+def test_files_of_unlike_headers(spark, folder):
+    path = folder("several/a.csv", "country,year,value\nX,2020,1\n").rsplit("/", 1)[0]
+    folder("several/b.csv", "year,country,value\n2021,Z,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_delimited(spark, path).collect()
+
+
+def test_surplus_cells_are_reported(spark, folder):
+    path = folder("ragged.csv", "a,b\n1,2\n3,4,5\n6\n")
+    got = sorted(map(tuple, readers.read_delimited(spark, path, ragged="line").select("a", "b", "line").collect()), key=str)
+    assert got == [("1", "2", None), ("3", "4", "3,4,5"), ("6", None, "6")]
+
+
+def test_mixed_json_envelopes(spark, folder):
+    path = folder("mixed/a.json", '{"data": [{"a": 1, "b": "x"}, {"a": 2}], "total": 2}').rsplit("/", 1)[0]
+    folder("mixed/b.json", '{"rows": [{"a": 3, "c": null}]}')
+    folder("mixed/c.json", '[{"a": 4}, {"b": "y"}]')
+    for columns in (None, ["a", "b", "c"]):
+        got = sorted(map(tuple, readers.read_json_table(spark, path, columns).select("a", "b", "c").collect()))
+        assert got == [("", "y", ""), ("1", "x", ""), ("2", "", ""), ("3", "", ""), ("4", "", "")]
+
+
+def test_archives_of_unlike_headers(spark, tmp_path):
+    import zipfile
+    for name, text in (("a", "k,v\n1,2\n"), ("b", "v,w,k\n5,6,4\n")):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("t.csv", text)
+    assert sorted(map(tuple, readers.read_zipped(spark, str(tmp_path)).select("k", "v", "w").collect()), key=str) == [("1", "2", None), ("4", "5", "6")]
+
+
+def test_one_number_column_is_no_transposed_table(spark):
+    df = spark.createDataFrame([("2000", "5"), ("2001", "6")], "year string, India string")
+    with pytest.raises(ValueError, match="two number columns"):
+        shape.melt_transposed(df, "year")
+
+
+def test_cells_end_with_their_own_tag(spark):
+    html = "<table><tr><th>N</th><th>2000</th></tr><tr><td>A<th>x</th></td><td>5</td></tr></table>"
+    got = pages.html_tables(spark.createDataFrame([(1, html)], "page_id bigint, html string")).select("entity", "year", "value").collect()
+    assert [tuple(r) for r in got] == [("A x", "2000", "5")]
+
+
+def test_keys_of_sources_do_not_meet(spark):
+    from podium.plans.dataset import SourceTable, source_observations
+    one = spark.createDataFrame([("India", "2000", "5", (1 << 60) + 7)], "entity string, year string, value string, ord bigint")
+    rows_ = source_observations([SourceTable(one, f"P{i}", f"https://p{i}.test") for i in (0, 1)])
+    assert sorted(int(r.ord) for r in rows_.select("ord").collect()) == [(1 << 60) + 7, (1 << 64) + (1 << 60) + 7]

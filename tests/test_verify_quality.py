@@ -94,7 +94,10 @@ def counts(report):
 def test_clean_and_broken_reports(told):
     good = told(("India", "2000-01-01", 1.0, "a.test"), ("India", "2001-01-01", 2.0, "a.test"))
     report = quality.quality_report(quality.core_violations(good, "2026-09-21"))
-    assert sum(counts(report).values()) == 0 and set(counts(report)) == set(quality.CORE_CHECKS)
+    assert sum(counts(report).values()) == 0 and set(counts(report)) == set(quality.UNRANKED_CHECKS)  # only what ran
+    ranked = good.sparkSession.createDataFrame([(1, 1), (1, 3), (2, 1)], "sort_key bigint, rank bigint")
+    broken = quality.quality_report(quality.core_violations(good, "2026-09-21", ranked=ranked), quality.CORE_CHECKS)
+    assert counts(broken)["ranking"] == 1 and sum(counts(broken).values()) == 1
     assert sum(counts(quality.quality_report(quality.platform_violations(good, "2026-09-21"), quality.PLATFORM_CHECKS)).values()) == 0
     none = F.lit(None).cast("string")
     bare = good.withColumns({"source": none, "source_url": none})
