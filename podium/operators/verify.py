@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import canonical_key, publisher_key, unit_word
+from ..functions import canonical_key, parse_date, publisher_key, unit_word
 from ..session import write_stage
 from .ordering import with_previous
 
@@ -71,7 +71,7 @@ def verify_across_sources(obs: DataFrame, tolerance: float = 0.05, single_source
     One aggregation, written out, decides every cell. A cell with one row passes. Two or more independent publishers within
     ``tolerance`` make its first (or primary) row VERIFIED. Repeats of one publisher keep the first row. Otherwise
     the cell conflicts: all of its rows are CONFLICTING, or the primary publisher's row stands in single-source
-    mode. Rows without a value are appended unchanged. Candidates of a conflict stay rows of a table; they are not
+    mode. ``ord`` is unique. Rows without a value are appended unchanged. Candidates of a conflict stay rows of a table; they are not
     gathered into one list, because one cell may hold any number of them.
     """
     columns = obs.columns
@@ -84,22 +84,21 @@ def verify_across_sources(obs: DataFrame, tolerance: float = 0.05, single_source
         celled = celled.withColumn("is_primary", F.lit(True))
     valued = celled.filter(F.col("value").isNotNull())
     scaled = F.col("value") * F.col("multiplier")
-    row = F.struct("ord", *[c for c in columns if c != "ord"])
     # A row per (cell, publisher) first: counts publishers without a distinct, and a cell in which one publisher
-    # repeats itself without end shrinks in the map tasks.
+    # repeats itself without end shrinks in the map tasks. Buffers are numbers only, so this is a hash aggregation; the
+    # chosen rows are joined back by their ord.
     voices = valued.groupBy(*CELL, "publisher").agg(
         F.count("*").alias("n"), F.min(scaled).alias("low"), F.max(scaled).alias("high"), F.min("ord").alias("ord"),
         F.min_by("multiplier", "ord").alias("multiplier"),
-        F.min_by(row, F.when(F.col("is_primary"), F.col("ord"))).alias("kept"),
         F.min(F.when(F.col("is_primary"), F.col("ord"))).alias("kept_ord"))
     decided = voices.groupBy(*CELL).agg(
         F.sum("n").alias("n"), F.count("*").alias("publishers"),
         F.min("low").alias("low"), F.max("high").alias("high"), F.min_by("multiplier", "ord").alias("unit_scale"),
-        F.min("ord").alias("first_ord"), F.min_by("kept", "kept_ord").alias("kept"))
+        F.min("ord").alias("first_ord"), F.min("kept_ord").alias("kept_ord"))
     low, high = F.col("low") / F.col("unit_scale"), F.col("high") / F.col("unit_scale")
     spread = (high - low) / F.greatest(F.abs(high), F.abs(low), F.lit(1e-9))
     decided = decided.withColumn("spread", spread).withColumn("outcome", F.when(
-        F.col("kept").isNull(), F.lit("dropped")).when(F.col("n") == 1, F.lit("single"))
+        F.col("kept_ord").isNull(), F.lit("dropped")).when(F.col("n") == 1, F.lit("single"))
         .when((F.col("spread") <= tolerance) & (F.col("publishers") >= 2), F.lit("verified"))
         .when(F.col("publishers") < 2, F.lit("repeated")).otherwise(F.lit("conflict")))
     # One row per cell, written once: the observations, conflicts and dropped cells below all read it.
@@ -109,8 +108,8 @@ def verify_across_sources(obs: DataFrame, tolerance: float = 0.05, single_source
     stands = decided.filter(F.col("outcome") != "dropped")
     if not single_source:
         stands = stands.filter(F.col("outcome") != "conflict")
-    kept = stands.select(*[F.col("kept")[c].alias(c) for c in columns], "canonical",
-                         agreed.alias("_agreed"), trust.alias("_trust"))
+    stands = stands.select(*CELL, F.col("kept_ord").alias("ord"), agreed.alias("_agreed"), trust.alias("_trust"))
+    kept = valued.join(stands, [*CELL, "ord"])
     kept = kept.withColumns({"status": F.when(F.col("_agreed"), F.lit("VERIFIED")).otherwise(F.col("status")),
                              "confidence": F.when(F.col("_agreed"), F.col("_trust")).otherwise(F.col("confidence"))})
     kept = kept.withColumn("entity_id", F.col("canonical")).select(*columns)
@@ -145,6 +144,36 @@ def outlier_jumps(obs: DataFrame, ratio: float = 100.0, by_unit: bool = False) -
                         F.col("date").alias("to_date"), F.col("value").alias("to_value"), "ratio")
 
 
+def conflict_records(result: Verification, metric: str) -> DataFrame:
+    """Conflicts as records: id, metric, entity, date, unit, reason, number of candidates, and whether a row stands in spite of them.
+
+    ``resolved`` is true in single-source mode, where the primary publisher's row is kept. The candidates are rows of
+    ``result.candidates`` with the same cell.
+    """
+    reason = F.concat(F.col("publishers").cast("string"), F.lit(" publishers differ by "), F.round(F.col("spread") * 100, 1).cast("string"), F.lit(" %"))
+    return result.conflicts.select(
+        F.concat_ws("_", F.lit("conflict"), F.sha1(F.concat_ws("|", F.lit(metric), *CELL))).alias("conflict_id"), F.lit(metric).alias("metric"),
+        F.col("canonical").alias("entity_id"), "date", F.col("base_unit").alias("unit"), reason.alias("reason"), F.col("n").alias("candidates"),
+        F.lit(result.primary is not None).alias("resolved"))
+
+
+def verification_notes(obs: DataFrame, result: Verification, outlier_ratio: float = 100.0) -> DataFrame:
+    """(kind, entity_id, date, detail): what a reader of the result should know, one row per finding.
+
+    Kinds: cells told in several units, disputed cells, cells the primary publisher does not have, and jumps of
+    ``outlier_ratio`` or more between consecutive values of the result.
+    """
+    def note(kind: str, rows: DataFrame, entity: str, date: str, detail: Column) -> DataFrame:
+        return rows.select(F.lit(kind).alias("kind"), F.col(entity).alias("entity_id"), F.col(date).alias("date"), detail.alias("detail"))
+
+    timed = result.observations.withColumn("sort_key", parse_date("date")["sort_key"])
+    jumps = outlier_jumps(timed, outlier_ratio)
+    return (note("unit mismatch", unit_mismatches(obs), "canonical", "date", F.concat(F.col("units").cast("string"), F.lit(" units")))
+            .unionByName(note("dispute", result.conflicts, "canonical", "date", F.concat(F.col("n").cast("string"), F.lit(" values of "), F.col("publishers").cast("string"), F.lit(" publishers"))))
+            .unionByName(note("not from primary", result.dropped, "canonical", "date", F.concat(F.col("n").cast("string"), F.lit(" values left out"))))
+            .unionByName(note("outlier", jumps, "entity_id", "to_date", F.concat(F.lit("since "), F.col("from_date")))))
+
+
 def verification_summary(result: Verification) -> DataFrame:
     """One row: counts per status, corroborated and single-publisher values, conflicts."""
     def having(status: str) -> Column:

@@ -315,6 +315,24 @@ def conflict_candidates(spark, sf):
     return verify.verify_across_sources(obs_publishers(spark, sf)).candidates
 
 
+@query("conflict_records", f"""WITH {VERIFIED} SELECT 'conflict_' || sha1('sales|' || canonical || '|' || date || '|' || base_unit) AS conflict_id, 'sales' AS metric, canonical AS entity_id, date,
+ base_unit AS unit, n::BIGINT AS candidates, publishers, false AS resolved FROM oc WHERE outcome = 'conflict'""")
+def conflict_records(spark, sf):
+    found = verify.conflict_records(verify.verify_across_sources(obs_publishers(spark, sf)), "sales")
+    return found.withColumn("publishers", F.regexp_extract("reason", r"^(\d+) publishers", 1).cast("bigint")).drop("reason")
+
+
+@query("verify_notes", f"""WITH {VERIFIED}, kept AS (SELECT canonical, o.date, value, ord FROM obs_s o JOIN oc USING (canonical, date, base_unit) WHERE value IS NOT NULL AND ord = prim_ord),
+ j AS (SELECT *, lag(value) OVER w AS before, lag(date) OVER w AS since FROM kept WHERE value <> 0 WINDOW w AS (PARTITION BY canonical ORDER BY date, ord))
+ SELECT 'dispute' AS kind, canonical AS entity_id, date, n || ' values of ' || publishers || ' publishers' AS detail FROM oc WHERE outcome = 'conflict' AND prim_ord IS NOT NULL
+ UNION ALL SELECT 'not from primary', canonical, date, n || ' values left out' FROM oc WHERE prim_ord IS NULL
+ UNION ALL SELECT 'outlier', canonical, date, 'since ' || since FROM j WHERE abs(value) / abs(before) >= 1.1::DOUBLE OR abs(value) / abs(before) <= 1 / 1.1::DOUBLE
+ UNION ALL SELECT 'unit mismatch', canonical, date, count(DISTINCT base_unit) || ' units' FROM obs_s WHERE value IS NOT NULL GROUP BY canonical, date HAVING count(DISTINCT base_unit) > 1""")
+def verify_notes(spark, sf):
+    obs = obs_publishers(spark, sf)
+    return verify.verification_notes(obs, verify.verify_across_sources(obs, single_source=True), outlier_ratio=1.1)
+
+
 @query("dropped_cells", f"WITH {VERIFIED} SELECT canonical, date, base_unit, n, first_ord FROM oc WHERE prim_ord IS NULL")
 def dropped_cells(spark, sf):
     return verify.verify_across_sources(obs_publishers(spark, sf), single_source=True).dropped
