@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import display_label, frequency_of_hint, parse_date, slugify
+from ..session import write_stage
 from .ordering import first_per_group, ranked_stage
 
 
@@ -69,19 +71,34 @@ def period_table(cells: DataFrame) -> DataFrame:
 
 @dataclass
 class Ranking:
-    """A leaderboard. ``cells`` holds every cell with its full rank; the other tables derive from it."""
+    """A leaderboard over staged ``plain`` cells. What needs no full ranks (a tape, periods, counters) never sorts them all."""
 
-    cells: DataFrame
+    plain: DataFrame
     top_n: int | None
     mover_threshold: int
     direction: str
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Every cell with its full rank in its period. Laid out on first use."""
+        return ranked_stage(self.plain, ["sort_key"], best_first(self.direction), name="cells")
+
+    @cached_property
+    def top(self) -> DataFrame:
+        """The valued cells of the top-N with their rank: at most N per period and task travel to find them."""
+        valued = self.plain.filter("n_valued > 0")
+        return write_stage(first_per_group(valued, ["sort_key"], best_first(self.direction), self.top_n), "top-cells")
+
     def periods(self) -> DataFrame:
-        return period_table(self.cells)
+        return period_table(self.plain)
 
     def starred(self) -> DataFrame:
         """Ids of the entities that reach the top-N in some period."""
-        return self.cells.filter((F.col("rank") <= self.top_n) & (F.col("n_valued") > 0)).select("entity_id").distinct()
+        return self.top.select("entity_id").distinct()
+
+    def names(self) -> DataFrame:
+        """(entity_id, entity): first-seen spelling of the starred entities."""
+        return self.plain.join(self.starred(), "entity_id", "left_semi").groupBy("entity_id").agg(F.min_by("name", "name_ord").alias("entity"))
 
     def rows(self) -> DataFrame:
         """Ranked rows (top-N), with the change against the last period the entity appeared in.
@@ -103,13 +120,11 @@ class Ranking:
 
     def entity_order(self) -> DataFrame:
         """Entities by the sum of their ranked values, ranked end first."""
-        ranked = self.cells.filter("n_valued > 0")
-        if self.top_n is not None:
-            ranked = ranked.filter(F.col("rank") <= self.top_n)
+        ranked = self.plain.filter("n_valued > 0") if self.top_n is None else self.top
         return ranked.groupBy("entity_id").agg(F.sum("value").alias("total")).orderBy(*best_first(self.direction, "total"))
 
     def counters(self) -> DataFrame:
-        return drop_counters(self.cells)
+        return drop_counters(self.plain)
 
 
 def drop_counters(cells: DataFrame) -> DataFrame:
@@ -126,8 +141,8 @@ def rank_observations(obs: DataFrame, top_n: int | None = None, mover_threshold:
                       direction: str = "desc") -> Ranking:
     """Rank ``obs`` (ord, entity, date, value; optional status and frequency) inside each period."""
     direction = direction_of(direction)
-    cells = ranked_stage(entity_cells(obs, direction), ["sort_key"], best_first(direction), name="cells")
-    return Ranking(cells, top_n, mover_threshold, direction)
+    # Written first: the range lay-out of full ranks samples its input, and must not run the aggregation for that.
+    return Ranking(write_stage(entity_cells(obs, direction), "plain-cells"), top_n, mover_threshold, direction)
 
 
 def top_per_period(obs: DataFrame, top_n: int, direction: str = "desc") -> DataFrame:

@@ -139,6 +139,10 @@ class Tape:
                 .select(frame.alias("frame_index"), "transition", "k", "t", "entity_id",
                         (F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias("value"), "held"))
 
+    def drawn(self, prune: bool = True, moments: str = "all") -> DataFrame:
+        """The top-N of each moving frame."""
+        return first_per_group(self.tweens(prune, moments), ["frame_index"], self.order(), self.top_n)
+
     def bars(self, prune: bool = True, hold: bool = True, moments: str = "all", exact_final: bool = False) -> DataFrame:
         """Drawn bars. The last moving frame is repeated for one more transition when ``hold``.
 
@@ -146,7 +150,7 @@ class Tape:
         """
         if hold and exact_final:
             return self.bars(prune, False, moments).unionByName(self.exact_final_bars())
-        drawn = first_per_group(self.tweens(prune, moments), ["frame_index"], self.order(), self.top_n)
+        drawn = self.drawn(prune, moments)
         in_frame = Window.partitionBy("frame_index")  # at most top_n rows each
         scale = F.greatest(F.max("value").over(in_frame), F.lit(fixed.SMALLEST_BAR_SCALE))
         drawn = drawn.withColumn("max_value", scale)
@@ -195,7 +199,9 @@ class Tape:
         held = labels.filter(F.col("period_index") == n - 1).withColumn("frame_index", F.explode(_count(end + 1, end + steps)))
         held = held.select("frame_index", "label", F.col("label").alias("from_label"), F.col("label").alias("to_label"),
                            F.lit(1.0).alias("t"), F.lit(False).alias("is_period_boundary"))
-        scale = self.bars().groupBy("frame_index").agg(F.max("max_value").alias("max_value"))
+        scale = self.drawn().groupBy("frame_index").agg(F.greatest(F.max("value"), F.lit(fixed.SMALLEST_BAR_SCALE)).alias("max_value"))
+        shown = F.when(F.col("frame_index") == end, _count(end, end + steps)).otherwise(F.array("frame_index"))  # the last one is held
+        scale = scale.select(F.explode(shown).alias("frame_index"), "max_value")
         every = moving.unionByName(held).join(scale, "frame_index", "left")
         return every.withColumn("max_value", F.coalesce("max_value", F.lit(fixed.SMALLEST_BAR_SCALE)))
 
@@ -206,7 +212,7 @@ class Tape:
         """
         place = F.row_number().over(Window.orderBy(*best_first(self.ranking.direction, "total"))).cast("bigint") - 1
         order = self.ranking.entity_order().withColumn("place", place)
-        named = order.join(self.ranking.rows().groupBy("entity_id").agg(F.max("entity").alias("entity")), "entity_id")
+        named = order.join(self.ranking.names(), "entity_id")
         known = resolve_entities(named.withColumn("lookup", F.col("entity_id")), "lookup", dictionary)
         palette = F.array(*[F.lit(c) for c in fixed.PALETTE])
         colour = F.element_at(palette, (F.col("place") % len(fixed.PALETTE) + 1).cast("int"))
@@ -226,7 +232,7 @@ class Tape:
 
     def notes(self) -> DataFrame:
         """Counts behind the notes: held bar-frames (the final hold not counted) and what ranking dropped."""
-        held = self.bars(hold=False).agg(F.count(F.when(F.col("held"), F.lit(1)))).scalar()
+        held = self.drawn().agg(F.count(F.when(F.col("held"), F.lit(1)))).scalar()
         return self.ranking.counters().select(held.alias("held_bar_frames"), "*")
 
 
@@ -241,9 +247,7 @@ def build_tape(ranking: Ranking, frames_per_transition: int = 30, policy: str =
         raise ValueError(f"unknown policy {policy!r}")
     if ranking.top_n is None:
         raise ValueError("a tape needs a ranking with top_n")
-    cells = ranking.cells.filter("n_valued > 0")
-    if fill_from == "topn":
-        cells = cells.filter(F.col("rank") <= ranking.top_n)
+    cells = ranking.top if fill_from == "topn" else ranking.plain.filter("n_valued > 0")
     periods = ranking.periods()
     seen = cells.join(periods.select("sort_key", "period_index"), "sort_key")
     n_periods = periods.count()
