@@ -70,7 +70,7 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], v
     """Add the latest non-null ``value`` among the earlier rows (or this one, too) of the row's group.
 
     ``lag`` and ``last`` over ``partitionBy(keys)`` sort a whole group in one task. This lays the rows out as
-    ``ranked_stage`` does: windows run inside one task's share of a group, and only the last value of each share
+    ``ranked_stage`` does: windows run inside one task's share of a group, and only the last value of each task
     is handed on to the next one.
     """
     columns = [F.col(k) for k in keys]
@@ -79,12 +79,15 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], v
     laid = write_stage(laid.withColumn("_task", F.spark_partition_id().cast("bigint")), name)
     share = Window.partitionBy("_task", *keys).orderBy("_place").rowsBetween(
         Window.unboundedPreceding, 0 if include_current else -1)
-    shares = laid.filter(F.col("_value").isNotNull()).groupBy("_task", *keys).agg(
-        F.max_by("_value", "_place").alias("_handed"))
-    every = laid.select("_task", *keys).distinct()
-    earlier = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    handed = every.join(shares, ["_task", *keys], "left").withColumn(
-        "_handed", F.last("_handed", ignorenulls=True).over(earlier))
-    handed = write_stage(handed, name + "-shares")  # true size on file, so the planner picks the join
-    known = laid.withColumn(out, F.last("_value", ignorenulls=True).over(share)).join(handed, ["_task", *keys], "left")
-    return known.withColumn(out, F.coalesce(out, "_handed")).select(*df.columns, out)
+    # Rows are in order of key across tasks, so a series that begins before a task can only be the task's first one, and
+    # what a task hands on is the last value of its last series: one row per task, whatever the number of series.
+    key = F.struct(*keys)
+    known = F.when(F.col("_value").isNotNull(), F.col("_place"))
+    edges = laid.groupBy("_task").agg(F.min_by(key, "_place").alias("_first"), F.max_by(key, "_place").alias("_last"),
+                                      F.max_by(F.struct(key.alias("k"), F.col("_value").alias("v")), known).alias("_said"))
+    given = F.when(F.col("_said.k").eqNullSafe(F.col("_last")), F.col("_said"))
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # over one row per task
+    edges = edges.withColumn("_said", F.last(given, ignorenulls=True).over(earlier)).select("_task", "_first", "_said")
+    rows = laid.withColumn(out, F.last("_value", ignorenulls=True).over(share)).join(F.broadcast(edges), "_task", "left")
+    mine = key.eqNullSafe(F.col("_first")) & key.eqNullSafe(F.col("_said.k"))
+    return rows.withColumn(out, F.coalesce(F.col(out), F.when(mine, F.col("_said.v")))).select(*df.columns, out)

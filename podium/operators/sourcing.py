@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import fixed_values as fixed
 from ..functions.text import BLANK
 from ..functions import clean, host_authority, host_of, normalise_url
+from ..session import write_stage
 from .ordering import first_per_group
 
 
@@ -150,7 +151,8 @@ def ground_claims(claims: DataFrame, pages: DataFrame) -> DataFrame:
     verdict = (F.when(F.length(quote) < 8, F.lit("short quote"))
                .when(~F.coalesce(F.contains("page_text", quote), F.lit(False)), F.lit("quote not in page"))
                .when(F.col("value").isNotNull() & ~quote.contains(number) & ~quote.contains(digits), F.lit("number not in quote")))
-    judged = joined.withColumn("dropped", verdict).drop("page_text")
+    # Written, as two branches read it: page texts are joined and searched once, and do not travel any further.
+    judged = write_stage(joined.withColumn("dropped", verdict).drop("page_text"), "judged-claims")
     cell = ["page_id", F.lower(clean("entity")).alias("_e"), clean("date").alias("_d")]
     first = judged.filter("dropped is null").groupBy(*cell).agg(F.min("ord").alias("_first"))
     marked = judged.withColumns({"_e": F.lower(clean("entity")), "_d": clean("date")}).join(first, ["page_id", "_e", "_d"], "left")
