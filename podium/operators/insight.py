@@ -59,9 +59,9 @@ def fact_sentences(facts: DataFrame, names: DataFrame, periods: DataFrame, unit:
     told = facts.join(names, "entity_id").join(periods.select("period_index", "label"), "period_index")
     amount = format_spec_value("value", F.lit(unit))
     text = (F.when(F.col("kind") == "newcomer", F.format_string(
-        "%s: %s bursts into the ranking at #%d with %s.", "label", "entity", "rank", amount))
-        .when(F.col("kind") == "jump", F.format_string("%s: %s surges from #%d to #%d.", "label", "entity", "from_rank", "rank"))
-        .otherwise(F.format_string("%s: %s takes the lead with %s.", "label", "entity", amount)))
+        "%s: first appearance of %s, in place %d (%s).", "label", "entity", "rank", amount))
+        .when(F.col("kind") == "jump", F.format_string("%s: %s moves up from place %d to place %d.", "label", "entity", "from_rank", "rank"))
+        .otherwise(F.format_string("%s: %s is the new number one (%s).", "label", "entity", amount)))
     return told.withColumn("text", text)
 
 

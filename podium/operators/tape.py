@@ -298,19 +298,34 @@ def logistic_spread(totals: DataFrame, until: int) -> DataFrame:
     return years.select("entity_id", "year", value.alias("value")).filter("value > 0")
 
 
-def trim_sparse_head(obs: DataFrame, top_n: int) -> DataFrame:
-    """Drop the periods before the first year in which enough entities report to fill the chart.
+def sparse_head(obs: DataFrame, top_n: int) -> DataFrame:
+    """One row: the first year kept (null when nothing is trimmed), the first year there is, and how many periods go.
 
-    No year qualifies, or the first one does: everything is kept.
+    A year is full when as many entities report as the chart shows, or all there are. The (year, entity) pairs are
+    written once and decide everything.
     """
     year = leading_year("date")
     usable = obs.filter(~F.coalesce("status", F.lit("")).isin("CONFLICTING", "REJECTED") & F.col("value").isNotNull()
                         & ~F.isnan("value") & (F.abs("value") < F.lit(float("inf"))))
-    pairs = usable.select(year.alias("y"), "entity_id").dropna(subset=["y"]).distinct()
-    per_year = pairs.groupBy("y").agg(F.count("*").alias("n"))
-    wanted = pairs.agg(F.greatest(F.lit(2), F.least(F.lit(top_n), F.count_distinct("entity_id")))).scalar()
-    first = per_year.agg(F.min(F.when(F.col("n") >= wanted, F.col("y"))).alias("full"), F.min("y").alias("head"))
+    pairs = write_stage(usable.select(year.alias("y"), "entity_id").dropna(subset=["y"]).distinct(), "reporting-years")
+    # Entities and years are counted apart, so that neither count sees the other's groups.
+    entities = pairs.groupBy("entity_id").count().agg(F.count("*").alias("entities"))
+    years = pairs.groupBy("y").agg(F.count("*").alias("n"))
+    wanted = F.greatest(F.lit(2), F.least(F.lit(top_n), F.col("entities")))
+    marked = years.withColumn("full", F.col("n") >= entities.select(wanted).scalar())
+    first = marked.agg(F.min(F.when(F.col("full"), F.col("y"))).alias("full"), F.min("y").alias("first_year"),
+                       F.sort_array(F.collect_list("y")).alias("years"))  # one number per year
+    trims = F.col("full") > F.col("first_year")
+    return first.select(F.when(trims, F.col("full")).alias("kept_from"), "first_year",
+                        F.when(trims, F.size(F.filter("years", lambda y: y < F.col("full")))).otherwise(F.lit(0)).alias("dropped_periods"))
+
+
+def trim_sparse_head(obs: DataFrame, top_n: int, head: DataFrame | None = None) -> DataFrame:
+    """Drop the periods before the first year in which enough entities report to fill the chart.
+
+    No year qualifies, or the first one does: everything is kept. ``head`` is the ``sparse_head`` to go by, if it is at hand.
+    """
+    head = write_stage(sparse_head(obs, top_n), "sparse-head") if head is None else head
     # Without a cut the threshold lies below every year, and below the stand-in for a date without a year.
-    undated, everything = F.lit(-100_001), F.lit(-100_002)
-    start = first.select(F.coalesce(F.when(F.col("full") > F.col("head"), F.col("full")), everything)).scalar()
-    return obs.filter(F.coalesce(year, undated) >= start)
+    start = head.select(F.coalesce("kept_from", F.lit(-100_002))).scalar()
+    return obs.filter(F.coalesce(leading_year("date"), F.lit(-100_001)) >= start)

@@ -251,9 +251,9 @@ FACTS = EVENTS + """, scored AS (SELECT *, CASE kind WHEN 'overtake' THEN 110 -
   THEN printf('%.1fK USD', value / 1e3) ELSE floor(value + 0.5)::BIGINT || ' USD' END AS amount
   FROM facts JOIN names USING (entity_id) JOIN periods p ON p.period_index = facts.period_index)
  SELECT bucket, period_index, kind, entity_id, rank, from_rank, CASE kind
-  WHEN 'newcomer' THEN label || ': ' || entity || ' bursts into the ranking at #' || rank || ' with ' || amount || '.'
-  WHEN 'jump' THEN label || ': ' || entity || ' surges from #' || from_rank || ' to #' || rank || '.'
-  ELSE label || ': ' || entity || ' takes the lead with ' || amount || '.' END AS text FROM told""")
+  WHEN 'newcomer' THEN label || ': first appearance of ' || entity || ', in place ' || rank || ' (' || amount || ').'
+  WHEN 'jump' THEN label || ': ' || entity || ' moves up from place ' || from_rank || ' to place ' || rank || '.'
+  ELSE label || ': ' || entity || ' is the new number one (' || amount || ').' END AS text FROM told""")
 def fact_picker(spark, sf):
     t = _nation_tape(spark, sf)
     facts = insight.pick_facts(insight.tape_events(insight.boundary_bars(t)), t.n_periods, 8)
@@ -325,20 +325,32 @@ def scorecard(spark, sf):
     return insight.scorecard(obs_user_day(spark, sf).withColumn("entity_id", slugify("entity")), 0.7)
 
 
-@query("trim_sparse_head", f"""WITH e AS (SELECT o_orderkey AS ord, 'c' || o_custkey AS entity_id, year(o_orderdate) AS y, o_totalprice AS value,
- CASE WHEN o_orderkey % 5 = 0 THEN 'REJECTED' ELSE 'SUPPORTED' END AS status FROM orders
- WHERE year(o_orderdate) >= 1997 OR o_custkey < 3),
- p AS (SELECT y, count(DISTINCT entity_id) AS n FROM e WHERE status <> 'REJECTED' GROUP BY y),
- w AS (SELECT greatest(2, least(10, (SELECT count(DISTINCT entity_id) FROM e WHERE status <> 'REJECTED'))) AS wanted),
- s AS (SELECT min(CASE WHEN n >= wanted THEN y END) AS full_, min(y) AS head FROM p, w)
- SELECT ord, entity_id, y::VARCHAR AS date, value, status FROM e, s WHERE full_ IS NULL OR full_ = head OR y >= full_""")
-def trim_sparse_head(spark, sf):
+SPARSE = """e AS (SELECT o_orderkey AS ord, 'c' || o_custkey AS entity_id, year(o_orderdate) AS y, CASE WHEN year(o_orderdate) >= 1997 OR o_custkey < 3 THEN o_totalprice END AS value,
+ CASE WHEN o_orderkey % 5 = 0 THEN 'REJECTED' ELSE 'SUPPORTED' END AS status FROM orders),
+ p AS (SELECT y, count(DISTINCT entity_id) AS n FROM e WHERE status <> 'REJECTED' AND value IS NOT NULL GROUP BY y),
+ w AS (SELECT greatest(2, least(10, (SELECT count(DISTINCT entity_id) FROM e WHERE status <> 'REJECTED' AND value IS NOT NULL))) AS wanted),
+ s AS (SELECT min(CASE WHEN n >= wanted THEN y END) AS full_, min(y) AS head FROM p, w)"""
+
+
+def _sparse(spark, sf):
+    """Orders whose values before 1997 are known for two customers only."""
     from .views import load
-    o = load(spark, sf, "orders").filter((F.year("o_orderdate") >= 1997) | (F.col("o_custkey") < 3))
-    obs = o.select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("entity_id"),
-                   F.year("o_orderdate").cast("string").alias("date"), F.col("o_totalprice").alias("value"),
-                   F.when(F.col("o_orderkey") % 5 == 0, F.lit("REJECTED")).otherwise(F.lit("SUPPORTED")).alias("status"))
-    return tape.trim_sparse_head(obs, 10)
+    told = (F.year("o_orderdate") >= 1997) | (F.col("o_custkey") < 3)
+    return load(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("ord"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("entity_id"),
+        F.year("o_orderdate").cast("string").alias("date"), F.when(told, F.col("o_totalprice")).alias("value"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit("REJECTED")).otherwise(F.lit("SUPPORTED")).alias("status"))
+
+
+@query("trim_sparse_head", f"""WITH {SPARSE} SELECT ord, entity_id, y::VARCHAR AS date, value, status FROM e, s WHERE full_ IS NULL OR full_ = head OR y >= full_""")
+def trim_sparse_head(spark, sf):
+    return tape.trim_sparse_head(_sparse(spark, sf), 10)
+
+
+@query("sparse_head", f"""WITH {SPARSE} SELECT CASE WHEN full_ > head THEN full_ END AS kept_from, head AS first_year,
+ CASE WHEN full_ > head THEN (SELECT count(*) FROM p WHERE y < full_) ELSE 0 END AS dropped_periods FROM s""")
+def sparse_head(spark, sf):
+    return tape.sparse_head(_sparse(spark, sf), 10)
 
 
 @query("interpolate_irregular", f"""WITH pts AS (SELECT user_id, epoch_us(ts) // 3600000000 AS x, value FROM events

@@ -120,7 +120,7 @@ def test_events_and_facts(obs):
     with_last = insight.tape_events(insight.boundary_bars(t, include_last=True)).count()
     assert with_last == len(kinds)
     facts = insight.fact_sentences(insight.pick_facts(events, t.n_periods, 2), t.ranking.rows().select("entity_id", "entity").distinct(), t.ranking.periods(), "USD")
-    assert [f.text for f in facts.orderBy("bucket").collect()] == ["2000: A bursts into the ranking at #1 with 9 USD.", "2002: D takes the lead with 20 USD."]
+    assert [f.text for f in facts.orderBy("bucket").collect()] == ["2000: first appearance of A, in place 1 (9 USD).", "2002: D is the new number one (20 USD)."]
 
 
 def test_trim_sparse_head(obs):
