@@ -204,7 +204,9 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = read.select("text").mapInArrow(texts, "node bigint, text string").join(families.hint("shuffle_hash"), "node")
     members = found.groupBy("node", "family").agg(F.first("text").alias("text"))
     links = stages.write(confirm(members, line_sets, percent), "links")
+    stages.drop("stars", "families")
     roots = stages.write(components(links, "line-dedup-components"), "roots")
+    stages.drop("links")
     lines = signed.select("doc_id", "k1", "k2", F.explode(F.arrays_zip("number", "h1", "h2")).alias("l"))
     lines = lines.select(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "k1", "k2", F.col("l.number").alias("number")).alias("me"),
                          F.col("l.h1").alias("node"), F.col("l.h2").alias("h2"))

@@ -88,9 +88,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Fully repeated rows match together; any of them will do, as their texts are equal.
     members = read.select("k1", "k2", "text").join(wanted.hint("merge"), ["k1", "k2"]).groupBy("node", "family").agg(F.min("text").alias("text"))
     links = stages.write(confirm(members, shingles, percent), "links")
+    stages.drop("heads", "suspects", "members")
     roots = components(links, "near-dedup-components")
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stages.write(named, "named")
+    stages.drop("links", "classes")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select(*same, "component_id")
     out = signed.select("doc_id", *same, "k1", "k2").join(named, same, "left")

@@ -158,6 +158,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path
     labelled = stages.write(rows.join(label_rows(labels, label_col), "doc_id"), "labelled")
     weights = fit_logistic(labelled)
     sites = stages.write(site_posteriors(labelled), "sites")
+    stages.drop("labelled")
     prior = sites.agg(F.max("prior")).first()[0]
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
