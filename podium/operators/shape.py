@@ -129,14 +129,15 @@ def explode_names(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.explode(F.transform(cell_names(column), strip_corporate_suffix)))
 
 
-def name_year_rows(df: DataFrame, entity: str, date: str, value: str) -> DataFrame:
+def name_year_rows(df: DataFrame, entity: str, date: str, value: str, hint: Column | None = None) -> DataFrame:
     """(entity, date, value) rows with the date cut to its year; unusable rows are left out."""
     year = matched(F.col(date).cast("string"), r"(-?\d{1,5})", 1)
     parsed = scaled_number(F.col(value).cast("string"))["value"]
-    rows = df.select(F.col(entity).cast("string").alias("_cell"), year.alias("date"), parsed.alias("value"))
+    more = [] if hint is None else [hint.alias("hint")]
+    rows = df.select(F.col(entity).cast("string").alias("_cell"), year.alias("date"), parsed.alias("value"), *more)
     # Unusable rows have no names. A filter would be pushed below and parse every number twice.
     names = F.when(F.col("date").isNotNull() & (F.col("value") > 0), F.transform(cell_names("_cell"), strip_corporate_suffix))
-    return rows.select(F.explode(names).alias("entity"), "date", "value")
+    return rows.select(F.explode(names).alias("entity"), "date", "value", *(["hint"] if more else []))
 
 
 def sum_by_name_year(df: DataFrame, entity: str, date: str, value: str, keep: int | None = None) -> DataFrame:
@@ -147,6 +148,31 @@ def sum_by_name_year(df: DataFrame, entity: str, date: str, value: str, keep: in
     return first_rows(sums, [F.col("value").desc(), F.col("entity"), F.col("date")], keep)
 
 
+def name_table_drafts(df: DataFrame, unit: str = "count") -> DataFrame:
+    """(entity, date, value, unit) of a table of names, years and amounts, whose name cells may be lists.
+
+    The date column may have any header that speaks of a date or year, as long as some cell reads as one. A column of
+    people whose cells list several names goes before the entity column found otherwise. If any cell lists several names,
+    amounts are summed per name and year; else every usable row is a draft of its own. One pass decides, over all rows.
+    """
+    found = detect_columns(df)
+    dates = [c for c in df.columns if re.search("date|year", c, re.I)] if found.date is None else []
+    people = [c for c in df.columns if re.search(fixed.PERSON_COLUMN_WORDS, c, re.I)]
+    lists = list(dict.fromkeys([*people, *([found.entity] if found.entity else [])]))
+    cell = lambda c: F.col(f"`{c}`").cast("string")
+    facts = df.agg(F.lit(0).alias("_"), *[F.count(F.when(looks_like_date(cell(c)), 1)).alias(f"d{i}") for i, c in enumerate(dates)],
+                   *[F.count(F.when(F.size(cell_names(cell(c))) >= 2, 1)).alias(f"l{i}") for i, c in enumerate(lists)]).first()
+    date = found.date or next((c for i, c in enumerate(dates) if facts[f"d{i}"]), None)
+    several = {c: bool(facts[f"l{i}"]) for i, c in enumerate(lists)}
+    entity = next((c for c in people if several[c]), found.entity)
+    if not (entity and date and found.value):
+        raise ValueError(f"could not identify entity, date and value columns in {df.columns}")
+    if several[entity]:
+        return sum_by_name_year(df, entity, date, found.value).withColumn("unit", F.lit(unit))
+    rows = name_year_rows(df.select(cell(entity).alias("e"), cell(date).alias("d"), cell(found.value).alias("v")), "e", "d", "v", hint=scaled_number("v")["unit_hint"])
+    return rows.withColumn("unit", F.coalesce("hint", F.lit(unit))).drop("hint")
+
+
 def year_end_values(points: DataFrame, scale: float = 1e5) -> DataFrame:
     """Last point of each UTC year 1900..2100 per entity. ``points(entity, ts in seconds, m)``."""
     year = F.year(F.date_from_unix_date(F.floor(F.col("ts") / 86400).cast("int")))  # UTC whatever the session's zone

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import clean, shape
-from ..sources import pages, payloads, writers
+from ..sources import pages, payloads, snapshots, writers
 from ..streaming import append_stream, read_current, stream_name_year_sums, write_current_tables
 from .catalogue import query
 from .queries_source import fresh
@@ -122,3 +122,27 @@ def stream_sums_batches(spark, sf):
     sums = stream_name_year_sums(spark, folder, "o_orderpriority string, day string, price string", "o_orderpriority", "day", "price", "parquet", files_per_trigger=1)
     write_current_tables(sums, out, fresh(spark, "sum-state")).awaitTermination()
     return read_current(spark, out)
+
+
+@query("name_table", """SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'Player ' || i ELSE 'Solo ' || o_orderkey % 7 END AS entity, year(o_orderdate)::VARCHAR AS date, sum(floor(o_totalprice))::DOUBLE AS value, 'USD' AS unit
+ FROM orders, range(3) t(i) WHERE o_orderkey % 3 = 0 OR i = 0 GROUP BY ALL""")
+def name_table(spark, sf):
+    """The list column is found among titles and dates with odd headers; every third row lists three players."""
+    k = F.col("o_orderkey")
+    three = F.to_json(F.array(*[F.struct(F.lit(f"Player {i}").alias("name")) for i in range(3)]))
+    table = load(spark, sf, "orders").select(
+        F.concat(F.lit("Title "), k.cast("string")).alias("title"), F.when(k % 3 == 0, three).otherwise(F.concat(F.lit("Solo "), (k % 7).cast("string"))).alias("starring"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("release_date"), F.floor("o_totalprice").cast("string").alias("revenue"))
+    return shape.name_table_drafts(table, "USD")
+
+
+@query("domain_ranks", """SELECT s_suppkey AS rank, 's' || s_suppkey || '.test' AS entity FROM supplier WHERE s_suppkey % 5 NOT IN (1, 2) AND s_suppkey >= 1
+ UNION ALL SELECT s_suppkey, 's' || s_suppkey || '.test' FROM supplier WHERE s_suppkey % 5 = 1""")
+def domain_ranks(spark, sf):
+    """Lists with a rank that is no number, a name without a dot, capitals and blanks."""
+    k = F.col("s_suppkey")
+    host = F.concat(F.lit("s"), k.cast("string"), F.lit(".test"))
+    rows = load(spark, sf, "supplier").select(
+        F.concat(F.lit("\u00a0"), k.cast("string"), F.lit(" ")).alias("r"), F.when(k % 5 == 1, F.concat(F.lit(" "), F.upper(host))).when(k % 5 == 2, F.lit("no domain")).otherwise(host).alias("d"))
+    heads = load(spark, sf, "supplier").select(F.lit("rank").alias("r"), F.lit("a.test").alias("d"))
+    return snapshots.domain_ranks(rows.unionByName(heads), "r", "d")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fixed
+from ..functions import clean
 from ..operators.ordering import first_per_group
 
 
@@ -29,6 +30,14 @@ def snapshot_series(lists: DataFrame, first_year: int, last_year: int, mmdd: str
     return rows.filter(total >= least_rows).select("entity", "year", (F.lit(list_size + 1) - F.col("rank")).alias("score"))
 
 
-def is_domain(column: str):
+def is_domain(column: Column) -> Column:
     """Whether a cell looks like a host name."""
-    return F.lower(F.trim(F.col(column))).rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+$")
+    return F.lower(clean(column)).rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+$")
+
+
+def domain_ranks(rows: DataFrame, rank: str, domain: str, *keep: str) -> DataFrame:
+    """(rank, entity and ``keep``) of the rows of a list that are a whole rank from 1 on and a host name; headers and notes go."""
+    number = clean(F.col(rank).cast("string"))
+    whole = F.when(number.rlike(r"^\d{1,18}$"), number.cast("bigint"))
+    usable = rows.filter((whole >= 1) & is_domain(F.col(domain)))
+    return usable.select(whole.alias("rank"), F.lower(clean(F.col(domain))).alias("entity"), *keep)
