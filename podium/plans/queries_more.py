@@ -146,3 +146,16 @@ def domain_ranks(spark, sf):
         F.concat(F.lit("\u00a0"), k.cast("string"), F.lit(" ")).alias("r"), F.when(k % 5 == 1, F.concat(F.lit(" "), F.upper(host))).when(k % 5 == 2, F.lit("no domain")).otherwise(host).alias("d"))
     heads = load(spark, sf, "supplier").select(F.lit("rank").alias("r"), F.lit("a.test").alias("d"))
     return snapshots.domain_ranks(rows.unionByName(heads), "r", "d")
+
+
+@query("dataset_hash", """WITH r AS (SELECT sha256(coalesce(length(o_orderkey::VARCHAR) || ':' || o_orderkey::VARCHAR, '-') || '|' || coalesce(length(o_orderpriority::VARCHAR) || ':' || o_orderpriority::VARCHAR, '-') || '|' || coalesce(length(nullif(o_orderstatus, 'O')::VARCHAR) || ':' || nullif(o_orderstatus, 'O')::VARCHAR, '-')) AS h FROM orders), s AS (SELECT count(*) AS rows, sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR AS s0, sum(('0x' || substr(h, 16, 15))::BIGINT)::VARCHAR AS s1, sum(('0x' || substr(h, 31, 15))::BIGINT)::VARCHAR AS s2, sum(('0x' || substr(h, 46, 15))::BIGINT)::VARCHAR AS s3 FROM r)
+ SELECT rows, sha256(concat_ws('|', rows::VARCHAR, s0, s1, s2, s3)) AS hash FROM s""")
+def dataset_hash(spark, sf):
+    orders = load(spark, sf, "orders").withColumn("status", F.nullif("o_orderstatus", F.lit("O")))
+    return fn.dataset_hash(orders.repartition(5), "o_orderkey", "o_orderpriority", "status")
+
+
+@query("fetched_unit", """SELECT doc_id, CASE WHEN regexp_matches(lower(text), '%|percent|share|rate|ratio') THEN 'percent' END IS NOT NULL AS percent FROM documents""")
+def fetched_unit(spark, sf):
+    unit = fn.fetched_table_unit("text", F.lit(""))
+    return load(spark, sf, "documents").select("doc_id", (unit == "percent").alias("percent"))
