@@ -32,6 +32,15 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     return [F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(text, doc_id, F.lit(1)).alias("k2")]
 
 
+def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, of which Spark no longer knows that it lies by its long ``keys``.
+
+    A hot key's rows are split among tasks (AQE skew join) only where both sides of a join come straight from a shuffle.
+    The result of a grouping by the join's keys does not; with its keys rewritten it is shuffled once more, as few rows.
+    """
+    return df.withColumns({k: F.bitwise_not(F.bitwise_not(col(k))) for k in keys})
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, byte_bound: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of at most ``rows`` rows and about ``byte_bound`` bytes (one long row may exceed it)."""
     for batch in batches:

@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import Stages
+from .common import dealt_anew
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the smallest id around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.filter("b > a").join(dealt_anew(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node links its smaller neighbours and itself to the smallest of them. Edges lead from larger to smaller."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    lower = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    lower = edges.join(dealt_anew(least, "a"), "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return lower.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -25,7 +26,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node with an edge, ``root`` the smallest id of its component.
 
     ``edges``: a long, b long; directions, repeats and loops do not matter. Each round is a staged table; the former
-    one goes. Minima are aggregated before the shuffle, so a node with very many edges is no burden there.
+    one goes. Minima are aggregated before the shuffle, and the edges of a node with very many of them may be split in the joins.
     """
     stages = Stages(edges.sparkSession, name)
     state = stages.write(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "round-0")

@@ -15,8 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import Stages
-from .components import components
+from .common import dealt_anew
 from .textvec import mix
 
 _BLOCK = 512  # members of a bucket or family that one group may hold; larger ones are compared block by block
@@ -130,7 +129,7 @@ def suspects(items: DataFrame, index: Index) -> DataFrame:
     """
     keys = items.select("node", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = keys.join(shared.hint("merge"), "key").join(items.select("node", "sig").hint("merge"), "node")
+    rows = keys.join(dealt_anew(shared, "key").hint("merge"), "key").join(items.select("node", "sig").hint("merge"), "node")
     rows = blocked(rows, "key", "node", "n").select("key", "_i", "_j", "node", "sig")
     order = ["key", "_i", "_j"]
     laid = rows.repartition(*order).sortWithinPartitions(*order, "node")
@@ -169,7 +168,7 @@ def confirm(members: DataFrame, sets: Sets, percent: int) -> DataFrame:
     two or more of them have; members are linked where 100 * intersection >= percent * union.
     """
     size = members.groupBy("family").agg(F.count("*").alias("n"))
-    rows = blocked(members.hint("merge").join(size, "family"), "family", "node", "n").select("family", "_i", "_j", "_b", "node", "text")
+    rows = blocked(members.hint("merge").join(dealt_anew(size, "family"), "family"), "family", "node", "n").select("family", "_i", "_j", "_b", "node", "text")
     order = ["family", "_i", "_j"]
     laid = rows.repartition(*order).sortWithinPartitions(*order, "node")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import Stages
-from .common import col, row_key, slices
+from .common import col, dealt_anew, row_key, slices
 from .components import components
 from .hamming import confirm
 from .textvec import _LOWER, _power, mix, span_hashes, text_bytes
@@ -213,7 +213,7 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = lines.join(roots.hint("merge"), "node", "left").select("me", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(0).alias("h2"))
     same = ["root", "h2"]
     first = lines.groupBy(*same).agg(F.min("me").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    gone = lines.join(first.hint("merge"), same).filter("me != first").groupBy("me.k1", "me.k2").agg(F.sort_array(F.collect_set("me.number")).alias("dropped"))
+    gone = lines.join(dealt_anew(first, *same).hint("merge"), same).filter("me != first").groupBy("me.k1", "me.k2").agg(F.sort_array(F.collect_set("me.number")).alias("dropped"))
     out = signed.select("doc_id", "n_lines", "k1", "k2").join(gone.hint("merge"), ["k1", "k2"], "left")
     return out.select("doc_id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), "k1", "k2")
 

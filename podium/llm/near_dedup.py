@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import Stages
-from .common import col, row_key, slices
+from .common import col, dealt_anew, row_key, slices
 from .components import components
 from .hamming import Index, confirm, suspects
 from .textvec import mix, window_hashes, words
@@ -94,7 +94,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = stages.write(named, "named")
     stages.drop("links", "classes")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select(*same, "component_id")
+    named = named.join(dealt_anew(least, "root"), "root").select(*same, "component_id")
     out = signed.select("doc_id", *same, "k1", "k2").join(named, same, "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "k1", "k2")
