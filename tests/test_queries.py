@@ -10,7 +10,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 import check  # noqa: E402
 
 SAMPLE = ("rank_delta_mover", "rank_asc", "tape_bars_gaps", "tape_fill_all", "verify_multi", "verify_single_source", "quality_report", "parse_date", "scaled_number",
-          "html_tables", "ground_quotes", "host_cap", "token_match", "stream_leaderboard")
+          "html_tables", "ground_quotes", "host_cap", "token_match", "stream_leaderboard", "verify_notes", "name_table", "many_links", "dataset_hash", "sparse_head",
+          "domain_ranks", "candidate_ids")
 
 
 @pytest.fixture(scope="module")
