@@ -15,9 +15,10 @@ from .components import components
 from .hamming import confirm
 from .textvec import _LOWER, _power, mix, span_hashes, text_bytes
 
-#: At similarity 0.8 two lines share a band with probability 0.995, at 0.9 with 0.9999.
-BANDS, ROWS = 10, 4
-SHINGLE = 12
+#: At similarity 0.8 two lines share a band with probability 0.9996, at 0.5 with 0.47, at 0.3 with 0.05.
+BANDS, ROWS = 20, 5
+#: A changed byte breaks five shingles, so lines from 49 bytes on stay similar with one changed inside.
+SHINGLE = 5
 _EDGE = np.isin(np.arange(256), [9, 11, 12, 13, 32])
 
 
@@ -68,27 +69,29 @@ def _windows(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return np.concatenate(hashes or [np.zeros(0, np.uint64)]), np.concatenate(owner or [np.zeros(0, np.int64)])
 
 
+_OTHERS = np.random.default_rng(11).integers(0, BANDS * ROWS, (32, BANDS * ROWS))
 _LETTERS = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER] * np.uint64(2) + np.uint64(1)
 
 
 def band_keys(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(lines, BANDS) keys. Each shingle falls into one of the signature's places by its hash, and the least of a place is its symbol.
 
-    A place without a shingle takes the next one's symbol, as far along as needed, marked by the distance.
+    A place without a shingle takes another one's symbol, by a fixed random order of its own, so that the bands of short lines
+    do not all hold the same few shingles. After 32 tries it goes on to the next places in turn.
     """
     places = BANDS * ROWS
     h, owner = _windows(flat, starts, ends)
     least = np.full(len(starts) * places, 0xFFFFFFFF, np.uint32)
     place = ((h >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)
     np.minimum.at(least, owner * places + place.astype(np.int64), h.astype(np.uint32) >> np.uint32(1))
-    symbols = least.reshape(len(starts), places).astype(np.uint64)
-    empty = symbols == 0xFFFFFFFF
-    step = np.uint64(1)
-    while empty.any():
-        borrowed = np.roll(symbols, -1, axis=1)
-        ready = empty & (borrowed != 0xFFFFFFFF)
-        symbols[ready] = borrowed[ready] + step * np.uint64(1 << 32)
-        empty = symbols == 0xFFFFFFFF
+    empty, tries = np.flatnonzero(least == 0xFFFFFFFF), 0
+    symbols = least.copy()
+    while len(empty):
+        at = empty % places
+        other = _OTHERS[tries, at] if tries < len(_OTHERS) else (at + tries - len(_OTHERS) + 1) % places
+        symbols[empty] = least[empty - at + other]
+        empty, tries = empty[symbols[empty] == 0xFFFFFFFF], tries + 1
+    symbols = symbols.reshape(len(starts), places).astype(np.uint64)
     keys = np.empty((len(starts), BANDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(starts), band + 1, np.uint64)

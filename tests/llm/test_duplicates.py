@@ -217,3 +217,22 @@ def test_line_odd_rows(spark, odd, nothing, union_find):
 def test_repeated_rows_keep_the_same_lines(spark):
     df = spark.createDataFrame([(1, LONG), (1, LONG), (2, LONG)], "doc_id bigint, text string")
     assert sorted((r.doc_id, r.text) for r in drop_lines(df).collect()) == [(1, LONG), (1, LONG), (2, "")]
+
+
+def fives(line):
+    return frozenset(line.encode()[k : k + 5] for k in range(len(line.encode()) - 4))
+
+
+def test_lines_of_40_to_120_bytes_with_one_changed_byte(spark, rng, union_find):
+    """By sets of 5 bytes, whatever length the module has: near-lines as ordinary texts have them."""
+    lines = []
+    for n in [*range(40, 121, 2)] * 3:
+        line = "".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz "], n - 2))
+        at = int(rng.integers(12, n - 12))
+        lines += [f"<{line}>", f"<{line[:at]}#{line[at + 1:]}>"]
+    for j, i in similar([*map(fives, lines)], 80):
+        union_find.join(i, j)
+    want = [n for n in range(len(lines)) if union_find.find(n) != n]
+    assert len(want) > 100 and min(len(lines[n]) for n in want) <= 50
+    df = spark.createDataFrame([*enumerate(lines)], "doc_id bigint, text string").repartition(3)
+    assert sorted(r.doc_id for r in line_duplicates(df).collect() if r.dropped) == want
