@@ -112,37 +112,40 @@ def line_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets or [h]), np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)]).astype(np.int64)
 
 
-def _lines(column: pa.Array, min_chars: int) -> tuple:
+def _lines(column: pa.Array) -> tuple:
+    """Lines that are not blank: (all bytes, starts and text numbers of all lines, trimmed starts and ends, places among all lines)."""
     flat, offsets = text_bytes(column)
     starts, ends, text = line_spans(flat, offsets)
     a, b = trimmed(flat, starts, ends)
-    live = np.flatnonzero(b - a >= min_chars)
+    live = np.flatnonzero(b > a)
     return flat, starts, text, a[live], b[live], live
 
 
-def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_chars: int = 30) -> DataFrame:
+def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_chars: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_lines, dropped (numbers of its lines that go, from 0, ascending), k1, k2, the key of the row.
 
-    Lines are taken without blanks at their edges; those of fewer than ``min_chars`` bytes always stay. Lines are equal when
-    128 bits of hash are (A-Z lowered), and similar when the sets of their character shingles are, as confirmed on the
-    full sets. Of each component of equal and similar lines the first one stays: smallest doc_id, then smallest line number.
+    Lines are taken without blanks at their edges; blank ones always stay. Lines are equal when 128 bits of hash are (A-Z
+    lowered), however short they are, and similar when the sets of their character shingles are, as confirmed on the
+    full sets. Lines of fewer than ``min_chars`` bytes or without a shingle are only compared as a whole. Of each component of equal and similar lines the first one stays: smallest doc_id, then smallest line number.
 
     Null text is empty: one empty line. Null ids come after all others. Repeated rows (same id and text) are one document here and keep
     the same lines. An empty table gives no rows. Other columns are ignored.
     """
     stages = Stages(docs.sparkSession, "line-dedup")
+    least = max(min_chars, SHINGLE)
     text = F.coalesce(col(text_col), F.lit(""))
     read = docs.select(col(id_col).cast("bigint").alias("doc_id"), *row_key(id_col, text_col), text.alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)
         for batch in slices(batches, 512, 1 << 20):
-            flat, starts, owner, a, b, live = _lines(batch["text"], min_chars)
+            flat, starts, owner, a, b, live = _lines(batch["text"])
             h1 = span_hashes(flat, a, b)
             h2 = mix(span_hashes(flat, a, b) ^ _second(flat, a, b))
             # Copies inside a task's recent input need no keys of their own: equal lines share a node.
-            new, first = np.unique(h1, return_index=True)
-            first = np.sort(first[~np.isin(new, seen, assume_unique=True)])
+            long = np.flatnonzero(b - a >= least)
+            new, first = np.unique(h1[long], return_index=True)
+            first = np.sort(long[first[~np.isin(new, seen, assume_unique=True)]])
             seen = np.concatenate([seen, h1[first]])[-200_000:]
             keys = band_keys(flat, a[first], b[first])
             n, of = batch.num_rows, owner[live]
@@ -191,10 +194,11 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)
         for batch in slices(batches, 512, 1 << 20):
-            flat, _, _, a, b, _ = _lines(batch["text"], min_chars)
+            flat, _, _, a, b, _ = _lines(batch["text"])
             h1 = span_hashes(flat, a, b)
-            new, first = np.unique(h1, return_index=True)
-            first = np.sort(first[~np.isin(new, seen, assume_unique=True)])
+            long = np.flatnonzero(b - a >= least)
+            new, first = np.unique(h1[long], return_index=True)
+            first = np.sort(long[first[~np.isin(new, seen, assume_unique=True)]])
             seen = np.concatenate([seen, h1[first]])[-200_000:]
             size = b[first] - a[first]
             total = np.cumsum(size)

@@ -236,3 +236,11 @@ def test_lines_of_40_to_120_bytes_with_one_changed_byte(spark, rng, union_find):
     assert len(want) > 100 and min(len(lines[n]) for n in want) <= 50
     df = spark.createDataFrame([*enumerate(lines)], "doc_id bigint, text string").repartition(3)
     assert sorted(r.doc_id for r in line_duplicates(df).collect() if r.dropped) == want
+
+
+def test_short_lines_are_compared_as_a_whole(spark):
+    """Exact copies go whatever their length, blank lines stay."""
+    rows = [(1, "a\n\nUnits\nпривет, мир"), (2, " A \n \nunits\nb"), (3, "日本\nПривет, мир\nпривет, мир\n\nb"), (4, "日本\nabc\nabd\nunit")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    assert {r.doc_id: r.dropped for r in line_duplicates(df).collect()} == {1: [], 2: [0, 2], 3: [2, 4], 4: [0]}
+    assert {r.doc_id: r.text for r in drop_lines(df).collect()}[2] == " \nb"
