@@ -19,15 +19,16 @@ _SEQUENCES = 40  # a sequence id is the task's number, then the sequence's numbe
 
 
 class Shard:
-    """BM25 inverted index over one block of unpacked remainders; terms are token ids."""
+    """BM25 inverted index over one block of unpacked remainders, each with the term counts of its whole document; terms are token ids."""
 
     def __init__(self, units: list[tuple[np.ndarray, tuple]], idf: np.ndarray, mean_length: float, k1: float, b: float, query_terms: int) -> None:
         self.units, self.query_terms = units, query_terms
-        lengths = np.array([len(ids) for ids, _ in units], np.int64)
-        terms = np.concatenate([ids for ids, _ in units]).astype(np.int64)
-        owner = np.repeat(np.arange(len(units)), lengths)
-        pairs, tf = np.unique((terms << 24) | owner, return_counts=True)
-        self.term, self.unit = pairs >> 24, (pairs & 0xFFFFFF).astype(np.int32)
+        texts = [known[3:] for _, known in units]
+        lengths = np.array([n.sum() for _, n in texts], np.int64)
+        terms = np.concatenate([t for t, _ in texts]).astype(np.int64)
+        owner = np.repeat(np.arange(len(units)), [len(t) for t, _ in texts])
+        order = np.lexsort((owner, terms))
+        self.term, self.unit, tf = terms[order], owner[order].astype(np.int32), np.concatenate([n for _, n in texts])[order].astype(np.int64)
         norm = k1 * (1 - b + b * lengths / max(mean_length, 1.0))
         self.weight = idf[self.term] * tf * (k1 + 1) / (tf + norm[self.unit])
         self.names, self.begin = np.unique(self.term, return_index=True)
@@ -97,8 +98,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's whole windows are sequences of their own. Its remainder is a unit of a shard: a block of ``shard_docs``
-    consecutive documents of a task, with its own inverted index, while document frequencies and lengths are those of
-    the whole corpus. What does not fill a window goes on to the task's next shard, so a task leaves one short sequence.
+    consecutive documents of a task, with its own inverted index. Its terms are those of its whole document, and document
+    frequencies and lengths those of all whole documents. What does not fill a window goes on to the task's next shard, so a task leaves one short sequence.
 
     Null text is empty: one piece, the end id. Null and repeated ids are packed row by row. Ties go to the earlier row. An empty
     table gives no rows. Other columns are ignored. No shuffle of documents: shards are bounded however rows are distributed.
@@ -110,32 +111,33 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
         for batch in slices(batches, 512, 2 << 20):
             ids, at = tool.column(batch["text"])
             ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
-            sums, rests = [], []
+            sums, rests, terms, counts = [], [], [], []
             for i, j in zip(at.tolist(), at[1:].tolist()):
                 whole = (j - i) // window * window
                 sums.append([zlib.crc32(ids[k : k + window].astype("<u4")) for k in range(i, i + whole, window)])
                 rests.append(ids[i + whole : j].tobytes())
+                term, count = np.unique(ids[i:j], return_counts=True)
+                terms.append(term.tobytes())
+                counts.append(count.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(at)), pa.array(sums, pa.list_(pa.int64())), pa.array(rests, pa.binary()),
-                                              pa.array([ids.itemsize] * batch.num_rows, pa.int32())], names=["doc_id", "n", "sums", "rest", "width"])
+                                              pa.array(terms, pa.binary()), pa.array(counts, pa.binary()), pa.array([ids.itemsize] * batch.num_rows, pa.int32())],
+                                             names=["doc_id", "n", "sums", "rest", "terms", "counts", "width"])
 
-    coded = stages.write(documents(docs, id_col, text_col).mapInArrow(encode, "doc_id bigint, n bigint, sums array<bigint>, rest binary, width int"), "coded")
+    coded = stages.write(documents(docs, id_col, text_col).mapInArrow(encode, "doc_id bigint, n bigint, sums array<bigint>, rest binary, terms binary, counts binary, width int"), "coded")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in slices(batches, 1024, 4 << 20):
             kind = f"<u{batch['width'][0].as_py()}"
-            rests = [np.frombuffer(x, kind) for x in batch["rest"].to_pylist()]
-            pairs = np.unique((np.repeat(np.arange(len(rests)), [len(x) for x in rests]) << 32) | np.concatenate(rests).astype(np.int64))
-            seen = np.bincount(pairs & 0xFFFFFFFF)
+            seen = np.bincount(np.frombuffer(b"".join(batch["terms"].to_pylist()), kind))
             total = np.pad(total, (0, max(0, len(seen) - len(total))))
             total[: len(seen)] += seen
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"term": at, "df": total[at]})
 
-    size = F.length("rest") / F.col("width")
-    facts = coded.filter("length(rest) > 0").agg(F.count("*").alias("n"), F.avg(size).alias("mean")).first()
+    facts = coded.agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
     # At most one row per id of the vocabulary.
-    counts = coded.select("rest", "width").mapInArrow(frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    counts = coded.select("terms", "width").mapInArrow(frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(int(counts["term"].max()) + 1 if len(counts) else 1)
     df[counts["term"].to_numpy(np.int64)] = counts["df"]
     sent = docs.sparkSession.sparkContext.broadcast(np.log1p((facts["n"] - df + 0.5) / (df + 0.5)))
@@ -156,7 +158,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
                         kept = pieces[:-1]
                         continue
                     offset = 0
-                    for ids, (doc, start, n) in pieces:
+                    for ids, (doc, start, n, *_) in pieces:
                         rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4")), n, number, offset))
                         offset += len(ids)
                     number += 1
@@ -168,12 +170,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
             return out
 
         for batch in slices(batches, 512, 4 << 20):
-            for doc, n, sums, rest, width in zip(*(batch[c].to_pylist() for c in ("doc_id", "n", "sums", "rest", "width"))):
+            for doc, n, sums, rest, terms, counts, width in zip(*(batch[c].to_pylist() for c in ("doc_id", "n", "sums", "rest", "terms", "counts", "width"))):
                 for i, crc in enumerate(sums):
                     rows.append((doc, i * window, window, crc, n, number, 0))
                     number += 1
                 if rest:
-                    units.append((np.frombuffer(rest, f"<u{width}"), (doc, len(sums) * window, n)))
+                    units.append((np.frombuffer(rest, f"<u{width}"), (doc, len(sums) * window, n, np.frombuffer(terms, f"<u{width}"), np.frombuffer(counts, "<u4"))))
                     taken += 1
                     if taken >= shard_docs:
                         close(False)

@@ -204,3 +204,11 @@ def test_packing_takes_lexical_neighbours(spark, vocabulary):
     for r in pieces:
         together.setdefault(r.sequence_id, set()).add(r.doc_id % 3)
     assert sum(len(k) == 1 for k in together.values()) >= len(together) * 0.7
+
+
+def test_packing_knows_long_documents_by_their_whole_text(spark, vocabulary):
+    """The remainder of document 1 is like document 2, the rest of it like document 3."""
+    rows = [(1, "engine piston gearbox " * 40 + "violin cello " * 4), (2, "violin cello trumpet"), (3, "engine piston gearbox")] + [(9 + i, f"nothing of that {i}") for i in range(9)]
+    pieces = pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), vocabulary, window=64).collect()
+    last = max((r for r in pieces if r.doc_id == 1), key=lambda r: r.start)
+    assert last.start and [r.doc_id for r in sorted(pieces, key=lambda r: r.offset) if r.sequence_id == last.sequence_id][1] == 3
