@@ -21,8 +21,8 @@ _SEQUENCES = 40  # a sequence id is the task's number, then the sequence's numbe
 class Shard:
     """BM25 inverted index over one block of unpacked remainders, each with the term counts of its whole document; terms are token ids."""
 
-    def __init__(self, units: list[tuple[np.ndarray, tuple]], idf: np.ndarray, mean_length: float, k1: float, b: float, query_terms: int) -> None:
-        self.units, self.query_terms = units, query_terms
+    def __init__(self, units: list[tuple[np.ndarray, tuple]], idf: np.ndarray, mean_length: float, k1: float, b: float) -> None:
+        self.units = units
         texts = [known[3:] for _, known in units]
         lengths = np.array([n.sum() for _, n in texts], np.int64)
         terms = np.concatenate([t for t, _ in texts]).astype(np.int64)
@@ -33,14 +33,11 @@ class Shard:
         self.weight = idf[self.term] * tf * (k1 + 1) / (tf + norm[self.unit])
         self.names, self.begin = np.unique(self.term, return_index=True)
         self.begin = np.append(self.begin, len(self.term))
-        # The best terms of each unit, as places in ``names``: what it asks for when it opens a window.
-        order = np.lexsort((-self.weight, self.unit))
-        first = np.searchsorted(self.unit[order], np.arange(len(units) + 1))
-        place = np.searchsorted(self.names, self.term)
-        self.queries = [place[order[a : min(b, a + query_terms)]] for a, b in zip(first[:-1], first[1:])]
+        # All terms of each unit, as places in ``names``: what it asks for when it opens a window.
+        self.queries = [np.searchsorted(self.names, t) for t, _ in texts]
 
     def neighbours(self, n: int) -> np.ndarray:
-        """Units that share one of the seed's best terms, best first; ties go to the earlier unit."""
+        """Units that share a term with the seed, best first; ties go to the earlier unit."""
         spans = [slice(self.begin[t], self.begin[t + 1]) for t in self.queries[n]]
         if not spans:
             return np.zeros(0, np.int64)
@@ -94,15 +91,17 @@ def fill(shard: Shard, window: int, last: bool) -> Iterator[list[tuple[np.ndarra
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024, shard_docs: int = 2048, k1: float = 1.2, b: float = 0.75,
-                   query_terms: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document's whole windows are sequences of their own. Its remainder is a unit of a shard: a block of ``shard_docs``
-    consecutive documents of a task, with its own inverted index. Its terms are those of its whole document, and document
+    A document's whole windows are sequences of their own. Documents are shuffled by their term of the highest weight that another
+    one has, too (those of a frequent term to several tasks), and sorted by it. A remainder is a unit of a shard: a block of
+    ``shard_docs`` consecutive documents of a task, with its own inverted index. Its terms are those of its whole document, and document
     frequencies and lengths those of all whole documents. What does not fill a window goes on to the task's next shard, so a task leaves one short sequence.
 
-    Null text is empty: one piece, the end id. Null and repeated ids are packed row by row. Ties go to the earlier row. An empty
-    table gives no rows. Other columns are ignored. No shuffle of documents: shards are bounded however rows are distributed.
+    Null text is empty: one piece, the end id. Null and repeated ids are packed row by row. Ties go to the earlier row as sorted. An empty
+    table gives no rows. Other columns are ignored. Shards are bounded however rows are distributed; a seed asks no
+    shard but its own.
     """
     stages = Stages(docs.sparkSession, "packing")
 
@@ -141,8 +140,23 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
     df = np.zeros(int(counts["term"].max()) + 1 if len(counts) else 1)
     df[counts["term"].to_numpy(np.int64)] = counts["df"]
     sent = docs.sparkSession.sparkContext.broadcast(np.log1p((facts["n"] - df + 0.5) / (df + 0.5)))
+    frequent = docs.sparkSession.sparkContext.broadcast(df)
     mean = facts["mean"] or 1.0
 
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds ``place``, the best term of each document that another one has, too, and ``parts``, the tasks its documents may go to."""
+        idf, often = sent.value, frequent.value
+        for batch in slices(batches, 1024, 4 << 20):
+            places = []
+            for terms, counts, n, width in zip(*(batch[c].to_pylist() for c in ("terms", "counts", "n", "width"))):
+                term, tf = np.frombuffer(terms, f"<u{width}"), np.frombuffer(counts, "<u4")
+                weight = np.where(often[term] > 1, idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean)), -1.0)
+                best = int(np.argmax(weight))
+                places.append(int(term[best]) if weight[best] >= 0 else -1)
+            at = np.array(places, np.int64)
+            parts = np.where(at < 0, len(often), np.ceil(often[at] / shard_docs)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(np.maximum(parts, 1))], names=[*batch.schema.names, "place", "parts"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, number = sent.value, TaskContext.get().partitionId() << _SEQUENCES
         rows: list[tuple] = []
@@ -153,7 +167,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
             nonlocal number, units, taken
             kept: list[tuple[np.ndarray, tuple]] = []
             if units:
-                for pieces in fill(Shard(units, idf, mean, k1, b, query_terms), window, last):
+                for pieces in fill(Shard(units, idf, mean, k1, b), window, last):
                     if pieces[-1][1] == ("open",):
                         kept = pieces[:-1]
                         continue
@@ -185,4 +199,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
         if rows:
             yield flush()
 
-    return coded.mapInArrow(pack, ", ".join(f"{n} bigint" for n in _PIECES.names))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in coded.schema.fields)
+    keyed = coded.mapInArrow(key, f"{fields}, place bigint, parts bigint").withColumn("part", F.pmod(F.xxhash64("doc_id", "rest"), F.col("parts")))
+    laid = keyed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place", "part")
+    laid = laid.sortWithinPartitions("place", "part", "doc_id", "n", F.xxhash64("rest", "sums"))
+    return laid.select(*coded.columns).mapInArrow(pack, ", ".join(f"{n} bigint" for n in _PIECES.names))

@@ -212,3 +212,24 @@ def test_packing_knows_long_documents_by_their_whole_text(spark, vocabulary):
     pieces = pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), vocabulary, window=64).collect()
     last = max((r for r in pieces if r.doc_id == 1), key=lambda r: r.start)
     assert last.start and [r.doc_id for r in sorted(pieces, key=lambda r: r.offset) if r.sequence_id == last.sequence_id][1] == 3
+
+
+def test_packing_finds_neighbours_in_other_tasks_and_by_any_term(spark, vocabulary):
+    """Like documents lie far apart in the input, a few in each of its tasks."""
+    kinds = ["apple banana cherry", "engine piston gearbox", "violin cello trumpet", "copper silver nickel"]
+    rows = [(i, " ".join([kinds[i % 4]] * 4)) for i in range(64)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    pieces = pack_documents(df, vocabulary, window=60, shard_docs=16).collect()
+    together = {}
+    for r in pieces:
+        together.setdefault(r.sequence_id, set()).add(r.doc_id % 4)
+    assert sum(len(k) == 1 for k in together.values()) >= len(together) * 0.6
+
+    from podium.llm.packing import Shard
+
+    def unit(doc, terms):
+        return np.array(terms, np.uint16), (doc, 0, len(terms), np.array(terms, np.uint16), np.ones(len(terms), np.uint32))
+
+    idf = np.linspace(2, 1, 200)
+    shard = Shard([unit(0, range(60)), unit(1, range(100, 160)), unit(2, range(30, 60))], idf, 60, 1.2, 0.75)
+    assert shard.neighbours(0).tolist() == [0, 2]
