@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import Stages
-from .common import documents, slices
+from .common import TASKS, documents, slices
 from .encoding import encoder
 
 _MAGIC = b"PODBITS1"
@@ -205,7 +205,8 @@ def read_packed(manifest: DataFrame, span_blocks: int = 16) -> DataFrame:
                 ids = pa.array(file.ids, mask=file.absent.astype(bool))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(file.starts[:-1] + base), pa.array(file.lengths.astype(np.int64)), pa.array(sums)], schema=schema)
 
-    return files.repartition("part").mapInArrow(rows, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # A number of its own, as the manifest is a few rows that Spark would otherwise read in one task.
+    return files.repartition(max(1, min(manifest.count(), TASKS)), "part").mapInArrow(rows, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -189,7 +189,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     ``ids_sha256`` is over the decimal ids joined by commas, ``decoded_sha256`` over the decoded text in UTF-8. Special tokens' strings in a text
     are those tokens, as the library has it by default. Null text is empty: no ids. Null and repeated ids pass through, one row per
-    row. An empty table gives no rows. Other columns are ignored. No shuffle.
+    row. Texts of any length are encoded whole. An empty table gives no rows. Other columns are ignored. No shuffle.
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = bpe(tokenizer)

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The most tasks that a short list of files or blocks is dealt to.
+TASKS = 100_000
 #: Separators between words and, alone, between equal texts.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -21,6 +23,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, nor with an underscore behind it, in any case of letters."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while taken & {name, name + "_"}:
+        name = f"_{name}"
+    return name
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string): null text is empty, other columns are left behind."""
     return docs.select(col(id_col).cast("bigint").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))

@@ -34,7 +34,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts are equal when SHA-256, length in bytes and a second 64-bit hash agree, at every level.
 
     Null text is empty. Null ids come after all others. Of repeated rows (same id, same text) exactly one is kept.
-    An empty table gives no rows. Other columns are ignored.
+    Texts of any length are read whole. An empty table gives no rows. Other columns are ignored.
     """
     stages = Stages(docs.sparkSession, "exact-dedup")
     # A struct of (id is null, id, row) orders null ids last and breaks ties among repeated rows.

@@ -13,12 +13,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import dealt_anew
+from .spans import bounds, places
 from .textvec import mix
 
 _BLOCK = 512  # members of a bucket or family that one group may hold; larger ones are compared block by block
+_FEW, _AT_ONCE = 16, 4 << 20  # members of a family whose pairs are looked up one by one; bytes of text of families taken together
 
 
 @dataclass(frozen=True)
@@ -164,7 +167,7 @@ def confirm(members: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """(a, b): exact links within families, as stars around the smallest node of each connected part.
 
     ``members``: family long, node long, text string. ``sets`` gives (distinct hashes of all texts, where each text's
-    begin and the end). Within a part, intersections of all members are counted by matrix products over the elements that
+    begin and the end). Intersections of all members of a part are counted, in large ones by matrix products over the elements that
     two or more of them have; members are linked where 100 * intersection >= percent * union.
     """
     size = members.groupBy("family").agg(F.count("*").alias("n"))
@@ -174,20 +177,76 @@ def confirm(members: DataFrame, sets: Sets, percent: int) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, order):
-            node = table["node"].to_numpy()
             cut = _edges_of([table[n].to_numpy() for n in order])
-            for at, end in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                texts = table["text"].slice(at, end - at).combine_chunks()
-                items, begin = sets(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts)
-                links = linked(items, begin, percent)
-                root = local_roots(end - at, lambda i, others: links[i, others])
-                some = np.flatnonzero(root != np.arange(end - at))
-                if len(some):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[at + root[some]]), pa.array(node[at + some])], names=["a", "b"])
+            node = table["node"].to_numpy()
+            sizes = pc.binary_length(table["text"]).to_numpy()
+            ahead = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[cut]
+            first = 0
+            while first < len(cut) - 1:  # whole families, about _AT_ONCE bytes of text at a time
+                last = max(first + 1, int(np.searchsorted(ahead, ahead[first] + _AT_ONCE, "right")) - 1)
+                at, part = cut[first], cut[first : last + 1] - cut[first]
+                texts = table["text"].slice(at, part[-1]).combine_chunks()
+                root = family_roots(*sets(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts), part, percent)
+                some = np.flatnonzero(root != np.arange(len(root)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[at + root[some]]), pa.array(node[at + some])], names=["a", "b"])
+                first = last
 
     return laid.mapInArrow(verify, "a bigint, b bigint")
 
 
+def family_roots(items: np.ndarray, begin: np.ndarray, cut: np.ndarray, percent: int) -> np.ndarray:
+    """Smallest place each set is connected with inside its family ``cut[f]:cut[f + 1]``, by similar pairs.
+
+    Families of up to _FEW members go through all their pairs together, larger ones through a matrix of their own.
+    """
+    n, size = int(cut[-1]), np.diff(cut)
+    root = np.arange(n)
+    for f in np.flatnonzero(size > _FEW).tolist():
+        at, end = cut[f], cut[f + 1]
+        links = linked(items[begin[at] : begin[end]], begin[at : end + 1] - begin[at], percent)
+        root[at:end] = at + local_roots(int(end - at), lambda i, others: links[i, others])
+    family = np.repeat(np.where(size <= _FEW, np.arange(len(size)), -1 - np.arange(len(size))), size)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, min(_FEW, n)):
+        i = np.flatnonzero((family[step:] == family[: n - step]) & (family[step:] >= 0))
+        a.append(i)
+        b.append(i + step)
+    a, b = np.concatenate(a), np.concatenate(b)
+    near = similar_pairs(items, begin, a, b, percent)
+    a, b = a[near], b[near]
+    while len(a):
+        before = root.copy()
+        np.minimum.at(root, b, root[a])
+        np.minimum.at(root, a, root[b])
+        if (before == root).all():
+            break
+    return root
+
+
+def similar_pairs(items: np.ndarray, begin: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets a[i] and b[i] are similar: the elements of the smaller one are looked up in the other."""
+    size = np.diff(begin)
+    near = (size[a] > 0) & (size[b] > 0) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+    some = np.flatnonzero(near)
+    if not len(some):
+        return near
+    values, rank = np.unique(items, return_inverse=True)
+    slot = np.sort(np.repeat(np.arange(len(size)), size) * len(values) + rank.reshape(-1))
+    total = np.cumsum(np.minimum(size[a[some]], size[b[some]]))
+    done = 0
+    while done < len(some):
+        end = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + (1 << 21), "right")))
+        part = some[done:end]
+        small = np.where(size[a[part]] <= size[b[part]], a[part], b[part])
+        n = size[small]
+        wanted = np.repeat((a[part] + b[part] - small) * len(values), n) + rank[places(begin[small], n)]
+        found = slot[np.minimum(np.searchsorted(slot, wanted), len(slot) - 1)] == wanted
+        inter = np.add.reduceat(found, bounds(n)[:-1], dtype=np.int64)
+        near[part] = 100 * inter >= percent * (size[a[part]] + size[b[part]] - inter)
+        done = end
+    return near
+
+
 def linked(items: np.ndarray, begin: np.ndarray, percent: int) -> np.ndarray:
     """Which of the sets ``items[begin[i]:begin[i + 1]]`` of distinct hashes are similar enough; empty sets are like nothing."""
     size = np.diff(begin)

@@ -10,15 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import Stages
-from .common import col, dealt_anew, row_key, slices
+from .common import col, dealt_anew, row_key, slices, unused
 from .components import components
-from .hamming import confirm
-from .textvec import _LOWER, _power, mix, span_hashes, text_bytes
+from .hamming import _edges_of, _groups, blocked, confirm, local_roots
+from .spans import bounds, places, strings
+from .textvec import _LOWER, mix, span_hashes, text_bytes
 
 #: At similarity 0.8 two lines share a band with probability 0.9996, at 0.5 with 0.47, at 0.3 with 0.05.
 BANDS, ROWS = 20, 5
 #: A changed byte breaks five shingles, so lines from 49 bytes on stay similar with one changed inside.
 SHINGLE = 5
+#: Parity bits that are compared before two lines become suspects.
+SKETCH = 512
+_PIECE = 1 << 19
 _EDGE = np.isin(np.arange(256), [9, 11, 12, 13, 32])
 
 
@@ -50,27 +54,34 @@ def trimmed(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return starts, ends
 
 
-def _windows(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each character shingle, span number); A-Z are lowered. Spans are in order and as long as a shingle at least."""
-    hashes, owner, i = [], [], 0
+def shingles(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, span number) of the distinct shingles of each span, by span, then value. A-Z are lowered.
+
+    A shingle is its bytes as a number, mixed, so different ones never fall together. Spans are as long as a shingle at least.
+    """
+    found, owner, i = [], [], 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 19), "right")))
-        a, b = int(starts[i]), int(ends[j - 1])
-        sums = np.zeros(b - a + 1, np.uint64)
-        up, down = _power(b - a + 1)
-        # Letters are spread by a table of random values, so that sums of powers tell words apart.
-        np.cumsum(_LETTERS[flat[a:b]] * up[:-1], out=sums[1:])
-        n = ends[i:j] - starts[i:j] - SHINGLE + 1
-        total = np.cumsum(n)
-        at = np.arange(total[-1]) + np.repeat(starts[i:j] - a - total + n, n)
-        hashes.append(mix((sums[at + SHINGLE] - sums[at]) * down[at]))
-        owner.append(np.repeat(np.arange(i, j), n))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _PIECE, "right")))
+        parts = []
+        for a in range(int(starts[i]), int(ends[j - 1]) - SHINGLE + 1, _PIECE):  # one piece, but for a span longer than that
+            low = _LOWER[flat[a : min(a + _PIECE + SHINGLE - 1, int(ends[j - 1]))]].astype(np.uint64)
+            value = low[: len(low) - SHINGLE + 1].copy()
+            for k in range(1, SHINGLE):
+                value |= low[k : len(low) - SHINGLE + 1 + k] << np.uint64(8 * k)
+            if j == i + 1:
+                parts.append(np.unique(value))
+            else:
+                n = ends[i:j] - starts[i:j] - SHINGLE + 1
+                key = np.sort(value[places(starts[i:j] - a, n)] | np.repeat(np.arange(j - i, dtype=np.uint64) << np.uint64(8 * SHINGLE), n))
+                parts.append(key[np.append(True, key[1:] != key[:-1])])
+        key = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+        found.append(mix(key & np.uint64((1 << 8 * SHINGLE) - 1)))
+        owner.append((key >> np.uint64(8 * SHINGLE)).astype(np.int64) + i)
         i = j
-    return np.concatenate(hashes or [np.zeros(0, np.uint64)]), np.concatenate(owner or [np.zeros(0, np.int64)])
+    return np.concatenate(found or [np.zeros(0, np.uint64)]), np.concatenate(owner or [np.zeros(0, np.int64)])
 
 
 _OTHERS = np.random.default_rng(11).integers(0, BANDS * ROWS, (32, BANDS * ROWS))
-_LETTERS = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER] * np.uint64(2) + np.uint64(1)
 
 
 def band_keys(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -79,19 +90,19 @@ def band_keys(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     A place without a shingle takes another one's symbol, by a fixed random order of its own, so that the bands of short lines
     do not all hold the same few shingles. After 32 tries it goes on to the next places in turn.
     """
-    places = BANDS * ROWS
-    h, owner = _windows(flat, starts, ends)
-    least = np.full(len(starts) * places, 0xFFFFFFFF, np.uint32)
-    place = ((h >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)
-    np.minimum.at(least, owner * places + place.astype(np.int64), h.astype(np.uint32) >> np.uint32(1))
+    size = BANDS * ROWS
+    h, owner = shingles(flat, starts, ends)
+    least = np.full(len(starts) * size, 0xFFFFFFFF, np.uint32)
+    place = ((h >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
+    np.minimum.at(least, owner * size + place.astype(np.int64), h.astype(np.uint32) >> np.uint32(1))
     empty, tries = np.flatnonzero(least == 0xFFFFFFFF), 0
     symbols = least.copy()
     while len(empty):
-        at = empty % places
-        other = _OTHERS[tries, at] if tries < len(_OTHERS) else (at + tries - len(_OTHERS) + 1) % places
+        at = empty % size
+        other = _OTHERS[tries, at] if tries < len(_OTHERS) else (at + tries - len(_OTHERS) + 1) % size
         symbols[empty] = least[empty - at + other]
         empty, tries = empty[symbols[empty] == 0xFFFFFFFF], tries + 1
-    symbols = symbols.reshape(len(starts), places).astype(np.uint64)
+    symbols = symbols.reshape(len(starts), size).astype(np.uint64)
     keys = np.empty((len(starts), BANDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(starts), band + 1, np.uint64)
@@ -101,15 +112,28 @@ def band_keys(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return keys.view(np.int64)
 
 
+def sketches(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of distinct shingles, SKETCH parity bits as bytes) of each line.
+
+    A shingle flips one bit, so two lines differ in at most as many bits as there are shingles that only one of them has.
+    """
+    h, owner = shingles(flat, starts, ends)
+    out = np.empty((len(starts), SKETCH // 8), np.uint8)
+    for i in range(0, len(starts), 4096):
+        a, b = np.searchsorted(owner, [i, i + 4096])
+        n = min(4096, len(starts) - i)
+        flips = np.bincount((owner[a:b] - i) * SKETCH + (h[a:b] % np.uint64(SKETCH)).astype(np.int64), minlength=n * SKETCH)
+        out[i : i + n] = np.packbits((flips & 1).astype(bool).reshape(n, SKETCH), axis=1)
+    return np.bincount(owner, minlength=len(starts)), out
+
+
 def line_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct character shingles of whole lines, for exact confirmation."""
     flat, offsets = text_bytes(column)
     long = np.flatnonzero(np.diff(offsets) >= SHINGLE)
-    h, owner = _windows(flat, offsets[:-1][long], offsets[1:][long])
-    owner = long[owner]
-    cut = np.searchsorted(owner, np.arange(len(column) + 1))
-    sets = [np.unique(h[a:b]) for a, b in zip(cut[:-1], cut[1:])]
-    return np.concatenate(sets or [h]), np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)]).astype(np.int64)
+    h, owner = shingles(flat, offsets[:-1][long], offsets[1:][long])
+    order = np.lexsort((h, owner))
+    return h[order], np.searchsorted(long[owner], np.arange(len(column) + 1))
 
 
 def _lines(column: pa.Array) -> tuple:
@@ -121,125 +145,187 @@ def _lines(column: pa.Array) -> tuple:
     return flat, starts, text, a[live], b[live], live
 
 
+def _fresh(column: pa.Array, least: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, starts, ends, nodes, what was seen lately) of lines of ``least`` bytes or more, but for copies of those seen lately.
+
+    Copies are one node, so any of them will do.
+    """
+    flat, _, _, a, b, _ = _lines(column)
+    long = np.flatnonzero(b - a >= least)
+    h1 = span_hashes(flat, a[long], b[long])
+    new, first = np.unique(h1, return_index=True)
+    first = np.sort(first[~np.isin(new, seen, assume_unique=True)])
+    return flat, a[long[first]], b[long[first]], h1[first], np.concatenate([seen, h1[first]])[-200_000:]
+
+
+def _meetings(texts: DataFrame, least: int) -> DataFrame:
+    """(key, node): the band keys that two or more lines have, and these lines."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)
+        for batch in slices(batches, 512, 1 << 20):
+            flat, a, b, node, seen = _fresh(batch["text"], least, seen)
+            yield pa.RecordBatch.from_arrays([pa.array(band_keys(flat, a, b).ravel()), pa.array(np.repeat(node.view(np.int64), BANDS))], names=["key", "node"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of sorted (key, node), those whose key has another node. Only the last row is held, however large a bucket is."""
+        key, node, told = None, 0, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, n = batch["key"].to_numpy(), batch["node"].to_numpy()
+            if key is not None:
+                k, n = np.append(key, k), np.append(node, n)
+            new = np.append(True, (k[1:] != k[:-1]) | (n[1:] != n[:-1]))  # each node of a key once
+            k, n = k[new], n[new]
+            same = k[1:] == k[:-1]
+            shared = np.append(same, False) | np.append(False, same)
+            out = shared.copy()
+            out[0] &= not told
+            told = bool(shared[-1]) if len(k) > 1 else told
+            key, node = k[-1], n[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array(n[out])], names=["key", "node"])
+
+    keys = texts.mapInArrow(sign, "key bigint, node bigint")
+    # A line has one key per band, so a bucket that a third of all lines fall into is a sixtieth of these rows.
+    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "key bigint, node bigint")
+
+
+def _suspects(texts: DataFrame, met: DataFrame, least: int, percent: int) -> DataFrame:
+    """(a, b): links within buckets between lines that may be similar, as stars. No similar pair of a bucket is lost.
+
+    Similar sets have at most (|A| + |B|) * (100 - percent) / (100 + percent) elements that only one has, and sketches
+    differ in no more bits than that.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)
+        for batch in slices(batches, 512, 1 << 20):
+            flat, a, b, node, seen = _fresh(batch["text"], least, seen)
+            n, bits = sketches(flat, a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(n), pa.array([x.tobytes() for x in bits], pa.binary())], names=["node", "n", "bits"])
+
+    drawn = texts.mapInArrow(sketch, "node bigint, n bigint, bits binary").join(met.select("node").distinct().hint("shuffle_hash"), "node")
+    drawn = drawn.groupBy("node").agg(F.max("n").alias("n"), F.first("bits").alias("bits"))
+    size = dealt_anew(met.groupBy("key").agg(F.count("*").alias("size")), "key")
+    rows = blocked(met.join(size.hint("merge"), "key"), "key", "node", "size").join(drawn.hint("merge"), "node")
+    order = ["key", "_i", "_j"]
+    laid = rows.select(*order, "node", "n", "bits").repartition(*order).sortWithinPartitions(*order, "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, order):
+            cut = _edges_of([table[c].to_numpy() for c in order])
+            node, n = table["node"].to_numpy(), table["n"].to_numpy()
+            bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(node), -1)
+
+            def near(i: np.ndarray | int, others: np.ndarray) -> np.ndarray:
+                both = n[i] + n[others]
+                apart = np.bitwise_count(bits[others] ^ bits[i]).sum(-1, dtype=np.int64)
+                return (apart * (100 + percent) <= both * (100 - percent)) & (100 * np.minimum(n[i], n[others]) >= percent * np.maximum(n[i], n[others]))
+
+            size = np.diff(cut)
+            two = cut[:-1][size == 2]
+            two = two[near(two, two + 1)]
+            a, b = [node[two]], [node[two + 1]]
+            for at, m in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist()):
+                root = local_roots(m, lambda i, others: near(at + i, at + others))
+                some = np.flatnonzero(root != np.arange(m))
+                a.append(node[at + root[some]])
+                b.append(node[at + some])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return laid.mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_chars: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_lines, dropped (numbers of its lines that go, from 0, ascending), k1, k2, the key of the row.
 
     Lines are taken without blanks at their edges; blank ones always stay. Lines are equal when 128 bits of hash are (A-Z
     lowered), however short they are, and similar when the sets of their character shingles are, as confirmed on the
-    full sets. Lines of fewer than ``min_chars`` bytes or without a shingle are only compared as a whole. Of each component of equal and similar lines the first one stays: smallest doc_id, then smallest line number.
+    full sets. Lines of fewer than ``min_chars`` bytes or without a shingle are only compared as a whole. Of each component of equal
+    and similar lines the first one stays: smallest doc_id, then smallest line number.
+
+    Lines whose signatures share a band meet in its bucket. Where their parity sketches rule out that they are similar, they are
+    no suspects; connected suspects are families, and within a family all full sets are compared.
 
     Null text is empty: one empty line. Null ids come after all others. Repeated rows (same id and text) are one document here and keep
-    the same lines. An empty table gives no rows. Other columns are ignored.
+    the same lines. Texts and lines of any length are read whole; a text is in one task. An empty table gives no rows. Other
+    columns are ignored.
     """
     stages = Stages(docs.sparkSession, "line-dedup")
     least = max(min_chars, SHINGLE)
     text = F.coalesce(col(text_col), F.lit(""))
     read = docs.select(col(id_col).cast("bigint").alias("doc_id"), *row_key(id_col, text_col), text.alias("text"))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512, 1 << 20):
             flat, starts, owner, a, b, live = _lines(batch["text"])
             h1 = span_hashes(flat, a, b)
-            h2 = mix(span_hashes(flat, a, b) ^ _second(flat, a, b))
-            # Copies inside a task's recent input need no keys of their own: equal lines share a node.
-            long = np.flatnonzero(b - a >= least)
-            new, first = np.unique(h1[long], return_index=True)
-            first = np.sort(long[first[~np.isin(new, seen, assume_unique=True)]])
-            seen = np.concatenate([seen, h1[first]])[-200_000:]
-            keys = band_keys(flat, a[first], b[first])
+            h2 = mix(h1 ^ _second(flat, a, b))
             n, of = batch.num_rows, owner[live]
-            cut = np.searchsorted(of, np.arange(n + 1))
-            cut_first = np.searchsorted(of[first], np.arange(n + 1))
+            cut = pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32())
             begin = np.searchsorted(owner, np.arange(n))
-
-            def lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
-                return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
-
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["k1"], batch["k2"], pa.array(np.bincount(owner, minlength=n)),
-                 lists((live - begin[of]).astype(np.int32), cut), lists(h1.view(np.int64), cut), lists(h2.view(np.int64), cut),
-                 lists(h1[first].view(np.int64), cut_first), lists(keys.ravel(), cut_first * BANDS)],
-                names=["doc_id", "k1", "k2", "n_lines", "number", "h1", "h2", "fresh", "keys"])
-
-    signed = stages.write(read.mapInArrow(sign, "doc_id bigint, k1 bigint, k2 bigint, n_lines bigint, number array<int>, h1 array<bigint>, "
-                                                "h2 array<bigint>, fresh array<bigint>, keys array<bigint>"), "lines")
-
-    def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, fresh = batch["keys"].flatten(), batch["fresh"].flatten().to_numpy()
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.repeat(fresh, BANDS))], names=["key", "node"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Stars of sorted (key, node): each further node of a key is linked with its first. Only that one is held."""
-        key, hub = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, node = batch["key"].to_numpy(), batch["node"].to_numpy()
-            new = np.ones(len(k), bool)
-            new[1:] = k[1:] != k[:-1]
-            new[0] = key is None or k[0] != key
-            at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            hubs = np.where(at >= 0, node[np.maximum(at, 0)], hub)
-            key, hub = k[-1], int(hubs[-1])
-            link = hubs != node
-            yield pa.RecordBatch.from_arrays([pa.array(hubs[link]), pa.array(node[link])], names=["a", "b"])
-
-    keys = signed.select("fresh", "keys").mapInArrow(flatten, "key bigint, node bigint")
-    stars = keys.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
-    families = components(stages.write(stars, "stars"), "line-dedup-families").select("node", F.col("root").alias("family"))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in ((live - begin[of]).astype(np.int32), h1.view(np.int64), h2.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["k1"], batch["k2"], pa.array(np.bincount(owner, minlength=n)), *lists],
+                                             names=["doc_id", "k1", "k2", "n_lines", "number", "h1", "h2"])
+
+    met = stages.write(_meetings(read.select("text"), least), "met")
+    suspects = stages.write(_suspects(read.select("text"), met, least, percent), "suspects")
+    stages.drop("met")
+    families = components(suspects, "line-dedup-families").select("node", F.col("root").alias("family"))
     families = stages.write(families, "families")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)
         for batch in slices(batches, 512, 1 << 20):
-            flat, _, _, a, b, _ = _lines(batch["text"])
-            h1 = span_hashes(flat, a, b)
-            long = np.flatnonzero(b - a >= least)
-            new, first = np.unique(h1[long], return_index=True)
-            first = np.sort(long[first[~np.isin(new, seen, assume_unique=True)]])
-            seen = np.concatenate([seen, h1[first]])[-200_000:]
-            size = b[first] - a[first]
-            total = np.cumsum(size)
-            body = flat[np.arange(total[-1] if len(total) else 0) + np.repeat(a[first] - total + size, size)]
-            offsets = np.concatenate([[0], total]).astype(np.int64)
-            column = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(body.tobytes())]).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(h1[first].view(np.int64)), column], names=["node", "text"])
+            flat, a, b, node, seen = _fresh(batch["text"], least, seen)
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), strings(flat[places(a, b - a)], bounds(b - a))], names=["node", "text"])
 
     # A line's text travels only to meet the list of suspects; the list is the build side, as it is narrow and has each node once.
     found = read.select("text").mapInArrow(texts, "node bigint, text string").join(families.hint("shuffle_hash"), "node")
     members = found.groupBy("node", "family").agg(F.first("text").alias("text"))
     links = stages.write(confirm(members, line_sets, percent), "links")
-    stages.drop("stars", "families")
+    stages.drop("suspects", "families")
     roots = stages.write(components(links, "line-dedup-components"), "roots")
     stages.drop("links")
-    lines = signed.select("doc_id", "k1", "k2", F.explode(F.arrays_zip("number", "h1", "h2")).alias("l"))
-    lines = lines.select(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "k1", "k2", F.col("l.number").alias("number")).alias("me"),
-                         F.col("l.h1").alias("node"), F.col("l.h2").alias("h2"))
-    lines = lines.join(roots.hint("merge"), "node", "left").select("me", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(0).alias("h2"))
+
+    schema = "doc_id bigint, k1 bigint, k2 bigint, n_lines bigint, number array<int>, h1 array<bigint>, h2 array<bigint>"
+    rows = stages.write(read.mapInArrow(number, schema), "lines")
+    # Only lines that have a copy or a similar one meet again: by their node, or their component's, and the second hash of copies.
+    copies = rows.select(F.explode("h1").alias("node")).groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
+    wanted = stages.write(copies.join(roots.hint("merge"), "node", "full").select("node", "root"), "wanted")
+    lines = rows.select("doc_id", "k1", "k2", F.explode(F.arrays_zip("number", "h1", "h2")).alias("l"))
+    lines = lines.select("doc_id", "k1", "k2", F.col("l.number").alias("number"), F.col("l.h1").alias("node"), F.col("l.h2").alias("h2"))
+    lines = lines.join(wanted.hint("merge"), "node").select("doc_id", "k1", "k2", "number", F.coalesce("root", "node").alias("root"),
+                                                            F.when(F.col("root").isNull(), F.col("h2")).otherwise(0).alias("h2"))
+    lines = stages.write(lines, "again")
+    stages.drop("roots", "wanted")
     same = ["root", "h2"]
-    first = lines.groupBy(*same).agg(F.min("me").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    gone = lines.join(dealt_anew(first, *same).hint("merge"), same).filter("me != first").groupBy("me.k1", "me.k2").agg(F.sort_array(F.collect_set("me.number")).alias("dropped"))
-    out = signed.select("doc_id", "n_lines", "k1", "k2").join(gone.hint("merge"), ["k1", "k2"], "left")
+    first = lines.groupBy(*same).agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "k1", "k2", "number")).alias("f"), F.count("*").alias("n"))
+    first = dealt_anew(first.filter("n > 1").select(*same, F.struct("f.k1", "f.k2", "f.number").alias("first")), *same)
+    gone = lines.drop("doc_id").join(first.hint("merge"), same).filter(F.struct("k1", "k2", "number") != F.col("first"))
+    gone = gone.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("number")).alias("dropped"))
+    out = rows.select("doc_id", "n_lines", "k1", "k2").join(gone.hint("merge"), ["k1", "k2"], "left")
     return out.select("doc_id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), "k1", "k2")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
     """``docs`` without the duplicate lines, other columns and rows as they are; ``length_col`` gets the new length.
 
-    A document that loses all its lines stays as a row with what is left of its text, so that rows can be followed.
+    A document that loses all its lines stays as a row with what is left of its text, so that rows can be followed. Null texts
+    stay null; repeated rows keep the same lines; an empty table stays empty; columns may have any names.
     """
-    found = line_duplicates(docs, id_col, text_col, **options).filter(F.size("dropped") > 0).select("k1", "k2", "dropped").groupBy("k1", "k2").agg(F.first("dropped").alias("dropped"))
-    k1, k2 = row_key(id_col, text_col)
-    found = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("dropped").alias("_dropped"))
-    rows = docs.withColumn("_1", k1).withColumn("_2", k2).join(found.hint("merge"), (F.col("_1") == F.col("_k1")) & (F.col("_2") == F.col("_k2")), "left")
-    kept = F.array_join(F.filter(F.split(col(text_col), "\n", -1), lambda line, i: ~F.array_contains("_dropped", i)), "\n")
-    text = F.when(F.col("_dropped").isNull(), col(text_col)).otherwise(kept)
-    out = rows.withColumn(text_col, text)
+    found = line_duplicates(docs, id_col, text_col, **options).filter(F.size("dropped") > 0).select(F.struct("k1", "k2").alias("k"), "dropped")
+    found = found.groupBy("k").agg(F.first("dropped").alias("dropped"))
+    key, gone = unused(docs, "key"), unused(docs, "gone")
+    found = found.select(F.col("k").alias(key + "_"), F.col("dropped").alias(gone))
+    rows = docs.withColumn(key, F.struct(*row_key(id_col, text_col))).join(found.hint("merge"), F.col(key) == F.col(key + "_"), "left")
+    kept = F.array_join(F.filter(F.split(col(text_col), "\n", -1), lambda line, i: ~F.array_contains(gone, i)), "\n")
+    touched = F.col(gone).isNotNull()
+    new = {text_col: F.when(touched, kept).otherwise(col(text_col))}
     if length_col:
-        out = out.withColumn(length_col, F.when(F.col("_dropped").isNull(), col(length_col)).otherwise(F.length(col(text_col)).cast(docs.schema[length_col].dataType)))
-    return out.select(*map(col, docs.columns))
+        new[length_col] = F.when(touched, F.length(kept).cast(docs.schema[length_col].dataType)).otherwise(col(length_col))
+    return rows.select(*(new[c].alias(c) if c in new else col(c) for c in docs.columns))
 
 
 def _second(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

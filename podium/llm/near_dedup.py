@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import Stages
-from .common import col, dealt_anew, row_key, slices
+from .common import col, dealt_anew, row_key, slices, unused
 from .components import components
 from .hamming import Index, confirm, suspects
 from .textvec import mix, window_hashes, words
@@ -51,8 +51,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest doc_id of the component; ``kept`` says that it is the document's own.
 
     Null text is empty. Null ids are members like others, but never a component's id unless it has no other
-    (then it is null and such rows are kept). Repeated rows are one class. An empty table gives no rows. Other columns
-    are ignored.
+    (then it is null and such rows are kept). Repeated rows are one class. Texts of any length are read whole, a text in one task.
+    An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "near-dedup")
@@ -101,9 +101,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component, other columns as they are; of repeated rows one stays."""
-    kept = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    k1, k2 = row_key(id_col, text_col)
-    rows = docs.withColumn("_1", k1).withColumn("_2", k2)
-    rows = rows.join(kept.hint("merge"), (F.col("_1") == F.col("_k1")) & (F.col("_2") == F.col("_k2")), "left_semi")
-    return rows.dropDuplicates(["_1", "_2"]).select(*map(col, docs.columns))
+    """``docs`` with one document of each component, other columns as they are; of repeated rows one stays.
+
+    Rows without text, and those of a component that has null ids only, stay, one of each id and text. An empty table stays empty;
+    texts of any length are read whole; columns may have any names.
+    """
+    key = unused(docs, "key")
+    kept = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.struct("k1", "k2").alias(key + "_"))
+    rows = docs.withColumn(key, F.struct(*row_key(id_col, text_col)))
+    rows = rows.join(kept.hint("merge"), F.col(key) == F.col(key + "_"), "left_semi")
+    return rows.dropDuplicates([key]).select(*map(col, docs.columns))

@@ -99,8 +99,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
     ``shard_docs`` consecutive documents of a task, with its own inverted index. Its terms are those of its whole document, and document
     frequencies and lengths those of all whole documents. What does not fill a window goes on to the task's next shard, so a task leaves one short sequence.
 
-    Null text is empty: one piece, the end id. Null and repeated ids are packed row by row. Ties go to the earlier row as sorted. An empty
-    table gives no rows. Other columns are ignored. Shards are bounded however rows are distributed; a seed asks no
+    Null text is empty: one piece, the end id. Null and repeated ids are packed row by row. Ties go to the earlier row as sorted. Texts of
+    any length are packed whole. An empty table gives no rows. Other columns are ignored. Shards are bounded however rows are distributed; a seed asks no
     shard but its own.
     """
     stages = Stages(docs.sparkSession, "packing")

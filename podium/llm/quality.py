@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import Stages
-from .common import col, row_key, slices
+from .common import col, row_key, slices, unused
 from .textvec import span_hashes, text_bytes, word_spans, BLANK
 from .toxicity import held_out, label_rows
 
@@ -179,8 +179,12 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that are not kept, other columns as they are."""
-    poor = quality(docs, labels, id_col=id_col, text_col=text_col, **options).filter("NOT kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    k1, k2 = row_key(id_col, text_col)
-    rows = docs.withColumn("_1", k1).withColumn("_2", k2)
-    return rows.join(poor.hint("merge"), (F.col("_1") == F.col("_k1")) & (F.col("_2") == F.col("_k2")), "left_anti").select(*map(col, docs.columns))
+    """``docs`` without the documents that are not kept, other columns as they are.
+
+    Null ids and texts are judged like others; repeated rows go or stay together; an empty table stays empty; texts of any length
+    are read whole; columns may have any names.
+    """
+    key = unused(docs, "key")
+    poor = quality(docs, labels, id_col=id_col, text_col=text_col, **options).filter("NOT kept").select(F.struct("k1", "k2").alias(key + "_"))
+    rows = docs.withColumn(key, F.struct(*row_key(id_col, text_col)))
+    return rows.join(poor.hint("merge"), F.col(key) == F.col(key + "_"), "left_anti").select(*map(col, docs.columns))

@@ -7,12 +7,11 @@ import pyarrow as pa
 
 _U = np.uint64
 _CHUNK = 1 << 20
-_table = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
+_BASE = _U(0x9E3779B97F4A7C15)
+#: Keeps the first 0 to 8 of eight bytes, read as a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 #: Blanks between words of the shingle operators.
 BLANK = np.zeros(256, bool)
@@ -30,14 +29,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, _CHUNK + 1)
-        _powers[:] = [np.multiply.accumulate(np.concatenate([[_U(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64)
-                      for b in (_BASE, _INVERSE)]
-    return _powers[0][:n], _powers[1][:n]
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, offsets of the texts in them, one more than there are texts). The column has no nulls."""
     wide = pa.types.is_large_string(column.type)
@@ -61,18 +52,27 @@ def word_spans(flat: np.ndarray, offsets: np.ndarray, separators: np.ndarray) ->
 
 
 def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; spans are in order and do not overlap."""
+    """A 64-bit hash of the bytes of each span; spans are in order and do not overlap.
+
+    The sum of its mixed stretches of eight bytes, each with its number in the span: no word is made of others by adding up.
+    """
     out, i = np.empty(len(starts), np.uint64), 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _CHUNK, "right")))
-        a, b = starts[i], ends[j - 1]
-        up, down = _power(int(b - a) + 1)
-        piece = flat[a:b]
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_table[_LOWER[piece] if lower else piece] * up[:-1], out=sums[1:], dtype=np.uint64)
-        out[i:j] = (sums[ends[i:j] - a] - sums[starts[i:j] - a]) * down[starts[i:j] - a]
+        a, b = int(starts[i]), int(ends[j - 1])
+        padded = np.zeros(b - a + 8, np.uint8)
+        padded[: b - a] = _LOWER[flat[a:b]] if lower else flat[a:b]
+        size = ends[i:j] - starts[i:j]
+        pieces = (size + 7) >> 3
+        first = np.cumsum(pieces) - pieces
+        number = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+        at = np.repeat(starts[i:j] - a, pieces) + 8 * number
+        value = np.lib.stride_tricks.sliding_window_view(padded, 8)[at].view(np.uint64)[:, 0]
+        value &= _FIRST[np.minimum(np.repeat(size, pieces) - 8 * number, 8)]
+        sums = np.concatenate([[_U(0)], np.cumsum(mix(value + (number.astype(np.uint64) + _U(1)) * _BASE), dtype=np.uint64)])
+        out[i:j] = sums[first + pieces] - sums[first]
         i = j
-    return mix(out + (ends - starts).astype(np.uint64))
+    return mix(out + (ends - starts).astype(np.uint64) * _BASE)
 
 
 def words(column: pa.Array, separators: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:

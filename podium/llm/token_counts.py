@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import Stages
 from .bitpack import filesystem
-from .common import documents, slices
+from .common import TASKS, documents, slices
 from .encoding import encoder
 
 BLOCK_BYTES = 4 << 20
@@ -81,7 +81,9 @@ def scan_flat(files: DataFrame, end_id: int, block_bytes: int = BLOCK_BYTES) ->
                 yield pa.RecordBatch.from_arrays([pa.array([row["part"]], pa.int32()), pa.array([row["block"]]), pa.array([len(hits)]),
                                                   pa.array([int(left)]), pa.array([lengths], pa.list_(pa.int64()))], schema=schema)
 
-    found = blocks.select("part", "path", "width", "block", "at", "take").repartition("part", "block").mapInArrow(
+    # A number of its own, as the list of blocks is short and Spark would otherwise read them in one task.
+    tasks = files.filter("n_bytes > 0").agg(F.sum(F.floor((F.col("n_bytes") - 1) / block_bytes) + 1)).first()[0] or 1
+    found = blocks.select("part", "path", "width", "block", "at", "take").repartition(min(tasks, TASKS), "part", "block").mapInArrow(
         search, "part int, block bigint, ends bigint, open bigint, lengths array<bigint>")
     found = found.withColumn("group", F.floor(F.col("block") / _SUPER))
 
@@ -115,8 +117,8 @@ def scan_flat(files: DataFrame, end_id: int, block_bytes: int = BLOCK_BYTES) ->
 def token_counts(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write ``docs`` as flat token files and count each document's tokens from them: doc_id, n_tokens, part, ordinal.
 
-    Null text is empty (0 tokens). Null and repeated ids are counted row by row. An empty table gives no rows. Other
-    columns are ignored.
+    Null text is empty (0 tokens). Null and repeated ids are counted row by row. Texts of any length are counted whole. An empty
+    table gives no rows. Other columns are ignored.
     """
     files, names = write_flat(docs, tokenizer, end_id, Stages(docs.sparkSession, "token-counts"), id_col, text_col)
     return names.hint("merge").join(scan_flat(files, end_id), ["part", "ordinal"]).select("doc_id", "n_tokens", "part", "ordinal")

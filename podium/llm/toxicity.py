@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import col, documents, slices
+from .common import col, documents, slices, unused
 from .textvec import NOT_ALNUM, window_hashes, words
 
 #: Words, pairs, and pairs with one word left out.
@@ -124,7 +124,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, held_out, score, predicted of every document; labels of held-out ids are never read.
 
     Null text is empty and scores the intercept. Null ids are scored, never learnt from. Repeated rows get equal
-    scores. Without labels every score is 0.5. An empty table gives no rows. Other columns are ignored.
+    scores. Texts of any length are read whole, a text in one task. Without labels every score is 0.5. An empty table gives no
+    rows. Other columns are ignored.
     """
     tidy = documents(docs, id_col, text_col)
     weights = train(tidy, label_rows(labels, label_col), **options)
@@ -133,7 +134,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
-    """``docs`` without the documents predicted toxic, other columns as they are. One pass after learning, no join."""
+    """``docs`` without the documents predicted toxic, other columns as they are. One pass after learning, no join.
+
+    Null texts score the intercept; repeated rows go or stay together; an empty table stays empty; texts of any length are read
+    whole; columns may have any names.
+    """
+    into = unused(docs, "toxicity")
     weights = train(documents(docs, id_col, text_col), label_rows(labels, label_col), **options)
-    scored = score(docs, weights, options.get("bits", 20), text_col, docs.columns, "_toxicity")
-    return scored.filter("_toxicity < 0.5").drop("_toxicity")
+    scored = score(docs, weights, options.get("bits", 20), text_col, docs.columns, into)
+    return scored.filter(F.col(into) < 0.5).drop(into)

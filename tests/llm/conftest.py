@@ -19,6 +19,10 @@ def library(vocabulary):
 ODD = [(1, "the quick brown fox jumps over the lazy dog again and again"), (2, None), (3, ""), (None, "the quick brown fox jumps over the lazy dog again and again"),
        (4, "THE quick brown fox jumps over the lazy dog again and again"), (5, "one two three"), (6, "one  two\tthree"), (7, "  \n\n "),
        (1, "the quick brown fox jumps over the lazy dog again and again"), (8, "w " * 30_000), (9, "é日本 語 \U0001f600 <|endoftext|> it's  done\n"), (None, None)]
+
+_MORSE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+#: Two different long words whose sums of powers are equal, whatever the base.
+ODD += [(10, f"{_MORSE} a b c"), (11, f"{_MORSE.translate(str.maketrans('ab', 'ba'))} a b c")]
 ODD_SCHEMA = "doc_id bigint, text string"
 EXTRA = "node bigint, key string, k1 string, `n` int, `_1` int, score string, lang string, source string, n_chars bigint"
 

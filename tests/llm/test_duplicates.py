@@ -8,13 +8,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from podium.llm import queries
+from podium.llm import hamming, line_dedup, queries
 from podium.llm.components import components
+from podium.llm.decontamination import drop_hits
 from podium.llm.exact_dedup import exact_dedup
 from podium.llm.hamming import Index, linked, local_roots
 from podium.llm.line_dedup import SHINGLE, drop_lines, line_duplicates
 from podium.llm.near_dedup import INDEX, drop_near_duplicates, near_duplicates, shingles
+from podium.llm.quality import drop_poor
+from podium.llm.toxicity import drop_toxic
 
 
 def lower(text):
@@ -65,7 +69,7 @@ def test_near_odd_rows(odd, nothing, odd_rows, union_find):
     assert got == near_brute(odd_rows, union_find)
     assert near_duplicates(nothing).count() == 0
     kept = drop_near_duplicates(odd)
-    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "5", "7", "8", "9", "None"]
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "10", "11", "2", "3", "5", "7", "8", "9", "None"]
 
 
 def test_near_family_larger_than_a_block(spark, monkeypatch, rng, union_find):
@@ -171,7 +175,7 @@ def test_exact_stays_in_the_jvm(documents, capsys):
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
 
 
-def line_brute(rows, union_find, least=30):
+def line_brute(rows, union_find, least=1):
     items = []
     for i, t in rows:
         for n, line in enumerate((t or "").split("\n")):
@@ -207,8 +211,8 @@ def test_line_odd_rows(spark, odd, nothing, union_find):
     df = spark.createDataFrame([(i, t, 1, len(t or "")) for i, t in rows], "doc_id bigint, text string, dropped int, n_chars int").repartition(3)
     assert {r.doc_id: r.dropped for r in line_duplicates(df).collect()} == line_brute(rows, union_find)
     out = {r.doc_id: r for r in drop_lines(df, length_col="n_chars").collect()}
-    assert out[1].text == f"{LONG}\n\nshort\nshort\nsomething else that is long enough, but quite unlike it"
-    assert out[2].text == "short" and out[2].n_chars == 5 and out[3].text is None and out[4].text == out[5].text == "" and out[1].dropped == 1
+    assert out[1].text == f"{LONG}\n\nshort\nsomething else that is long enough, but quite unlike it"
+    assert out[2].text == "" and out[2].n_chars == 0 and out[3].text is None and out[4].text == out[5].text == "" and out[1].dropped == 1
     assert out[None].text == "x\nonly the row without an id has this one here"
     assert drop_lines(odd).columns == odd.columns and drop_lines(odd).count() == odd.count()
     assert line_duplicates(nothing).count() == drop_lines(nothing).count() == 0
@@ -244,3 +248,66 @@ def test_short_lines_are_compared_as_a_whole(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
     assert {r.doc_id: r.dropped for r in line_duplicates(df).collect()} == {1: [], 2: [0, 2], 3: [2, 4], 4: [0]}
     assert {r.doc_id: r.text for r in drop_lines(df).collect()}[2] == " \nb"
+
+
+def test_long_lines_are_read_in_pieces(monkeypatch, rng):
+    """Shingles, keys and sketches of a line do not depend on the size of the pieces."""
+    lines = ["".join(rng.choice([*"abcde "], n)) for n in (5, 6, 7, 40, 1000, 70, 9, 3000)]
+    flat, ends = np.frombuffer("".join(lines).encode(), np.uint8), np.cumsum([*map(len, lines)])
+    starts = ends - [*map(len, lines)]
+    want = [{line[k : k + SHINGLE] for k in range(len(line) - SHINGLE + 1)} for line in lines]
+    seen = []
+    for piece in (1 << 19, 64, 7):
+        monkeypatch.setattr(line_dedup, "_PIECE", piece)
+        items, owner = line_dedup.shingles(flat, starts, ends)
+        assert [len(set(items[owner == i].tolist())) for i in range(len(lines))] == [*map(len, want)] == np.bincount(owner).tolist()
+        n, bits = line_dedup.sketches(flat, starts, ends)
+        seen.append((line_dedup.band_keys(flat, starts, ends).tolist(), n.tolist(), bits.tolist()))
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_sketches_rule_no_similar_line_out(rng):
+    lines = []
+    for n in rng.integers(20, 900, 200).tolist():
+        a = rng.choice([*b"abcdefgh "], n).astype(np.uint8)
+        b = a.copy()
+        b[rng.integers(0, n, int(rng.integers(1, 2 + n // 40)))] = 35
+        lines += [a.tobytes(), b.tobytes()]
+    flat, ends = np.frombuffer(b"".join(lines), np.uint8), np.cumsum([*map(len, lines)])
+    n, bits = line_dedup.sketches(flat, ends - [*map(len, lines)], ends)
+    sets = [frozenset(x[k : k + SHINGLE] for k in range(len(x) - SHINGLE + 1)) for x in lines]
+    apart = np.unpackbits(bits[::2] ^ bits[1::2], axis=1).sum(1)
+    assert all(x <= len(a ^ b) for x, a, b in zip(apart.tolist(), sets[::2], sets[1::2]))
+
+
+def test_families_by_pairs_and_by_matrix(monkeypatch, rng):
+    sets, cut = [], [0]
+    for m in (1, 2, 3, 16, 17, 40, 5):
+        origin = rng.choice(10_000, 60, replace=False)
+        sets += [np.unique(np.concatenate([origin[rng.random(60) > rng.choice([0.05, 0.3])], rng.choice(10_000, 3)])).astype(np.uint64) for _ in range(m)]
+        cut.append(cut[-1] + m)
+    sets[1] = sets[1][:0]
+    items, begin = np.concatenate(sets), np.concatenate([[0], np.cumsum([*map(len, sets)])])
+    want = np.arange(len(sets))
+    for a, b in zip(cut[:-1], cut[1:]):
+        links = linked(items[begin[a] : begin[b]], begin[a : b + 1] - begin[a], 75)
+        want[a:b] = a + local_roots(b - a, lambda i, others: links[i, others])
+    assert (want != np.arange(len(sets))).sum() > 10
+    for few in (1, 2, 16, 64):
+        monkeypatch.setattr(hamming, "_FEW", few)
+        assert (hamming.family_roots(items, begin, np.array(cut), 75) == want).all()
+
+
+INTERNAL = ("_1", "_2", "_k1", "_k2", "_key", "_key_", "_gone", "_dropped", "_toxicity", "_text", "key", "k", "dropped", "node")
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    rows = [(i, f"{LONG} {w}\nline {i} of this one\n{LONG}") for i, w in enumerate(("here", "there", "word and another word", "x y z u v w a b c"))]
+    df = spark.createDataFrame([(*r, *(r[0] * 100 + n for n in range(len(INTERNAL)))) for r in rows], "doc_id bigint, text string, " + ", ".join(f"`{c}` int" for c in INTERNAL))
+    df = df.withColumn("source", F.lit("a"))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    for out in (drop_lines(df), drop_near_duplicates(df), drop_poor(df, labels), drop_toxic(df, labels), drop_hits(df, df.limit(0).withColumnRenamed("doc_id", "item_id"))):
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert [r[c] for c in INTERNAL] == [r.doc_id * 100 + n for n in range(len(INTERNAL))]
+    assert drop_lines(df).count() == 4
