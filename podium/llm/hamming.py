@@ -199,12 +199,24 @@ def family_roots(items: np.ndarray, begin: np.ndarray, cut: np.ndarray, percent:
 
     Families of up to _FEW members go through all their pairs together, larger ones through a matrix of their own.
     """
+
+    def matrix(at: int, end: int) -> Callable[[int, np.ndarray], np.ndarray]:
+        links = linked(items[begin[at] : begin[end]], begin[at : end + 1] - begin[at], percent)
+        return lambda i, others: links[i, others]
+
+    return group_roots(cut, lambda a, b: similar_pairs(items, begin, a, b, percent), matrix)
+
+
+def group_roots(cut: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], one: Callable[[int, int], Callable[[int, np.ndarray], np.ndarray]]) -> np.ndarray:
+    """Smallest place each place is connected with inside its group ``cut[g]:cut[g + 1]``.
+
+    Groups of up to _FEW members go through all their pairs together: ``near(a, b)``. ``one(at, end)`` gives the test for a larger one.
+    """
     n, size = int(cut[-1]), np.diff(cut)
     root = np.arange(n)
-    for f in np.flatnonzero(size > _FEW).tolist():
-        at, end = cut[f], cut[f + 1]
-        links = linked(items[begin[at] : begin[end]], begin[at : end + 1] - begin[at], percent)
-        root[at:end] = at + local_roots(int(end - at), lambda i, others: links[i, others])
+    for g in np.flatnonzero(size > _FEW).tolist():
+        at, end = int(cut[g]), int(cut[g + 1])
+        root[at:end] = at + local_roots(end - at, one(at, end))
     family = np.repeat(np.where(size <= _FEW, np.arange(len(size)), -1 - np.arange(len(size))), size)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for step in range(1, min(_FEW, n)):
@@ -212,8 +224,8 @@ def family_roots(items: np.ndarray, begin: np.ndarray, cut: np.ndarray, percent:
         a.append(i)
         b.append(i + step)
     a, b = np.concatenate(a), np.concatenate(b)
-    near = similar_pairs(items, begin, a, b, percent)
-    a, b = a[near], b[near]
+    linked_ = near(a, b)
+    a, b = a[linked_], b[linked_]
     while len(a):
         before = root.copy()
         np.minimum.at(root, b, root[a])

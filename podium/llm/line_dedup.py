@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import Stages
 from .common import col, dealt_anew, row_key, slices, unused
 from .components import components
-from .hamming import _edges_of, _groups, blocked, confirm, local_roots
+from .hamming import _edges_of, _groups, blocked, confirm, group_roots
 from .spans import bounds, places, strings
 from .textvec import _LOWER, mix, span_hashes, text_bytes
 
@@ -20,9 +21,9 @@ from .textvec import _LOWER, mix, span_hashes, text_bytes
 BANDS, ROWS = 20, 5
 #: A changed byte breaks five shingles, so lines from 49 bytes on stay similar with one changed inside.
 SHINGLE = 5
-#: Parity bits that are compared before two lines become suspects.
-SKETCH = 512
-_PIECE = 1 << 19
+_MASK = (1 << 8 * SHINGLE) - 1
+_MARK_BITS = 27
+_LEAST_BITS = 128  # of the bitmaps that are compared before two lines become suspects
 _EDGE = np.isin(np.arange(256), [9, 11, 12, 13, 32])
 
 
@@ -54,31 +55,27 @@ def trimmed(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return starts, ends
 
 
-def shingles(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, span number) of the distinct shingles of each span, by span, then value. A-Z are lowered.
+def windows(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle: its bytes as a number, span number) at every place of each span, in order. A-Z are lowered.
 
-    A shingle is its bytes as a number, mixed, so different ones never fall together. Spans are as long as a shingle at least.
+    Spans are as long as a shingle at least.
     """
-    found, owner, i = [], [], 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _PIECE, "right")))
-        parts = []
-        for a in range(int(starts[i]), int(ends[j - 1]) - SHINGLE + 1, _PIECE):  # one piece, but for a span longer than that
-            low = _LOWER[flat[a : min(a + _PIECE + SHINGLE - 1, int(ends[j - 1]))]].astype(np.uint64)
-            value = low[: len(low) - SHINGLE + 1].copy()
-            for k in range(1, SHINGLE):
-                value |= low[k : len(low) - SHINGLE + 1 + k] << np.uint64(8 * k)
-            if j == i + 1:
-                parts.append(np.unique(value))
-            else:
-                n = ends[i:j] - starts[i:j] - SHINGLE + 1
-                key = np.sort(value[places(starts[i:j] - a, n)] | np.repeat(np.arange(j - i, dtype=np.uint64) << np.uint64(8 * SHINGLE), n))
-                parts.append(key[np.append(True, key[1:] != key[:-1])])
-        key = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
-        found.append(mix(key & np.uint64((1 << 8 * SHINGLE) - 1)))
-        owner.append((key >> np.uint64(8 * SHINGLE)).astype(np.int64) + i)
-        i = j
-    return np.concatenate(found or [np.zeros(0, np.uint64)]), np.concatenate(owner or [np.zeros(0, np.int64)])
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    a, b = int(starts[0]), int(ends[-1])
+    low = np.zeros(b - a + 8, np.uint8)
+    low[: b - a] = _LOWER[flat[a:b]]
+    value = np.ndarray((b - a,), "<u8", low, strides=(1,)) & np.uint64(_MASK)
+    n = ends - starts - SHINGLE + 1
+    return value[places(starts - a, n)], np.repeat(np.arange(len(starts)), n)
+
+
+def shingles(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle as a mixed number, span number) of the distinct shingles of each of fewer than 2 ** 24 spans, by span."""
+    value, owner = windows(flat, starts, ends)
+    key = np.sort(value | owner.astype(np.uint64) << np.uint64(8 * SHINGLE))
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    return mix(key & np.uint64(_MASK)), (key >> np.uint64(8 * SHINGLE)).astype(np.int64)
 
 
 _OTHERS = np.random.default_rng(11).integers(0, BANDS * ROWS, (32, BANDS * ROWS))
@@ -91,7 +88,8 @@ def band_keys(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     do not all hold the same few shingles. After 32 tries it goes on to the next places in turn.
     """
     size = BANDS * ROWS
-    h, owner = shingles(flat, starts, ends)
+    value, owner = windows(flat, starts, ends)
+    h = mix(value)
     least = np.full(len(starts) * size, 0xFFFFFFFF, np.uint32)
     place = ((h >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
     np.minimum.at(least, owner * size + place.astype(np.int64), h.astype(np.uint32) >> np.uint32(1))
@@ -112,19 +110,56 @@ def band_keys(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return keys.view(np.int64)
 
 
-def sketches(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of distinct shingles, SKETCH parity bits as bytes) of each line.
+def sketches(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number of shingles, copies included; bitmap of at least twice as many bits, a power of two) of each line.
 
-    A shingle flips one bit, so two lines differ in at most as many bits as there are shingles that only one of them has.
+    Every shingle sets a bit. A bit that only one of two lines has set stands for a shingle that only one has, and it
+    stays so when a bitmap is folded to half its size.
     """
-    h, owner = shingles(flat, starts, ends)
-    out = np.empty((len(starts), SKETCH // 8), np.uint8)
-    for i in range(0, len(starts), 4096):
-        a, b = np.searchsorted(owner, [i, i + 4096])
-        n = min(4096, len(starts) - i)
-        flips = np.bincount((owner[a:b] - i) * SKETCH + (h[a:b] % np.uint64(SKETCH)).astype(np.int64), minlength=n * SKETCH)
-        out[i : i + n] = np.packbits((flips & 1).astype(bool).reshape(n, SKETCH), axis=1)
-    return np.bincount(owner, minlength=len(starts)), out
+    value, owner = windows(flat, starts, ends)
+    h = mix(value)
+    n = np.maximum(ends - starts - SHINGLE + 1, 0)
+    width = np.maximum(_LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    at = bounds(width)
+    bits = np.zeros(at[-1], bool)
+    bits[at[owner] + (h & (width[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+    body = np.packbits(bits, bitorder="little")
+    return n, pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at // 8), pa.py_buffer(body)]).cast(pa.binary())
+
+
+class Sketches:
+    """Bitmaps of several sizes, compared two by two at the size of the smaller one."""
+
+    def __init__(self, n: np.ndarray, bits: pa.Array, percent: int) -> None:
+        self.n, self.percent = n, percent
+        data, offsets = np.frombuffer(bits.buffers()[2], np.uint64), np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1] // 8
+        self.width = np.diff(offsets)
+        self.of, self.place = {}, {}
+        for width in np.unique(self.width).tolist()[::-1]:
+            own = np.flatnonzero(self.width == width)
+            sets, members = [data[offsets[own][:, None] + np.arange(width)]], [own]
+            if 2 * width in self.of:  # similar lines differ by less than a factor of two
+                wide = self.of[2 * width][: (self.width == 2 * width).sum()]
+                sets.append(wide[:, :width] | wide[:, width:])
+                members.append(np.flatnonzero(self.width == 2 * width))
+            self.of[width] = np.concatenate(sets)
+            self.place[width] = np.full(len(n), -1)
+            self.place[width][np.concatenate(members)] = np.arange(len(self.of[width]))
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether lines a[i] and b[i] may be similar: sets that are have at most (|A| + |B|) * (100 - percent) / (100 + percent) elements
+        that only one has."""
+        out = np.zeros(len(a), bool)
+        small = np.minimum(self.width[a], self.width[b])
+        close = np.maximum(self.width[a], self.width[b]) <= 2 * small
+        for width in np.unique(small[close]).tolist():
+            some = np.flatnonzero(close & (small == width))
+            for i in range(0, len(some), 1 << 14):
+                part = some[i : i + (1 << 14)]
+                x, y = self.of[width][self.place[width][a[part]]], self.of[width][self.place[width][b[part]]]
+                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                out[part] = apart * (100 + self.percent) <= (self.n[a[part]] + self.n[b[part]]) * (100 - self.percent)
+        return out
 
 
 def line_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +167,7 @@ def line_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     flat, offsets = text_bytes(column)
     long = np.flatnonzero(np.diff(offsets) >= SHINGLE)
     h, owner = shingles(flat, offsets[:-1][long], offsets[1:][long])
-    order = np.lexsort((h, owner))
-    return h[order], np.searchsorted(long[owner], np.arange(len(column) + 1))
+    return h, np.searchsorted(long[owner], np.arange(len(column) + 1))
 
 
 def _lines(column: pa.Array) -> tuple:
@@ -194,8 +228,7 @@ def _meetings(texts: DataFrame, least: int) -> DataFrame:
 def _suspects(texts: DataFrame, met: DataFrame, least: int, percent: int) -> DataFrame:
     """(a, b): links within buckets between lines that may be similar, as stars. No similar pair of a bucket is lost.
 
-    Similar sets have at most (|A| + |B|) * (100 - percent) / (100 + percent) elements that only one has, and sketches
-    differ in no more bits than that.
+    What their bitmaps rule out is not similar; the others of a bucket that are connected are linked with its first one.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +236,7 @@ def _suspects(texts: DataFrame, met: DataFrame, least: int, percent: int) -> Dat
         for batch in slices(batches, 512, 1 << 20):
             flat, a, b, node, seen = _fresh(batch["text"], least, seen)
             n, bits = sketches(flat, a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(n), pa.array([x.tobytes() for x in bits], pa.binary())], names=["node", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(n), bits], names=["node", "n", "bits"])
 
     drawn = texts.mapInArrow(sketch, "node bigint, n bigint, bits binary").join(met.select("node").distinct().hint("shuffle_hash"), "node")
     drawn = drawn.groupBy("node").agg(F.max("n").alias("n"), F.first("bits").alias("bits"))
@@ -215,28 +248,29 @@ def _suspects(texts: DataFrame, met: DataFrame, least: int, percent: int) -> Dat
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, order):
             cut = _edges_of([table[c].to_numpy() for c in order])
-            node, n = table["node"].to_numpy(), table["n"].to_numpy()
-            bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(node), -1)
-
-            def near(i: np.ndarray | int, others: np.ndarray) -> np.ndarray:
-                both = n[i] + n[others]
-                apart = np.bitwise_count(bits[others] ^ bits[i]).sum(-1, dtype=np.int64)
-                return (apart * (100 + percent) <= both * (100 - percent)) & (100 * np.minimum(n[i], n[others]) >= percent * np.maximum(n[i], n[others]))
-
-            size = np.diff(cut)
-            two = cut[:-1][size == 2]
-            two = two[near(two, two + 1)]
-            a, b = [node[two]], [node[two + 1]]
-            for at, m in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist()):
-                root = local_roots(m, lambda i, others: near(at + i, at + others))
-                some = np.flatnonzero(root != np.arange(m))
-                a.append(node[at + root[some]])
-                b.append(node[at + some])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            node = table["node"].to_numpy()
+            bits = table["bits"].combine_chunks()
+            bits = bits.chunk(0) if isinstance(bits, pa.ChunkedArray) else bits
+            drawn = Sketches(table["n"].to_numpy(), bits, percent)
+            root = group_roots(cut, drawn.near, lambda at, end: lambda i, others: drawn.near(np.full(len(others), at + i), at + others))
+            some = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[root[some]]), pa.array(node[some])], names=["a", "b"])
 
     return laid.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _marks(nodes: DataFrame) -> Broadcast:
+    """A bitmap of 2 ** _MARK_BITS bits (16 MB, whatever the input) over the first bits of the nodes.
+
+    It spares most other lines the way to the join; with very many nodes it lets all pass, and the join decides as ever.
+    """
+    place = f"shiftrightunsigned(node, {64 - _MARK_BITS})"
+    rows = nodes.groupBy(F.expr(f"{place} div 8").alias("byte")).agg(F.expr(f"bit_or(shiftleft(1, cast({place} & 7 AS INT)))").alias("bits")).toArrow()
+    marks = np.zeros(1 << _MARK_BITS - 3, np.uint8)
+    marks[rows["byte"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint8)
+    return nodes.sparkSession.sparkContext.broadcast(marks)
+
+
 def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_chars: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_lines, dropped (numbers of its lines that go, from 0, ascending), k1, k2, the key of the row.
 
@@ -245,7 +279,7 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full sets. Lines of fewer than ``min_chars`` bytes or without a shingle are only compared as a whole. Of each component of equal
     and similar lines the first one stays: smallest doc_id, then smallest line number.
 
-    Lines whose signatures share a band meet in its bucket. Where their parity sketches rule out that they are similar, they are
+    Lines whose signatures share a band meet in its bucket. Where bitmaps of their shingles rule out that they are similar, they are
     no suspects; connected suspects are families, and within a family all full sets are compared.
 
     Null text is empty: one empty line. Null ids come after all others. Repeated rows (same id and text) are one document here and keep
@@ -275,10 +309,15 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     families = components(suspects, "line-dedup-families").select("node", F.col("root").alias("family"))
     families = stages.write(families, "families")
 
+    wanted = _marks(families)
+
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)
         for batch in slices(batches, 512, 1 << 20):
             flat, a, b, node, seen = _fresh(batch["text"], least, seen)
+            at = (node >> np.uint64(64 - _MARK_BITS)).astype(np.int64)
+            some = np.flatnonzero(wanted.value[at >> 3] >> (at & 7) & 1)
+            a, b, node = a[some], b[some], node[some]
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), strings(flat[places(a, b - a)], bounds(b - a))], names=["node", "text"])
 
     # A line's text travels only to meet the list of suspects; the list is the build side, as it is narrow and has each node once.
