@@ -26,19 +26,67 @@ def _count(first: int, last: int) -> Column:
 
 
 
-def forward_fill(rows: DataFrame, periods: int, max_carry: int | None = None) -> DataFrame:
-    """Carry each value to the entity's next row; past the last one, for at most ``max_carry`` periods.
-
-    Nothing is filled before the first row. Filled rows have ``held = true``.
-    """
+def carried(rows: DataFrame, periods: int, max_carry: int | None = None) -> DataFrame:
+    """(entity_id, value, seen, until): each value up to the entity's next row; past the last one, for at most ``max_carry`` periods."""
     last = F.lit(periods - 1).cast("bigint")
     trailing = last if max_carry is None else F.least(last, F.col("period_index") + max_carry)
     until = F.coalesce(F.lead("period_index").over(_by_entity()) - 1, trailing)
-    run = rows.select("entity_id", "value", F.col("period_index").alias("seen"), until.alias("until"))
+    return rows.select("entity_id", "value", F.col("period_index").alias("seen"), until.alias("until"))
+
+
+def forward_fill(rows: DataFrame, periods: int, max_carry: int | None = None) -> DataFrame:
+    """``carried`` values in every period. Nothing is filled before the first row. Filled rows have ``held = true``."""
+    run = carried(rows, periods, max_carry)
     return run.select("entity_id", F.explode(F.sequence("seen", "until")).alias("period_index"), "value",
                       (F.col("period_index") > F.col("seen")).alias("held"))
 
 
+def _nodes(periods: int) -> Column:
+    """The nodes (level, number) of a binary tree over transitions that together are seen .. until - 1: two at most per level."""
+    height = max(1, (periods - 1).bit_length())
+
+    def at(level: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+        first, end = F.ceil(F.col("seen") / width), F.floor(F.col("until") / width)
+        left = F.when((first < end) & (first % 2 == 1), F.struct(level.alias("level"), first.cast("bigint").alias("node")))
+        right = F.when((first < end) & (end % 2 == 1), F.struct(level.alias("level"), (end - 1).cast("bigint").alias("node")))
+        return F.array(left, right)
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height)), at)))
+
+
+def drawable_fill(run: DataFrame, periods: int, top_n: int, direction: str) -> DataFrame:
+    """``forward_fill`` of ``carried`` values, but for rows that cannot be drawn: top-N rows per period and the ends of each value, not all.
+
+    While a value is carried its bar stands still. Each carried value is laid on at most two nodes per level of a tree over
+    transitions. Where ``top_n`` values stand on a node, their last one is a line over its whole stretch: a value that is beyond it
+    on the node or anywhere below is never among the top-N there, and is pruned before it is expanded. A value's
+    first and last period always stay, since a bar moves there. ``drawable`` drops what seems to end where its rest was pruned: it
+    stands still beyond the line, too.
+    """
+    still = run.filter(F.col("until") > F.col("seen")).withColumn("at", F.explode(_nodes(periods)))
+    still = write_stage(still.select("entity_id", "value", "seen", F.col("at.level").alias("level"), F.col("at.node").alias("node")), "carried")
+    lines = first_per_group(still.select("level", "node", "entity_id", "value"), ["level", "node"], best_first(direction), top_n, "_n")
+    lines = lines.filter(F.col("_n") == top_n).select("level", "node", F.col("value").alias("line"))
+    # At most two rows per period: a node's line is the strictest of its own and of those above it.
+    height = max(1, (periods - 1).bit_length())
+    up = F.explode(F.sequence(F.col("level"), F.lit(height))).alias("above")
+    nodes = still.select("level", "node").distinct().select("level", "node", up)
+    nodes = nodes.withColumn("higher", F.expr("shiftright(node, above - level)"))
+    strictest = F.min if direction == "asc" else F.max
+    above = lines.select(F.col("level").alias("above"), F.col("node").alias("higher"), "line")
+    lines = write_stage(nodes.join(above, ["above", "higher"]).groupBy("level", "node").agg(strictest("line").alias("line")), "lines")
+    slack = F.lit(1e-9) * (F.abs("line") + F.abs("value"))
+    reaches = F.col("value") <= F.col("line") + slack if direction == "asc" else F.col("value") >= F.col("line") - slack
+    left = still.join(lines, ["level", "node"], "left").filter(F.col("line").isNull() | reaches)
+    first = F.call_function("shiftleft", F.col("node"), F.col("level"))
+    end = F.call_function("shiftleft", F.col("node") + 1, F.col("level"))
+    inner = left.select("entity_id", F.explode(F.sequence(first, end)).alias("period_index"), "value", "seen")
+    ends = run.select("entity_id", F.explode(F.array_distinct(F.array("seen", "until"))).alias("period_index"), "value", "seen")
+    rows = inner.unionByName(ends).dropDuplicates(["entity_id", "period_index"])
+    return rows.select("entity_id", "period_index", "value", (F.col("period_index") > F.col("seen")).alias("held"))
+
+
 def transitions(filled: DataFrame, periods: int, policy: str = "carryForward") -> DataFrame:
     """(transition, entity_id, a, b, held): the two ends between which an entity's bar moves.
 
@@ -241,7 +289,8 @@ def build_tape(ranking: Ranking, frames_per_transition: int = 30, policy: str =
     """Fill and tween a ranking that has a ``top_n``.
 
     ``fill_from="topn"`` carries only values that were drawn, so an entity that leaves the top-N keeps its last
-    drawn value. ``fill_from="all"`` uses every observed cell.
+    drawn value. ``fill_from="all"`` uses every observed cell; ``filled`` then holds the rows that may be drawn and the ends of
+    every carried value, as entities times periods would be too many.
     """
     if policy not in ("carryForward", "strict"):
         raise ValueError(f"unknown policy {policy!r}")
@@ -251,7 +300,12 @@ def build_tape(ranking: Ranking, frames_per_transition: int = 30, policy: str =
     periods = ranking.periods()
     seen = cells.join(periods.select("sort_key", "period_index"), "sort_key")
     n_periods = periods.count()
-    filled = forward_fill(seen.select("entity_id", "period_index", "value"), n_periods, max_carry)
+    seen = seen.select("entity_id", "period_index", "value")
+    if fill_from == "topn":
+        filled = forward_fill(seen, n_periods, max_carry)
+    else:
+        run = write_stage(carried(seen, n_periods, max_carry), "runs")
+        filled = drawable_fill(run, n_periods, ranking.top_n, ranking.direction)
     return Tape(ranking, write_stage(filled, "filled"), n_periods, frames_per_transition, policy)
 
 

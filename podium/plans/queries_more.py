@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..operators import clean, shape
 from ..sources import pages, payloads, snapshots, writers
-from ..streaming import append_stream, read_current, stream_name_year_sums, write_current_tables
+from ..streaming import append_stream, batch_log, compact, late_rows, read_current, read_latest, stream_daily_sums, stream_name_year_sums, write_current_tables, write_deltas
 from .catalogue import query
 from .queries_source import fresh
 from .views import OBS_DIRTY, OBS_ORDERS, load, obs_dirty, obs_orders
@@ -159,3 +159,47 @@ def dataset_hash(spark, sf):
 def fetched_unit(spark, sf):
     unit = fn.fetched_table_unit("text", F.lit(""))
     return load(spark, sf, "documents").select("doc_id", (unit == "percent").alias("percent"))
+
+
+# --- streams in update mode ----------------------------------------------------------------------------------------
+
+#: Events come in four deliveries in order of time; one row in fifty comes with the last one, whatever its time. A day of which the
+#: end lies two days before the latest event of the deliveries before is closed.
+_DELIVERED = """e AS (SELECT event_id, event_type, ts, CAST(floor(value * 100) AS BIGINT) AS cents, date_trunc('day', ts) AS day,
+  CASE WHEN event_id % 50 = 7 THEN 3 ELSE date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) * 4
+   // (date_diff('day', (SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events)) + 1) END AS delivery
+  FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+ tops AS (SELECT delivery, max(ts) AS top FROM e GROUP BY delivery),
+ marks AS (SELECT a.delivery, max(b.top) - INTERVAL 2 DAY AS mark FROM tops a LEFT JOIN tops b ON b.delivery < a.delivery GROUP BY a.delivery),
+ kept AS (SELECT e.* FROM e JOIN marks ON e.delivery = marks.delivery WHERE mark IS NULL OR day + INTERVAL 1 DAY > mark)"""
+
+
+def _delivered_stream(spark, sf):
+    """Four deliveries, each consumed by a run of its own, with a compaction in between: (path of the table, logs of the runs)."""
+    folder, path, state = fresh(spark, "deliveries"), fresh(spark, "daily-sums"), fresh(spark, "daily-state")
+    events = load(spark, sf, "events").select("event_id", "event_type", F.col("ts").alias("event_time"), F.floor(F.col("value") * 100).cast("bigint").alias("value"))
+    span = events.agg(F.to_date(F.min("event_time")).alias("first"), F.to_date(F.max("event_time")).alias("last")).first()
+    days = max((span["last"] - span["first"]).days + 1, 1) if span["first"] else 1
+    part = F.when(F.col("event_id") % 50 == 7, 3).otherwise(F.floor(F.datediff("event_time", F.lit(span["first"])) * 4 / days))
+    logs = []
+    for n in range(4):
+        events.filter(part == n).drop("event_id").write.mode("append").parquet(folder)
+        rows = spark.readStream.schema("event_type string, event_time timestamp, value bigint").option("maxFilesPerTrigger", 1_000_000).parquet(folder)
+        run = write_deltas(stream_daily_sums(rows, ["event_type"], "2 days"), path, state)
+        run.awaitTermination()
+        logs += batch_log(run)
+        if n == 1:
+            compact(spark, path, ["day", "event_type"])
+    return path, logs
+
+
+@query("stream_daily_update", f"WITH {_DELIVERED} SELECT day::DATE AS day, event_type, sum(cents)::BIGINT AS value, count(*) AS n FROM kept GROUP BY ALL")
+def stream_daily_update(spark, sf):
+    """Daily sums written as changed keys per batch, merged on read; rows of closed days are dropped."""
+    return read_latest(spark, _delivered_stream(spark, sf)[0], ["day", "event_type"])
+
+
+@query("stream_late_rows", f"WITH {_DELIVERED} SELECT (SELECT count(*) FROM e) AS rows_read, (SELECT count(*) FROM kept) AS rows_held, (SELECT count(*) FROM e) - (SELECT count(*) FROM kept) AS rows_late")
+def stream_late_rows(spark, sf):
+    path, logs = _delivered_stream(spark, sf)
+    return late_rows(spark, path, logs)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import insight, ranking, tape
+from ..operators import insight, ranking, reranking, tape
 from ..operators.quality import check_ranking
+from ..session import shared_folder
 from .catalogue import query
 from .views import OBS_NATION_MONTH, OBS_ORDERS, OBS_USER_DAY, obs_nation_month, obs_orders, obs_user_day
 
@@ -383,3 +386,40 @@ def logistic_spread(spark, sf):
         F.concat("p_name", F.col("p_partkey").cast("string")).alias("entity_id"), launch.cast("int").alias("launch"),
         (launch + F.col("p_partkey") % 13).cast("int").alias("finish"), F.col("p_retailprice").alias("total"))
     return tape.logistic_spread(totals, 2012)
+
+
+# --- a written ranking after a revision -----------------------------------------------------------------------------
+
+_REVISED = f"""{OBS_ORDERS}, c AS (SELECT sort_key, entity_id, max(value) AS value FROM obs GROUP BY ALL),
+ m AS (SELECT *, (sort_key // 100) % 100 = 3 AS march, right(entity_id, 1) AS digit FROM c),
+ r AS (SELECT sort_key, entity_id, CASE WHEN march AND digit IN ('1', '2') THEN value * 2 ELSE value END AS value FROM m WHERE NOT (march AND digit = '0')
+  UNION ALL SELECT DISTINCT sort_key, 'newcomer', 500000::DOUBLE FROM m WHERE march),
+ k AS (SELECT *, row_number() OVER (PARTITION BY sort_key ORDER BY value DESC, entity_id) AS rank FROM r),
+ now AS (SELECT *, lag(rank) OVER (PARTITION BY entity_id ORDER BY sort_key) - rank AS rank_delta FROM k)"""
+
+
+def _revised(spark, sf):
+    """Full ranks of customers per month, written, then revised in every March: values doubled, cells removed, a newcomer added."""
+    path = f"{shared_folder(spark)}/ranks-{uuid.uuid4().hex}"
+    cells = ranking.entity_cells(obs_orders(spark, sf)).select("sort_key", "entity_id", "value")
+    reranking.write_ranking(cells, path)
+    march = reranking.read_ranking(spark, path).filter(F.floor(F.col("sort_key") / 100) % 100 == 3)
+    digit = F.substring("entity_id", -1, 1)
+    changed = march.select("sort_key", "entity_id", F.when(digit == "0", None).when(digit.isin("1", "2"), F.col("value") * 2).otherwise(F.col("value")).alias("value"))
+    added = march.select("sort_key").distinct().select("sort_key", F.lit("newcomer").alias("entity_id"), F.lit(500000.0).alias("value"))
+    return reranking.revise_ranking(spark, path, changed.unionByName(added).withColumn("ord", F.lit(0)))
+
+
+@query("rerank_revision", f"WITH {_REVISED} SELECT sort_key, entity_id, value, rank, rank_delta FROM now")
+def rerank_revision(spark, sf):
+    return _revised(spark, sf).select("sort_key", "entity_id", "value", "rank", "rank_delta")
+
+
+@query("rerank_versions", f"""WITH {_REVISED}, was AS (SELECT *, lag(rank) OVER (PARTITION BY entity_id ORDER BY sort_key) - rank AS rank_delta
+  FROM (SELECT *, row_number() OVER (PARTITION BY sort_key ORDER BY value DESC, entity_id) AS rank FROM c)),
+ diff AS (SELECT DISTINCT coalesce(now.sort_key, was.sort_key) AS sort_key FROM now FULL JOIN was ON now.sort_key = was.sort_key AND now.entity_id = was.entity_id
+  WHERE now.value IS DISTINCT FROM was.value OR now.rank IS DISTINCT FROM was.rank OR now.rank_delta IS DISTINCT FROM was.rank_delta)
+ SELECT sort_key, CASE WHEN sort_key IN (SELECT sort_key FROM diff) THEN 2 ELSE 1 END::BIGINT AS version, count(*) AS n FROM now GROUP BY ALL""")
+def rerank_versions(spark, sf):
+    """Only periods in which something differs are written by the revision."""
+    return _revised(spark, sf).groupBy("sort_key", "version").agg(F.count("*").alias("n"))

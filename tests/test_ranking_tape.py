@@ -147,3 +147,21 @@ def test_logistic(spark):
 def test_years_of_carry(obs):
     assert tape.carry_cap_in_periods(obs([("a", str(y), 1.0) for y in (1900, 1950, 2000)])).collect()[0].max_carry == 1
     assert tape.carry_cap_in_periods(obs([("a", str(y), 1.0) for y in (2000, 2001, 2002)])).collect()[0].max_carry == 10
+
+
+@pytest.mark.parametrize("direction,policy,cap", [("desc", "carryForward", None), ("asc", "carryForward", 4), ("desc", "strict", 3)])
+def test_fill_from_all_is_pruned_before_it_is_expanded(spark, direction, policy, cap):
+    """The same bars as a fill of entities times periods gives, from far fewer rows."""
+    rng = random.Random(5)
+    rows = [(n, f"E{e}", str(1900 + y), float(rng.randrange(40 if e % 3 else 8))) for n, (e, y) in enumerate((e, y) for e in range(60) for y in range(90) if rng.random() < 0.06)]
+    obs = spark.createDataFrame([(i, e, d, v) for i, e, d, v in rows], "ord bigint, entity string, date string, value double")
+    ranked = ranking.rank_observations(obs, top_n=3, direction=direction)
+    tapes = tape.build_tape(ranked, 5, policy, cap, fill_from="all")
+    seen = ranked.plain.filter("n_valued > 0").join(ranked.periods().select("sort_key", "period_index"), "sort_key")
+    whole = tape.forward_fill(seen.select("entity_id", "period_index", "value"), tapes.n_periods, cap)
+    every = tape.Tape(ranked, whole, tapes.n_periods, 5, policy)
+    assert tapes.filled.exceptAll(whole).count() == 0
+    if cap is None:
+        assert tapes.filled.count() < 0.4 * whole.count()
+    assert tape.tape_difference(tapes.bars(), every.bars()).count() == 0 and every.bars().count() > 500
+    assert tapes.boundary_ranks().exceptAll(every.boundary_ranks()).count() == every.boundary_ranks().exceptAll(tapes.boundary_ranks()).count() == 0
