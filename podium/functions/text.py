@@ -12,6 +12,8 @@ from .. import fixed_values as fixed
 
 #: Inside a character class: white space of any script, no-break spaces and the byte order mark included.
 BLANK = r"\t-\r\x85\p{Z}\uFEFF"
+#: The same as plain characters.
+BLANKS = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
 
 def _col(c: Column | str) -> Column:
@@ -35,7 +37,7 @@ def fixed_map(entries: dict, value_type: str = "string") -> Column:
 
 def clean(c: Column | str) -> Column:
     """Text without leading and trailing white space of any kind."""
-    return F.regexp_replace(_col(c), f"^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.btrim(_col(c), F.lit(BLANKS))
 
 
 def squeeze(c: Column | str) -> Column:

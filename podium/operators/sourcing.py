@@ -137,22 +137,41 @@ def match_text(c: Column | str) -> Column:
     return F.lower(F.regexp_replace(c, f"[{BLANK}]+", " "))
 
 
-def ground_claims(claims: DataFrame, pages: DataFrame) -> DataFrame:
+def quotes_in_pages(quotes: DataFrame, pages: DataFrame, at_once: int = 4096) -> DataFrame:
+    """Distinct (page_id, quote) of ``quotes`` whose page holds the quote's text; ``pages``: page_id, text. Both as ``match_text`` has them.
+
+    A page's quotes are packed into rows of about ``at_once``, by hash, and its text meets these rows: it travels once, or once per
+    so many quotes where a page has very many, never per quote. It is searched where it arrives and goes no further.
+    """
+    wanted = quotes.select("page_id", "quote").dropna().distinct()
+    rows = wanted.groupBy("page_id").agg(F.ceil(F.count("*") / at_once).alias("_rows"))
+    row = F.pmod(F.xxhash64("quote"), F.col("_rows")).alias("_row")
+    packed = wanted.join(rows, "page_id").groupBy("page_id", row).agg(F.collect_list("quote").alias("_quotes"))
+    held = F.filter("_quotes", lambda q: F.contains(F.col("text"), q))
+    return packed.join(pages.select("page_id", "text"), "page_id").select("page_id", F.explode(held).alias("quote")).distinct()
+
+
+def ground_claims(claims: DataFrame, pages: DataFrame, quotes_at_once: int = 4096) -> DataFrame:
     """Claims with a verdict: kept, or why dropped.
 
     A claim (page_id, entity, date, value, quote, ord) stands when its quote has 8 or more characters, occurs in
     its page's text and contains the value's digits. The first claim of an (entity, date) cell in a page stands.
-    Claims meet their page by an equi-join on page_id. Duplicates are found by aggregation, not by a window.
+    A page's distinct quotes are looked up together (``quotes_in_pages``); claims learn of it by an equi-join on page and
+    quote. Duplicates are found by aggregation, not by a window.
     """
-    joined = claims.join(pages.select("page_id", match_text("text").alias("page_text")), "page_id", "left")
     quote = match_text(F.coalesce("quote", F.lit("")))
+    asked = claims.withColumn("_quote", quote)
+    found = quotes_in_pages(asked.filter(F.length("_quote") >= 8).select("page_id", F.col("_quote").alias("quote")),
+                            pages.select("page_id", match_text("text").alias("text")), quotes_at_once)
+    joined = asked.join(found.select("page_id", F.col("quote").alias("_quote"), F.lit(True).alias("_found")), ["page_id", "_quote"], "left")
+    quote = F.col("_quote")
     number = F.when(F.col("value") == F.floor("value"), F.floor("value").cast("string")).otherwise(F.col("value").cast("string"))
     digits = F.regexp_replace(number, "[^0-9.]", "")
     verdict = (F.when(F.length(quote) < 8, F.lit("short quote"))
-               .when(~F.coalesce(F.contains("page_text", quote), F.lit(False)), F.lit("quote not in page"))
+               .when(F.col("_found").isNull(), F.lit("quote not in page"))
                .when(F.col("value").isNotNull() & ~quote.contains(number) & ~quote.contains(digits), F.lit("number not in quote")))
-    # Written, as two branches read it: page texts are joined and searched once, and do not travel any further.
-    judged = write_stage(joined.withColumn("dropped", verdict).drop("page_text"), "judged-claims")
+    # Written, as two branches read it.
+    judged = write_stage(joined.withColumn("dropped", verdict).select(*claims.columns, "dropped"), "judged-claims")
     cell = ["page_id", F.lower(clean("entity")).alias("_e"), clean("date").alias("_d")]
     first = judged.filter("dropped is null").groupBy(*cell).agg(F.min("ord").alias("_first"))
     marked = judged.withColumns({"_e": F.lower(clean("entity")), "_d": clean("date")}).join(first, ["page_id", "_e", "_d"], "left")
@@ -163,14 +182,17 @@ def ground_claims(claims: DataFrame, pages: DataFrame) -> DataFrame:
 def grounded_links(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Proposed links (run_id, url) that occur in a page read in the same run (run_id, url, text) or are a page's address.
 
-    All pages of a run are read. The addresses of a page's text are taken out once and meet the links of the same run and
-    host by an equi-join, so only short addresses are compared, never whole texts.
+    All pages of a run are read. The addresses of a text are taken out once and cut to every length that a link of the run has (as
+    many as the longest link has characters, at most), so that a link meets the beginning of an address by an equi-join: links and
+    addresses are never compared two by two, however many of one host a run has.
     """
-    host = r"https?:/*([^/?#\s]*)"
     wanted = links.filter(F.col("url").rlike("^https?:")).select("run_id", "url").distinct()
-    said = pages.select("run_id", F.explode(F.regexp_extract_all(match_text("text"), F.lit(r"\S*https?:\S*"), F.lit(0))).alias("_said")).distinct()
-    said = said.select("run_id", "_said", F.explode(F.array_distinct(F.regexp_extract_all("_said", F.lit(host), F.lit(1)))).alias("_host"))
-    asked = wanted.withColumn("_url", match_text(F.col("url"))).withColumn("_host", F.regexp_extract("_url", host, 1))
-    in_text = asked.join(said, ["run_id", "_host"]).filter(F.contains("_said", F.col("_url"))).select("run_id", "url")
+    tails = F.regexp_extract_all(match_text("text"), F.lit(r"(?=(https?:\S*))"), F.lit(1))
+    said = pages.select("run_id", F.explode(F.array_distinct(tails)).alias("_said")).distinct()
+    asked = wanted.withColumn("_url", match_text(F.col("url")))
+    sizes = asked.groupBy("run_id").agg(F.collect_set(F.length("_url")).alias("_sizes"))
+    cut = F.transform(F.filter("_sizes", lambda n: n <= F.length("_said")), lambda n: F.substr(F.col("_said"), F.lit(1), n))
+    begun = said.join(sizes, "run_id").select("run_id", F.explode(cut).alias("_url")).distinct()
+    in_text = asked.join(begun, ["run_id", "_url"], "left_semi").select("run_id", "url")
     own = wanted.join(pages.select("run_id", "url").distinct(), ["run_id", "url"], "left_semi")
     return in_text.unionByName(own).distinct()

@@ -67,3 +67,33 @@ def test_stage_reads_what_it_wrote(spark):
     df = spark.range(5).withColumn("x", F.rand())
     staged = write_stage(df, "random")
     assert staged.exceptAll(staged).count() == 0 and shared_folder(spark) in staged.inputFiles()[0]
+
+
+def test_a_page_with_very_many_claims(spark):
+    """The text meets rows of quotes, not claims; a page may be there twice, have no claims, or be missing."""
+    pages = [(p, f"Page  {p} says " + " and ".join(f"item {i} is {i * 7}" for i in range(60))) for p in range(4)] + [(0, "something else")]
+    claims = [(n, n % 3 and 0 or n % 6, f"e{n % 50}", "2020", float(n % 80 * 7), f"ITEM {n % 80}  is {n % 80 * 7}") for n in range(300)] + [(400, None, "x", "1", 7.0, "item 1 is 7"), (401, 1, "x", "1", 7.0, None)]
+    pages = spark.createDataFrame(pages, "page_id bigint, text string")
+    table = spark.createDataFrame(claims, "ord bigint, page_id bigint, entity string, date string, value double, quote string")
+    text = {(r.page_id): [] for r in pages.collect()}
+    for r in pages.collect():
+        text[r.page_id].append(" ".join(r.text.lower().split()))
+    for at_once in (4096, 3):
+        got = {r.ord: r.dropped for r in sourcing.ground_claims(table, pages, at_once).collect()}
+        assert len(got) == len(claims)
+        for n, p, _, _, _, q in claims:
+            q = " ".join((q or "").lower().split())
+            absent = len(q) >= 8 and not any(q in t for t in text.get(p, []))
+            assert (got[n] == "quote not in page") == absent and (got[n] == "short quote") == (len(q) < 8)
+    joined = sourcing.quotes_in_pages(table, pages, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in joined and joined.count("collect_list") == 1
+
+
+def test_links_of_one_run_and_host(spark):
+    """Links that are beginnings of addresses, also inside an address, also with a part of a host."""
+    links = [(1, f"https://h.test/{n}") for n in range(0, 2000, 3)] + [(1, "https://h.te"), (1, "https://in.test/x"), (1, "http://no.test"), (2, "https://h.test/1"), (1, "ftp://h.test/1"), (1, "HTTPS://h.test/5"), (None, "https://h.test/1")]
+    pages = [(1, "a", " ".join(f"(HTTPS://h.test/{n})" for n in range(0, 1000, 2)) + " http://q.test?u=https://in.test/xyz"), (1, "http://no.test", "-"), (2, "b", None)]
+    got = sourcing.grounded_links(spark.createDataFrame(links, "run_id bigint, url string"), spark.createDataFrame(pages, "run_id bigint, url string, text string"))
+    low = {r: " ".join(t.lower() for q, _, t in pages if q == r and t) for r in (1, 2)}
+    want = {(r, u) for r, u in links if r and u.startswith("http") and (u.lower() in low[r] or (r, u) == (1, "http://no.test"))}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 150
