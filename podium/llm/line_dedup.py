@@ -111,15 +111,14 @@ def band_keys(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 def sketches(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """(number of shingles, copies included; bitmap of at least twice as many bits, a power of two) of each line.
+    """(number of distinct shingles; bitmap of at least twice as many bits, a power of two) of each line.
 
     Every shingle sets a bit. A bit that only one of two lines has set stands for a shingle that only one has, and it
     stays so when a bitmap is folded to half its size.
     """
-    value, owner = windows(flat, starts, ends)
-    h = mix(value)
-    n = np.maximum(ends - starts - SHINGLE + 1, 0)
-    width = np.maximum(_LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    h, owner = shingles(flat, starts, ends)
+    n = np.bincount(owner, minlength=len(starts))
+    width = np.maximum(_LEAST_BITS, 1 << np.ceil(np.log2(2 * n)).astype(np.int64))
     at = bounds(width)
     bits = np.zeros(at[-1], bool)
     bits[at[owner] + (h & (width[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
@@ -149,9 +148,10 @@ class Sketches:
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether lines a[i] and b[i] may be similar: sets that are have at most (|A| + |B|) * (100 - percent) / (100 + percent) elements
         that only one has."""
-        out = np.zeros(len(a), bool)
         small = np.minimum(self.width[a], self.width[b])
-        close = np.maximum(self.width[a], self.width[b]) <= 2 * small
+        sized = 100 * np.minimum(self.n[a], self.n[b]) >= self.percent * np.maximum(self.n[a], self.n[b])
+        close = sized & (np.maximum(self.width[a], self.width[b]) <= 2 * small)
+        out = sized & ~close  # none where percent is 50 or more; not compared otherwise
         for width in np.unique(small[close]).tolist():
             some = np.flatnonzero(close & (small == width))
             for i in range(0, len(some), 1 << 14):
@@ -230,11 +230,14 @@ def _suspects(texts: DataFrame, met: DataFrame, least: int, percent: int) -> Dat
 
     What their bitmaps rule out is not similar; the others of a bucket that are connected are linked with its first one.
     """
+    wanted = _marks(met)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)
         for batch in slices(batches, 512, 1 << 20):
             flat, a, b, node, seen = _fresh(batch["text"], least, seen)
+            some = _marked(wanted.value, node)
+            a, b, node = a[some], b[some], node[some]
             n, bits = sketches(flat, a, b)
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(n), bits], names=["node", "n", "bits"])
 
@@ -259,16 +262,21 @@ def _suspects(texts: DataFrame, met: DataFrame, least: int, percent: int) -> Dat
     return laid.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _marked(marks: np.ndarray, node: np.ndarray) -> np.ndarray:
+    at = (node >> np.uint64(64 - _MARK_BITS)).astype(np.int64)
+    return np.flatnonzero(marks[at >> 3] >> (at & 7) & 1)
+
+
 def _marks(nodes: DataFrame) -> Broadcast:
-    """A bitmap of 2 ** _MARK_BITS bits (16 MB, whatever the input) over the first bits of the nodes.
+    """A bitmap of 2 ** _MARK_BITS bits (16 MB, of words by the driver, whatever the input) over the first bits of the nodes.
 
     It spares most other lines the way to the join; with very many nodes it lets all pass, and the join decides as ever.
     """
     place = f"shiftrightunsigned(node, {64 - _MARK_BITS})"
-    rows = nodes.groupBy(F.expr(f"{place} div 8").alias("byte")).agg(F.expr(f"bit_or(shiftleft(1, cast({place} & 7 AS INT)))").alias("bits")).toArrow()
-    marks = np.zeros(1 << _MARK_BITS - 3, np.uint8)
-    marks[rows["byte"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint8)
-    return nodes.sparkSession.sparkContext.broadcast(marks)
+    rows = nodes.groupBy(F.expr(f"{place} div 64").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({place} & 63 AS INT)))").alias("bits")).toArrow()
+    marks = np.zeros(1 << _MARK_BITS - 6, "<i8")
+    marks[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return nodes.sparkSession.sparkContext.broadcast(marks.view(np.uint8))
 
 
 def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_chars: int = SHINGLE) -> DataFrame:
@@ -315,8 +323,7 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         seen = np.zeros(0, np.uint64)
         for batch in slices(batches, 512, 1 << 20):
             flat, a, b, node, seen = _fresh(batch["text"], least, seen)
-            at = (node >> np.uint64(64 - _MARK_BITS)).astype(np.int64)
-            some = np.flatnonzero(wanted.value[at >> 3] >> (at & 7) & 1)
+            some = _marked(wanted.value, node)
             a, b, node = a[some], b[some], node[some]
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), strings(flat[places(a, b - a)], bounds(b - a))], names=["node", "text"])
 
