@@ -1,4 +1,7 @@
-"""From raw documents to packed training sequences: five stages, each written and read again as the next one's input."""
+"""From raw documents to packed training sequences: five stages, each written and read again as the next one's input.
+
+Every stage takes null texts and ids, empty and very long texts, repeated rows, empty tables and further columns of any names.
+"""
 
 from __future__ import annotations
 
@@ -19,27 +22,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go."""
+    """Documents that are predicted toxic go. Null texts score the intercept, repeated rows go or stay together."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of low quality, by their own measures and their site, go."""
+    """Documents of low quality, by their own measures and their site, go. Null ids and texts are judged like others."""
     return drop_poor(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal and similar lines one stays; every document stays with what is left of its text."""
+    """Of equal and similar lines the first one stays; every document stays with what is left of its text. Null texts stay null."""
     return drop_lines(docs, length_col="n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents the one with the smallest id stays."""
+    """Of near-duplicate documents the one with the smallest id stays, of repeated rows one. Documents without words are like no other."""
     return drop_near_duplicates(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 tokens, as pieces of documents."""
+    """Sequences of 1024 tokens, as pieces of documents. Null text is empty: one piece, the end id."""
     return pack_documents(docs, vocabulary(), end_id=0, window=1024)
 
 
