@@ -106,7 +106,7 @@ def score(docs: DataFrame, weights: DataFrame, bits: int = 20, text_col: str = "
             yield pa.RecordBatch.from_arrays([*kept, pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], names=[*carry, into])
 
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(into, T.DoubleType())])
-    return docs.select(*map(col, carry), F.coalesce(col(text_col), F.lit("")).alias("_text")).mapInArrow(rows, schema)
+    return docs.select(*map(col, carry), F.coalesce(col(text_col), F.lit("")).alias(unused(docs, "text"))).mapInArrow(rows, schema)
 
 
 def held_out(doc_id) -> F.Column:
