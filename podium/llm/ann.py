@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import Stages
-from .common import col
+from .common import col, dealt_anew
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, keep: int) -> np.ndarray:
@@ -45,13 +45,14 @@ class InvertedFiles:
         return np.argpartition(-common, count - 1)[:count] if count < self.n else np.arange(self.n)
 
 
-def search(vectors: DataFrame, k: int = 20, query_every: int = 20, pivots: int = 256, keep: int = 64, rerank_share: float = 0.15, rerank_least: int = 1024,
-           shard_rows: int = 8192, query_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, query_every: int = 20, pivots: int = 1024, keep: int = 128, rerank_share: float = 0.04, rerank_per_k: int = 10,
+           shard_rows: int = 8192, query_values: int = 1 << 21, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row whose id is divisible by ``query_every``.
 
     Equal vectors are searched once and stand with their k + 1 smallest ids, all that can appear in a result; ties go to the smaller
     id. ``pivots`` distinct vectors with the smallest hashes are the pivots, a bounded sample. Shards of about ``shard_rows``
-    vectors meet blocks of about ``query_rows`` queries; each reranks ``rerank_share`` of the shard, ``rerank_least`` at least.
+    vectors meet blocks of queries of about ``query_values`` components, and build their inverted files once per block. Each shard
+    reranks ``rerank_share`` of its vectors and ``rerank_per_k`` times ``k`` more for every query.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids. Shorter vectors
     count as filled up with zeros. Repeated rows (same id and vector) count once; an id with several vectors is as many
@@ -69,9 +70,9 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, pivots: int =
     rows = tidy.withColumn("_n", place).filter(F.col("_n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     rows = stages.write(rows.withColumn("key", F.xxhash64("v")), "distinct")
     asked = tidy.filter(F.col("vec_id") % query_every == 0)
-    asked_rows = stages.write(asked.select("v").distinct(), "queries")
+    asked_rows = stages.write(asked.groupBy("v").agg(F.min("vec_id").alias("q")), "queries")
     n, n_asked = rows.count(), asked_rows.count()
-    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(n_asked / query_rows))
+    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(n_asked * dim / query_values))
     sample = np.array([r["v"] for r in rows.orderBy("key", "v").select("v").limit(pivots).collect()]).reshape(-1, dim)
     sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
 
@@ -81,29 +82,34 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, pivots: int =
     def meet(shard: pa.Table, block: pa.Table) -> pa.Table:
         out = {"q": [], "ids": [], "scores": []}
         if shard.num_rows and block.num_rows:
-            x, q, ids = matrix(shard["v"]), matrix(block["v"]), shard["ids"].to_pylist()
+            x, ids = matrix(shard["v"]), shard["ids"].to_pylist()
             files = InvertedFiles(x, sample, keep)
-            count = min(len(x), max(rerank_least, math.ceil(rerank_share * len(x))))
-            for row, order in zip(q, orders(q, sample, files.keep)):
-                near = files.nearest(order, count)
-                score = (x[near] * row).sum(1)
-                best = near[np.argpartition(-score, k)[: k + 1]] if len(near) > k + 1 else near
-                bound = (x[best] * row).sum(1).min()
-                found = sorted((-s, i) for s, j in zip(score[score >= bound].tolist(), near[score >= bound].tolist()) for i in ids[j])[: k + 1]
-                out["q"].append(row)
-                out["ids"].append([i for _, i in found])
-                out["scores"].append([-s for s, _ in found])
-        return pa.table({"q": pa.array(out["q"], pa.list_(pa.float64())), "ids": pa.array(out["ids"], pa.list_(pa.int64())), "scores": pa.array(out["scores"], pa.list_(pa.float64()))})
+            count = min(len(x), math.ceil(rerank_share * len(x)) + rerank_per_k * k)
+            numbers, at = block["q"].to_pylist(), 0
+            for part in block.select(["v"]).to_batches(max_chunksize=1024):
+                q = matrix(pa.chunked_array([part["v"]]))
+                for row, order in zip(q, orders(q, sample, files.keep)):
+                    near = files.nearest(order, count)
+                    score = (x[near] * row).sum(1)
+                    bound = -np.partition(-score, k)[k] if len(near) > k + 1 else -np.inf
+                    some = score >= bound
+                    found = sorted((-s, i) for s, j in zip(score[some].tolist(), near[some].tolist()) for i in ids[j])[: k + 1]
+                    out["q"].append(numbers[at])
+                    out["ids"].append([i for _, i in found])
+                    out["scores"].append([-s for s, _ in found])
+                    at += 1
+        return pa.table({"q": pa.array(out["q"], pa.int64()), "ids": pa.array(out["ids"], pa.list_(pa.int64())), "scores": pa.array(out["scores"], pa.list_(pa.float64()))})
 
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = rows.select("v", "ids", F.pmod(F.xxhash64("v", F.lit(3)), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
-    right = asked_rows.select("v", F.pmod(F.xxhash64("v", F.lit(5)), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
-    met = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, "q array<double>, ids array<bigint>, scores array<double>")
+    right = asked_rows.select("v", "q", F.pmod(F.xxhash64("v", F.lit(5)), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
+    met = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, "q bigint, ids array<bigint>, scores array<double>")
     pairs = met.select("q", F.explode(F.arrays_zip("ids", "scores")).alias("f")).select("q", F.col("f.ids").alias("vec_id"), F.col("f.scores").alias("score"))
     first = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     best = pairs.withColumn("_n", first).filter(F.col("_n") <= k + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("m"), "vec_id"))).alias("found"))
     # The smaller side's size is not known to the planner, so it must not choose to broadcast it.
-    joined = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).hint("merge").join(best, "q")
+    named = asked.select(F.col("vec_id").alias("query_id"), "v").hint("merge").join(asked_rows, "v").select("query_id", "q")
+    joined = named.hint("merge").join(dealt_anew(best, "q"), "q")
     own = F.filter("found", lambda x: x["vec_id"] != F.col("query_id"))
     top = joined.select("query_id", F.posexplode(F.slice(own, 1, k)).alias("p", "f"))
     return top.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.m")).alias("score"))

@@ -34,10 +34,10 @@ def test_search_query_recall(spark, sf_dir):
 
 
 def test_search_recall_of_a_larger_set(spark, rng):
-    """Rerank a share only: 4000 random directions, the hardest case."""
-    x = rng.standard_normal((4000, 32))
+    """A share of every shard: 12 000 random directions, the hardest case, in shards of 4000 and several blocks of queries."""
+    x = rng.standard_normal((12_000, 32))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
-    got = search(df, query_every=100, shard_rows=2000, query_rows=20, rerank_least=1).collect()
+    got = search(df, query_every=100, shard_rows=4000, query_values=32 * 40).collect()
     want = nearest(enumerate(x), every=100)
     assert len({(r.query_id, r.vec_id) for r in got} & {(q, i) for q in want for _, i in want[q]}) >= 0.9 * 20 * len(want)
 
@@ -48,7 +48,7 @@ def test_search_odd_rows(spark):
             (9, [2.0]), (None, [1.0, 1.0]), (40, [0.0, -1.0]), (1, [1.0, 0.0]), (60, None)] + [(100 + i, [1.0, 0.0]) for i in range(1, 40)]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id bigint, embedding array<double>, score int, q string").repartition(4)
     got = {}
-    for r in search(df, shard_rows=10, query_rows=2).orderBy("query_id", "rank").collect():
+    for r in search(df, shard_rows=10, query_values=4).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
     unique = list({(i, tuple(v) if v is not None else None): (i, v) for i, v in rows}.values())
     assert got == nearest(unique)  # ties go to the smaller id, copies included
