@@ -48,6 +48,38 @@ def first_rows_spread(df: DataFrame, order: Sequence[Column], k: int, rank: str
     return ranked.filter(F.col(rank) <= k).drop("_all")
 
 
+def rows_beyond(df: DataFrame, value: str, k: int, descending: bool = True, size: int = 2048) -> DataFrame:
+    """Written rows of ``df`` among which the ``k`` largest (or smallest) of a numeric column surely are, few more than k if it can be had.
+
+    A quantile sketch of ``size`` proposes a bound, the number of rows beyond it proves it. With fewer than k there, a wider
+    bound is tried, and at last all rows are taken (as for k beyond the number of values). The bound holds on doubles, whose order
+    never contradicts that of longer integers and decimals. NaN is larger than any number, null comes last in both directions.
+    """
+    number = F.col(f"`{value}`").cast("double")
+    sketch = df.agg(F.kll_sketch_agg_double(F.when(~F.isnan(number), number), F.lit(size)).alias("s"))
+    sketch = write_stage(sketch, "sketch")  # one row, read for each bound that is tried
+    total = sketch.select(F.kll_sketch_get_n_double("s")).first()[0] or 0
+    for margin in (0.005, 0.05):
+        share = k / total + margin if total else 1.0
+        if share >= 1.0:
+            break
+        bound = sketch.select(F.kll_sketch_get_quantile_double("s", F.lit(1.0 - share if descending else share))).first()[0]
+        found = write_stage(df.filter(number >= bound if descending else number <= bound), "beyond")
+        if found.count() >= k:
+            return found
+    return write_stage(df, "beyond")
+
+
+def first_rows_sketched(df: DataFrame, value: str, ties: Sequence[Column], k: int, descending: bool = True, rank: str = "rank") -> DataFrame:
+    """As ``first_rows_spread`` for an order that begins with a number: only rows beyond a bound from a sketch are sorted.
+
+    ``ties`` must make the order total. Costs one pass for the sketch and one for the rows beyond the bound.
+    """
+    leading = F.col(f"`{value}`")
+    order = [leading.desc_nulls_last() if descending else leading.asc_nulls_last(), *ties]
+    return first_rows_spread(rows_beyond(df, value, k, descending), order, k, rank)
+
+
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
                     rank: str = "rank") -> DataFrame:
     """The ``n`` first rows of each group, with their place.

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as fixed
 from ..functions import canonical_key, clean, normalize_unit, parse_date, slugify, unit_word
 from .entities import resolve_entities
+from ..session import write_stage
 from .verify import outlier_jumps, unit_mismatches
 
 CORE_CHECKS = ("schema", "type", "date", "unit", "entity", "duplicate", "range", "source", "temporal", "ranking",
@@ -202,7 +203,11 @@ def rank_columns_as_values(obs: DataFrame, least: int = 5) -> DataFrame:
 
     Values are made distinct first, so a date with very many rows is combined in the map tasks.
     """
-    values = obs.filter(_is_number()).groupBy("date", "value").agg(F.count("*").alias("rows"))
+    return _rank_dates(obs.filter(_is_number()).groupBy("date", "value").agg(F.count("*").alias("rows")), least)
+
+
+def _rank_dates(values: DataFrame, least: int) -> DataFrame:
+    """Dates whose (date, value, rows) are 1..n, each once."""
     whole = F.col("value") == F.floor("value")
     dates = values.groupBy("date").agg(
         F.sum("rows").alias("n"), F.count("*").alias("distinct"), F.min("value").alias("low"), F.max("value").alias("high"),
@@ -268,6 +273,45 @@ def core_violations(obs: DataFrame, max_date: str, dataset_unit: str | None = No
     return reduce(DataFrame.unionByName, found)
 
 
+def core_counts(obs: DataFrame, max_date: str, dataset_unit: str | None = None, ranked: DataFrame | None = None,
+                dictionary: DataFrame | None = None) -> DataFrame:
+    """Violations per core check (check, detail, n), one row each at most, from a single scan of the observations.
+
+    ``core_violations`` lists every violation and scans once per check about groups. Here the rows are counted once per written
+    (entity, date, value, unit) with numeric buffers and written; every check reads that table, and dates, units and
+    names are parsed once per spelling. Counters of tasks (``observe``) would count a repeated map task twice.
+    """
+    count = lambda condition: F.count(F.when(condition, F.lit(1)))
+    flagged = F.lower("status").isin("forecast", "estimated")
+    cells = write_stage(obs.groupBy("entity", "date", "value", "unit").agg(
+        F.count("*").alias("rows"), count(flagged).alias("flagged"), count(_source().isNotNull()).alias("sourceless"),
+        count(F.col("source").isNotNull() | F.col("source_url").isNotNull()).alias("cited")), "check-cells")
+    total = lambda condition, n="rows": F.coalesce(F.sum(F.when(condition, F.col(n))), F.lit(0))
+    valued = F.col("value").isNotNull()
+    whole = cells.agg(
+        F.count("*").alias("cells"), (total(_blank("entity")) + total(_blank("date"))).alias("blank"), total(valued & ~_is_number()).alias("type"),
+        total(F.lit(True), "sourceless").alias("source"), total(valued).alias("valued"), total(valued, "cited").alias("cited"))
+    dates = cells.groupBy("date").agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") - F.col("flagged")).alias("open"))
+    dates = dates.withColumn("_key", _sort_key()).agg(
+        total(F.col("_key").isNull()).alias("date"), total(F.col("_key") > parse_date(F.lit(max_date))["sort_key"], "open").alias("temporal"))
+    units = cells.groupBy("unit").agg(F.sum("rows").alias("rows"), total(F.col("value") < 0).alias("below")).withColumn("_unit", normalize_unit("unit"))
+    units = units.agg(total(F.coalesce(~F.col("_unit.known"), F.lit(dataset_unit is None))).alias("unit"),
+                      total(F.coalesce("_unit.dimension", F.lit("count")) == "count", "below").alias("range"))
+    named = cells.groupBy("entity", "date").agg(F.sum("rows").alias("rows")).groupBy(slugify("entity").alias("slug"), "date").agg(F.sum("rows").alias("rows"))
+    values = cells.filter(_is_number()).groupBy("date", "value").agg(F.sum("rows").alias("rows"))
+    of = lambda table, check, n: table.select(F.lit(check).alias("check"), F.lit(None).cast("string").alias("detail"), n.cast("bigint").alias("n"))
+    schema = F.col("blank") + F.when(F.col("cells") == 0, F.lit(1)).otherwise(F.lit(0))
+    uncited = F.when((F.col("valued") > 0) & (F.col("cited") == 0), F.lit(1)).otherwise(F.lit(0))
+    found = [of(whole, "schema", schema), of(whole, "type", F.col("type")), of(whole, "source", F.col("source")), of(whole, "citation", uncited),
+             of(dates, "date", F.col("date")), of(dates, "temporal", F.col("temporal")), of(units, "unit", F.col("unit")), of(units, "range", F.col("range")),
+             of(named.agg(F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("n")), "duplicate", F.col("n")),
+             of(_rank_dates(values, 5).agg(F.count("*").alias("n")), "rank-as-value", F.col("n")),
+             check_entity(cells.select("entity").distinct(), dictionary)]
+    if ranked is not None:
+        found.append(check_ranking(ranked))
+    return reduce(DataFrame.unionByName, found)
+
+
 def platform_violations(obs: DataFrame, max_date: str) -> DataFrame:
     """Violations of the checks on verified datasets; the row-level ones share one pass."""
     rows = row_violations(obs, _type(), _date_normalised(), _unit_present(), _range_count(), _source_url(), _temporal_text(max_date), _citation_each())

@@ -46,7 +46,7 @@ class Dataset:
     def report(self) -> DataFrame:
         """All core checks, the ranking that the tape is made of included."""
         ranked = self.ranking(top_n=None).cells.filter("n_valued > 0")
-        return quality.quality_report(quality.core_violations(self.observations, self.max_date, ranked=ranked), quality.CORE_CHECKS)
+        return quality.quality_report(quality.core_counts(self.observations, self.max_date, ranked=ranked), quality.CORE_CHECKS)
 
     def ranking(self, top_n: int | None = 10, **options) -> ranking.Ranking:
         return ranking.rank_observations(clean.tape_input(self.observations)[0], top_n, **options)

@@ -235,7 +235,7 @@ REPORT = " UNION ALL ".join(f"SELECT * FROM ({sql})" for sql in CHECK_SQL.values
 def quality_report(spark, sf):
     obs = _rows(spark, sf)
     drawn = ranking.top_per_period(cleaning.tape_input(obs)[0], 10)
-    return quality.quality_report(quality.core_violations(obs, MAX_DATE, ranked=drawn), quality.CORE_CHECKS)
+    return quality.quality_report(quality.core_counts(obs, MAX_DATE, ranked=drawn), quality.CORE_CHECKS)
 
 
 PLATFORM = {

@@ -146,9 +146,8 @@ def read_json_envelope(spark, sf):
     return readers.read_json_table(spark, path).select("p_partkey", "p_name")
 
 
-@query("read_observations", f"""WITH {OBS_DIRTY} SELECT CASE WHEN entity = ' ' THEN ' ' ELSE entity END AS entity, date, value, source, source_url, count(*) AS n FROM obs GROUP BY ALL""")
-def read_observations(spark, sf):
-    """Records whose entity and source are objects in every other row and plain text in the rest."""
+def observation_lines(spark, sf):
+    """Path of records whose entity and source are objects in every other row and plain text in the rest."""
     path = fresh(spark, "observations")
     obs = obs_dirty(spark, sf)
     as_object = F.col("ord") % 2 == 0
@@ -160,7 +159,12 @@ def read_observations(spark, sf):
                      F.when(as_object & F.col("source").isNotNull(), F.concat(F.lit('{"publisher":'), text("source"), F.lit("}"))).otherwise(quoted("source")),
                      F.lit(',"sourceUrl":'), quoted("source_url"), F.lit("}"))
     obs.select(plain.alias("value")).write.text(path)
-    return readers.read_observations(spark, path).groupBy("entity", "date", "value", "source", "source_url").agg(F.count("*").alias("n"))
+    return path
+
+
+@query("read_observations", f"""WITH {OBS_DIRTY} SELECT CASE WHEN entity = ' ' THEN ' ' ELSE entity END AS entity, date, value, source, source_url, count(*) AS n FROM obs GROUP BY ALL""")
+def read_observations(spark, sf):
+    return readers.read_observations(spark, observation_lines(spark, sf)).groupBy("entity", "date", "value", "source", "source_url").agg(F.count("*").alias("n"))
 
 
 @query("read_indicator_pages", "SELECT 'N' || c_nationkey AS country_code, c_name AS entity, 'I.D' AS indicator, (1990 + c_custkey % 30)::VARCHAR AS date, c_acctbal AS value FROM customer WHERE c_custkey % 5 <> 0 AND c_nationkey <> 3")

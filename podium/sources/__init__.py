@@ -5,4 +5,6 @@ from .ranged import changed_ranges, ranged_difference, read_ranged, write_ranged
 from .readers import (read_delimited, read_json_table, read_jsonl, read_observations, read_table, read_zipped,
                       read_zipped_cells, upload_kind)
 from .snapshots import snapshot_series
+from .variants import (document_kinds, read_variants, variant_cells, variant_columns, variant_observations, variant_records,
+                       variant_table)
 from .writers import append_log, read_log, write_artefacts, write_dataset_csv, write_nested_json
