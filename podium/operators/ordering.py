@@ -123,3 +123,32 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], v
     rows = laid.withColumn(out, F.last("_value", ignorenulls=True).over(share)).join(F.broadcast(edges), "_task", "left")
     mine = key.eqNullSafe(F.col("_first")) & key.eqNullSafe(F.col("_said.k"))
     return rows.withColumn(out, F.coalesce(F.col(out), F.when(mine, F.col("_said.v")))).select(*df.columns, out)
+
+
+def with_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, before: str, after: str,
+                    name: str = "neighbours") -> DataFrame:
+    """Add the latest non-null ``value`` of the earlier rows and the first one of the later rows of the row's group.
+
+    Both directions use one written lay-out, made as in ``with_previous``: one range exchange, and values handed on from task to
+    task both ways. ``order`` must be a total order in a group, but for rows without a value.
+    """
+    columns, key = [F.col(k) for k in keys], F.struct(*keys)
+    laid = (df.withColumn("_value", value).repartitionByRange(*columns, *order).sortWithinPartitions(*columns, *order)
+            .withColumn("_place", F.monotonically_increasing_id()))
+    laid = write_stage(laid.withColumn("_task", F.spark_partition_id().cast("bigint")), name)
+    # A task hands forward the last value of its last series and backward the first value of its first one.
+    known, pair = F.when(F.col("_value").isNotNull(), F.col("_place")), F.struct(key.alias("k"), F.col("_value").alias("v"))
+    edges = laid.groupBy("_task").agg(F.min_by(key, "_place").alias("_first"), F.max_by(key, "_place").alias("_last"),
+                                      F.max_by(pair, known).alias("_closing"), F.min_by(pair, known).alias("_opening"))
+    forward = F.when(F.col("_closing.k").eqNullSafe(F.col("_last")), F.col("_closing"))
+    backward = F.when(F.col("_opening.k").eqNullSafe(F.col("_first")), F.col("_opening"))
+    past = (Window.unboundedPreceding, -1)  # windows over one row per task
+    edges = edges.select("_task", "_first", "_last", F.last(forward, ignorenulls=True).over(Window.orderBy("_task").rowsBetween(*past)).alias("_from"),
+                         F.last(backward, ignorenulls=True).over(Window.orderBy(F.col("_task").desc()).rowsBetween(*past)).alias("_to"))
+    share = Window.partitionBy("_task", *keys)
+    rows = laid.withColumns({
+        before: F.last("_value", ignorenulls=True).over(share.orderBy("_place").rowsBetween(*past)),
+        after: F.last("_value", ignorenulls=True).over(share.orderBy(F.col("_place").desc()).rowsBetween(*past))}).join(F.broadcast(edges), "_task", "left")
+    given = lambda edge, said: F.when(key.eqNullSafe(F.col(edge)) & key.eqNullSafe(F.col(said + ".k")), F.col(said + ".v"))
+    return rows.withColumns({before: F.coalesce(before, given("_first", "_from")),
+                             after: F.coalesce(after, given("_last", "_to"))}).select(*df.columns, before, after)

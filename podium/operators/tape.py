@@ -14,7 +14,7 @@ from .. import fixed_values as fixed
 from ..functions import flag_emoji, leading_year, matched
 from ..session import write_stage
 from .entities import resolve_entities
-from .ordering import first_per_group, with_previous
+from .ordering import first_per_group, with_neighbours
 from .ranking import Ranking, best_first
 
 def _by_entity():
@@ -320,16 +320,13 @@ def tape_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 def interpolate_at(points: DataFrame, moments: DataFrame) -> DataFrame:
     """Piecewise-linear value of each irregular series at each moment.
 
-    ``points(entity_id, x, value)`` and ``moments(entity_id, x)`` are laid on one axis per entity, backwards and
-    then forwards, so each moment knows the points around it. It takes the line between them, 0 before the first
-    point and the last value after the last one. A series may be of any length: see ``with_previous``.
+    ``points(entity_id, x, value)`` and ``moments(entity_id, x)`` are laid on one axis per entity, once for both
+    directions, so each moment knows the points around it. It takes the line between them, 0 before the first
+    point and the last value after the last one. A series may be of any length: see ``with_neighbours``.
     """
     axis = (points.select("entity_id", "x", F.struct("x", "value").alias("point"), F.lit(0).alias("is_moment"))
             .unionByName(moments.select("entity_id", "x", F.lit(1).alias("is_moment")), allowMissingColumns=True))
-    after = with_previous(axis, ["entity_id"], [F.col("x").desc(), F.col("is_moment").desc()], F.col("point"), "r",
-                          name="axis-after")
-    around = with_previous(after, ["entity_id"], [F.col("x"), F.col("is_moment")], F.col("point"), "l",
-                           name="axis-before").filter("is_moment = 1")
+    around = with_neighbours(axis, ["entity_id"], [F.col("x"), F.col("is_moment")], F.col("point"), "l", "r", name="axis").filter("is_moment = 1")
     share = (F.col("x") - F.col("l.x")) / (F.col("r.x") - F.col("l.x"))
     value = (F.when(F.col("l").isNull(), F.lit(0.0))
              .when(F.col("r").isNull() | (F.col("x") == F.col("l.x")), F.col("l.value"))

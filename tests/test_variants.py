@@ -103,3 +103,23 @@ def test_counts_of_one_scan_equal_the_listed_violations(spark, obs):
             reports = [{r["check"]: (r["violations"], r["passed"]) for r in quality.quality_report(found).collect()}
                        for found in (quality.core_violations(df, "2026-12-31", unit), quality.core_counts(df, "2026-12-31", unit))]
             assert reports[0] == reports[1] and len(reports[0]) == 11
+
+
+def test_neighbours_across_tasks(spark):
+    """One series with a third of the rows, long stretches without a value, null keys; many small tasks."""
+    rows = [(("hot", "b", None, f"s{i % 40}")[min(i % 7, 3)], i, float(i) if i % 11 == 0 or i % 7 == 2 and i > 900 else None) for i in range(1200)]
+    df = spark.createDataFrame(rows, "k string, x int, v double")
+    want = {}
+    for key in {r[0] for r in rows}:
+        series = [r for r in rows if r[0] == key]
+        for n, (_, x, _v) in enumerate(series):
+            want[(key, x)] = (next((v for _, _, v in reversed(series[:n]) if v is not None), None), next((v for _, _, v in series[n + 1:] if v is not None), None))
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # or the tasks of small rows become one
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = {(r.k, r.x): (r.b, r.a) for r in ordering.with_neighbours(df, ["k"], [F.col("x")], F.col("v"), "b", "a").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", held)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want
