@@ -14,6 +14,10 @@ from .. import fixed_values as fixed
 from ..functions import clean
 
 SOURCE_FILE = "source_file"
+#: No JSON text holds these control characters as they are, so each document is one "line".
+#: With ``multiLine`` every file would carry the list of all files while names are inferred, and every number read as text
+#: would be a read of its own from the file.
+WHOLE_DOCUMENT = dict(lineSep="\x01\x02\x03\x04\x05\x06\x07\x08")
 
 
 def _file_name() -> Column:
@@ -60,7 +64,7 @@ def read_json_table(spark: SparkSession, path: str, columns: list[str] | None =
     """
     lists = dict.fromkeys(fixed.JSON_ENVELOPES, columns)
     if columns is None:
-        found = spark.read.json(path, multiLine=True, primitivesAsString=True).schema
+        found = spark.read.json(path, primitivesAsString=True, **WHOLE_DOCUMENT).schema
         kinds = {f.name: f.dataType.elementType for f in found.fields
                  if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)}
         lists = {name: kinds[name].names for name in fixed.JSON_ENVELOPES if name in kinds}
@@ -68,7 +72,7 @@ def read_json_table(spark: SparkSession, path: str, columns: list[str] | None =
     row = _text_columns(columns)
     own = [c for c in columns if c not in lists]
     fields = [*row.fields, *[T.StructField(name, T.ArrayType(row)) for name in lists]]
-    docs = spark.read.schema(T.StructType([f for f in fields if f.name in own or f.name in lists])).json(path, multiLine=True)
+    docs = spark.read.schema(T.StructType([f for f in fields if f.name in own or f.name in lists])).json(path, **WHOLE_DOCUMENT)
     plain = F.struct(*[(F.col(f"`{c}`") if c in own else F.lit(None).cast("string")).alias(c) for c in columns])
     rows = [F.col(f"`{name}`") for name in lists]
     if own:

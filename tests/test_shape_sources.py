@@ -1,6 +1,7 @@
 import io
 import json
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,6 +243,36 @@ def test_mixed_json_envelopes(spark, folder):
         assert got == [("", "y", ""), ("1", "x", ""), ("2", "", ""), ("3", "", ""), ("4", "", "")]
 
 
+def test_json_documents_are_read_as_one_line_each(spark, folder, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+    asked, read = [], DataFrameReader.json
+
+    def json_(self, path, *args, **options):
+        asked.append(options.get("multiLine"))
+        return read(self, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameReader, "json", json_)
+    path = folder("many/k=1/a.json", '{"data": [{"a": 1.50,\n "b": {"x": [1e2]}}]}').rsplit("/", 2)[0]
+    folder("many/k=2/b.json", '{"data": [{"c": "\u00e9"}]}')
+    folder("many/k=2/broken.json", '{"data": [{"z": 1')
+    folder("many/k=1/c.json", '{"data": [{"c": "\u00fc"}]}'.encode("utf-16"))
+    found = readers.read_json_table(spark, path)
+    assert found.columns == ["a", "b", "c"]
+    assert rows(found) == [("", "", "\u00e9"), ("", "", "\u00fc"), ("1.50", '{"x": [1e2]}', "")]
+    assert asked == [None, None]
+    plain = folder("plain/k=7/a.json", '{"b": 1}').rsplit("/", 2)[0]
+    assert [r.asDict() for r in readers.read_json_table(spark, plain).collect()] == [{"b": "1", "k": "7"}]
+
+
+def test_envelope_query_writes_few_documents(spark, tmp_path, monkeypatch):
+    from podium.plans import queries_source
+    seen, read = [], readers.read_json_table
+    monkeypatch.setattr(readers, "read_json_table", lambda s, path: seen.append(path) or read(s, path))
+    spark.range(30_000).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name").write.parquet(str(tmp_path / "part.parquet"))
+    assert queries_source.read_json_envelope(spark, str(tmp_path)).distinct().count() == 30_000
+    assert len(list(Path(seen[0].removeprefix("file:")).rglob("*.json"))) == 10
+
+
 def test_archives_of_unlike_headers(spark, tmp_path):
     import zipfile
     for name, text in (("a", "k,v\n1,2\n"), ("b", "v,w,k\n5,6,4\n")):
