@@ -15,11 +15,16 @@ from ..operators.shape import name_year_rows
 
 def stream_name_year_sums(spark: SparkSession, folder: str, schema: str, entity: str, date: str, value: str,
                           file_format: str = "csv", files_per_trigger: int = 100, **options: str) -> DataFrame:
-    """Streaming (entity, date) sums over the files of a folder. State holds one row per pair, not the input."""
+    """Streaming (entity, date) sums over the files of a folder. State holds one row per pair, not the input.
+
+    Cells are dealt out to all cores before they are parsed, which takes longer than reading: a batch may be one file that cannot
+    be split.
+    """
     reader = spark.readStream.format(file_format).schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if file_format == "csv":
         options = {"header": "true", "quote": '"', "escape": '"', **options}
-    rows = reader.options(**options).load(folder)
+    rows = reader.options(**options).load(folder).select(*dict.fromkeys((entity, date, value)))
+    rows = rows.repartition(2 * spark.sparkContext.defaultParallelism)
     return name_year_rows(rows, entity, date, value).groupBy("entity", "date").agg(F.sum("value").alias("value"))
 
 

@@ -26,6 +26,17 @@ def test_stream_sums_equal_batch_sums(spark, tmp_path):
     assert later == {tuple(r) for r in batch.collect()} == {("Ann Lee", "2001", 1510.0), ("Bob Ray", "2001", 17.0)}
 
 
+def test_one_file_of_a_stream_is_parsed_by_all_cores(spark, tmp_path, capsys):
+    src, schema = str(tmp_path / "in"), "who string, day string, amount string"
+    spark.createDataFrame([("Ann", "2001-01-02", "2"), ("Ann", "2001-03-04", "3"), (None, "2001", "1"), ("Bob", None, "1")], schema).coalesce(1).write.parquet(src)
+    sums = stream_name_year_sums(spark, src, schema, "who", "day", "amount", "parquet")
+    write_current_tables(sums, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+    assert [tuple(r) for r in read_current(spark, str(tmp_path / "out")).collect()] == [("Ann", "2001", 5.0)]
+    sums.explain()
+    plan = capsys.readouterr().out
+    assert plan.rindex("regexp") < plan.index("RoundRobinPartitioning")  # what stands higher in the plan comes later
+
+
 def test_live_leaderboard(spark, tmp_path):
     src = str(tmp_path / "obs")
     obs = spark.createDataFrame([(0, "A", "2000", 1.0), (1, "B", "2000", 2.0), (2, "A", "2000", 3.0), (3, "C", "2001", 1.0)], "ord long, entity string, date string, value double")
