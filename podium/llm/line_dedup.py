@@ -24,6 +24,8 @@ SHINGLE = 5
 _MASK = (1 << 8 * SHINGLE) - 1
 _MARK_BITS = 27
 _LEAST_BITS = 128  # of the bitmaps that are compared before two lines become suspects
+_TOGETHER = 8  # lines of a bucket of which every pair is a row
+_PAIR = np.dtype([("key", "<u4"), ("node", "<u8")])
 _EDGE = np.isin(np.arange(256), [9, 11, 12, 13, 32])
 
 
@@ -179,8 +181,22 @@ def _lines(column: pa.Array) -> tuple:
     return flat, starts, text, a[live], b[live], live
 
 
-def _fresh(column: pa.Array, least: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(all bytes, starts, ends, nodes, what was seen lately) of lines of ``least`` bytes or more, but for copies of those seen lately.
+class _Seen:
+    """The nodes met lately, in ascending order; beyond ``limit`` it starts anew."""
+
+    def __init__(self, limit: int = 200_000) -> None:
+        self.limit, self.nodes = limit, np.zeros(0, np.uint64)
+
+    def add(self, nodes: np.ndarray) -> np.ndarray:
+        """Which of the ascending, distinct ``nodes`` are new; they are remembered."""
+        at = np.searchsorted(self.nodes, nodes)
+        new = self.nodes[np.minimum(at, len(self.nodes) - 1)] != nodes if len(self.nodes) else np.ones(len(nodes), bool)
+        self.nodes = nodes[new] if len(self.nodes) > self.limit else np.insert(self.nodes, at[new], nodes[new])
+        return new
+
+
+def _fresh(column: pa.Array, least: int, seen: _Seen) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, starts, ends, nodes) of lines of ``least`` bytes or more, but for copies of those seen lately.
 
     Copies are one node, so any of them will do.
     """
@@ -188,63 +204,171 @@ def _fresh(column: pa.Array, least: int, seen: np.ndarray) -> tuple[np.ndarray,
     long = np.flatnonzero(b - a >= least)
     h1 = span_hashes(flat, a[long], b[long])
     new, first = np.unique(h1, return_index=True)
-    first = np.sort(first[~np.isin(new, seen, assume_unique=True)])
-    return flat, a[long[first]], b[long[first]], h1[first], np.concatenate([seen, h1[first]])[-200_000:]
+    first = np.sort(first[seen.add(new)])
+    return flat, a[long[first]], b[long[first]], h1[first]
+
+
+def _dealt(keys: np.ndarray, nodes: np.ndarray, cells: int) -> pa.RecordBatch:
+    """(cell, pairs): the keys and their nodes, a row per cell of keys. 32 bits stand for a key in its cell."""
+    cell = ((keys >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.uint16)
+    order = np.argsort(cell, kind="stable")
+    pairs = np.empty(len(keys), _PAIR)
+    pairs["key"], pairs["node"] = keys[order].astype(np.uint32), nodes[order]
+    cell = cell[order]
+    cut = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    at = np.append(cut, len(cell)).astype(np.int32) * np.int32(_PAIR.itemsize)
+    body = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(at), pa.py_buffer(pairs)])
+    return pa.RecordBatch.from_arrays([pa.array(cell[cut].astype(np.int32)), body], names=["cell", "pairs"])
+
+
+def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, nodes) of rows as ``_dealt`` makes them; a key is its cell's number and its 32 bits."""
+    body = batch["pairs"]
+    at = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1] // _PAIR.itemsize
+    pairs = np.frombuffer(body.buffers()[2], _PAIR, at[-1])[at[0] :]
+    return np.repeat(batch["cell"].to_numpy().astype(np.int64) << 32, np.diff(at)) | pairs["key"], pairs["node"]
+
+
+class Buckets:
+    """Finds the buckets of two or more nodes among (key, node) that come in the order of their cells.
+
+    Whole cells are looked at together, about ``limit`` keys at a time. Of a cell with more than that, nodes of shared keys are told at once and
+    each key is kept with one node, so memory is bounded by the distinct keys of a cell, however large a bucket is.
+    """
+
+    def __init__(self, limit: int = 1 << 20) -> None:
+        self.limit = limit
+        self.key, self.node, self.told = [], [], []
+        self.rows = 0
+
+    def add(self, key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self._hold(key, node, np.zeros(len(key), bool))
+        if self.rows >= self.limit:
+            held = self._take()
+            ready = held[0] >> 32 < key[-1] >> 32
+            yield from self._tell(*(x[ready] for x in held), whole=True)
+            held = [x[~ready] for x in held]
+            if len(held[0]) >= self.limit:
+                yield from self._tell(*held, whole=False)
+                self.limit = max(self.limit, 2 * self.rows)  # distinct keys: look again when as many have come
+            else:
+                self._hold(*held)
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            yield from self._tell(*self._take(), whole=True)
+
+    def _hold(self, key: np.ndarray, node: np.ndarray, told: np.ndarray) -> None:
+        self.key.append(key)
+        self.node.append(node)
+        self.told.append(told)
+        self.rows += len(key)
+
+    def _take(self) -> list[np.ndarray]:
+        out = [np.concatenate(x) for x in (self.key, self.node, self.told)]
+        self.key, self.node, self.told, self.rows = [], [], [], 0
+        return out
+
+    def _tell(self, key: np.ndarray, node: np.ndarray, told: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        alone = order[~(np.append(same, False) | np.append(False, same))]
+        some = order[np.append(same, False) | np.append(False, same)]  # few: only these are ordered by node
+        some = some[np.lexsort((~told[some], node[some].view(np.int64), key[some]))]
+        k, n, t = key[some], node[some].view(np.int64), told[some]
+        once = np.append(True, (k[1:] != k[:-1]) | (n[1:] != n[:-1]))[: len(k)]  # each node of a key once
+        k, n, t = k[once], n[once], t[once]
+        cut = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)]), len(k))
+        size = np.diff(cut)
+        if not whole:  # one node of each key stays: the lone one, or the first of those that are told
+            first = cut[:-1]
+            self._hold(np.append(key[alone], k[first]), np.append(node[alone], n[first].view(np.uint64)), np.append(told[alone], t[first] | (size > 1)))
+        crowd = np.repeat((size > 1) & (np.logical_or.reduceat(t, cut[:-1]) if len(k) else False) | (size > 1) & (not whole), size)
+        size = np.repeat(size, size)
+        out = [(k[i], None, n[i], None) for i in [np.flatnonzero(crowd & ~t)]]
+        out += [(k[i], size[i], n[i], None) for i in [np.flatnonzero(~crowd & (size > _TOGETHER))]] if whole else []
+        few = ~crowd & (size <= _TOGETHER)
+        for step in range(1, min(_TOGETHER, len(k)) if whole else 0):
+            i = np.flatnonzero(few[step:] & (k[step:] == k[: len(k) - step]))
+            out.append((None, None, n[i], n[i + step]))
+        for columns in out:
+            rows = len(columns[2])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], names=["key", "size", "a", "b"])
 
 
 def _meetings(texts: DataFrame, least: int) -> DataFrame:
-    """(key, node): the band keys that two or more lines have, and these lines."""
+    """(key, size, a, b): the buckets of two or more lines, by band key. Of up to _TOGETHER lines, each pair is a row: a and b.
+
+    Lines of larger ones are rows with key, size and a. The size is null where it has to be counted yet.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = min(64 * parts, 1 << 16)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
+        seen, keys, nodes, rows = _Seen(), [], [], 0
         for batch in slices(batches, 512, 1 << 20):
-            flat, a, b, node, seen = _fresh(batch["text"], least, seen)
-            yield pa.RecordBatch.from_arrays([pa.array(band_keys(flat, a, b).ravel()), pa.array(np.repeat(node.view(np.int64), BANDS))], names=["key", "node"])
+            flat, a, b, node = _fresh(batch["text"], least, seen)
+            keys.append(band_keys(flat, a, b).ravel().view(np.uint64))
+            nodes.append(np.repeat(node, BANDS))
+            rows += len(keys[-1])
+            if rows >= 1 << 20:
+                yield _dealt(np.concatenate(keys), np.concatenate(nodes), cells)
+                keys, nodes, rows = [], [], 0
+        if rows:
+            yield _dealt(np.concatenate(keys), np.concatenate(nodes), cells)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of sorted (key, node), those whose key has another node. Only the last row is held, however large a bucket is."""
-        key, node, told = None, 0, False
+        buckets = Buckets()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, n = batch["key"].to_numpy(), batch["node"].to_numpy()
-            if key is not None:
-                k, n = np.append(key, k), np.append(node, n)
-            new = np.append(True, (k[1:] != k[:-1]) | (n[1:] != n[:-1]))  # each node of a key once
-            k, n = k[new], n[new]
-            same = k[1:] == k[:-1]
-            shared = np.append(same, False) | np.append(False, same)
-            out = shared.copy()
-            out[0] &= not told
-            told = bool(shared[-1]) if len(k) > 1 else told
-            key, node = k[-1], n[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array(n[out])], names=["key", "node"])
-
-    keys = texts.mapInArrow(sign, "key bigint, node bigint")
-    # A line has one key per band, so a bucket that a third of all lines fall into is a sixtieth of these rows.
-    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "key bigint, node bigint")
-
-
-def _suspects(texts: DataFrame, met: DataFrame, least: int, percent: int) -> DataFrame:
-    """(a, b): links within buckets between lines that may be similar, as stars. No similar pair of a bucket is lost.
-
-    What their bitmaps rule out is not similar; the others of a bucket that are connected are linked with its first one.
+            if batch.num_rows:
+                yield from buckets.add(*_pairs(batch))
+        yield from buckets.close()
+
+    keys = texts.mapInArrow(sign, "cell int, pairs binary")
+    return keys.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "key bigint, size bigint, a bigint, b bigint")
+
+
+def _suspects(stages: Stages, texts: DataFrame, met: DataFrame, least: int, percent: int) -> DataFrame:
+    """(a, b): links within buckets between lines that may be similar. No similar pair of a bucket is lost.
+
+    What their bitmaps rule out is not similar. Pairs of small buckets are compared once, in however many buckets they meet; the members of a
+    larger one that are connected are linked with its first one.
     """
-    wanted = _marks(met)
+    pairs = stages.write(met.filter("b IS NOT NULL").select("a", "b").distinct(), "pairs")
+    large = met.filter("b IS NULL").select("key", "size", F.col("a").alias("node"))
+    wanted = _marks(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
+        seen = _Seen()
         for batch in slices(batches, 512, 1 << 20):
-            flat, a, b, node, seen = _fresh(batch["text"], least, seen)
+            flat, a, b, node = _fresh(batch["text"], least, seen)
             some = _marked(wanted.value, node)
             a, b, node = a[some], b[some], node[some]
             n, bits = sketches(flat, a, b)
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(n), bits], names=["node", "n", "bits"])
 
-    drawn = texts.mapInArrow(sketch, "node bigint, n bigint, bits binary").join(met.select("node").distinct().hint("shuffle_hash"), "node")
-    drawn = drawn.groupBy("node").agg(F.max("n").alias("n"), F.first("bits").alias("bits"))
-    size = dealt_anew(met.groupBy("key").agg(F.count("*").alias("size")), "key")
-    rows = blocked(met.join(size.hint("merge"), "key"), "key", "node", "size").join(drawn.hint("merge"), "node")
+    # Tasks send few copies of their own, so they are not sorted before the shuffle.
+    drawn = texts.mapInArrow(sketch, "node bigint, n bigint, bits binary").repartition("node").groupBy("node").agg(F.max("n").alias("n"), F.first("bits").alias("bits"))
+    drawn = stages.write(drawn, "drawn")
+
+    def compare_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1 << 14, 8 << 20):
+            rows = batch.num_rows
+            two = Sketches(np.append(batch["n_a"], batch["n_b"]), pa.concat_arrays([batch["bits_a"], batch["bits_b"]]), percent)
+            near = np.flatnonzero(two.near(np.arange(rows), np.arange(rows) + rows))
+            yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(near)), batch["b"].take(pa.array(near))], names=["a", "b"])
+
+    for side in ("a", "b"):
+        pairs = pairs.join(drawn.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    close = pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(compare_pairs, "a bigint, b bigint")
+
+    uncounted = large.filter("size IS NULL").select("key", "node").distinct()
+    size = dealt_anew(uncounted.groupBy("key").agg(F.count("*").alias("size")), "key")
+    large = large.filter("size IS NOT NULL").unionByName(uncounted.join(size.hint("merge"), "key"))
+    rows = blocked(large, "key", "node", "size").join(drawn.hint("merge"), "node")
     order = ["key", "_i", "_j"]
     laid = rows.select(*order, "node", "n", "bits").repartition(*order).sortWithinPartitions(*order, "node")
 
@@ -259,7 +383,7 @@ def _suspects(texts: DataFrame, met: DataFrame, least: int, percent: int) -> Dat
             some = np.flatnonzero(root != np.arange(len(root)))
             yield pa.RecordBatch.from_arrays([pa.array(node[root[some]]), pa.array(node[some])], names=["a", "b"])
 
-    return laid.mapInArrow(compare, "a bigint, b bigint").distinct()
+    return close.unionByName(laid.mapInArrow(compare, "a bigint, b bigint")).distinct()
 
 
 def _marked(marks: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -312,26 +436,26 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                              names=["doc_id", "k1", "k2", "n_lines", "number", "h1", "h2"])
 
     met = stages.write(_meetings(read.select("text"), least), "met")
-    suspects = stages.write(_suspects(read.select("text"), met, least, percent), "suspects")
-    stages.drop("met")
+    suspects = stages.write(_suspects(stages, read.select("text"), met, least, percent), "suspects")
+    stages.drop("met", "pairs", "drawn")
     families = components(suspects, "line-dedup-families").select("node", F.col("root").alias("family"))
     families = stages.write(families, "families")
 
     wanted = _marks(families)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
+        seen = _Seen()
         for batch in slices(batches, 512, 1 << 20):
-            flat, a, b, node, seen = _fresh(batch["text"], least, seen)
+            flat, a, b, node = _fresh(batch["text"], least, seen)
             some = _marked(wanted.value, node)
             a, b, node = a[some], b[some], node[some]
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), strings(flat[places(a, b - a)], bounds(b - a))], names=["node", "text"])
 
     # A line's text travels only to meet the list of suspects; the list is the build side, as it is narrow and has each node once.
     found = read.select("text").mapInArrow(texts, "node bigint, text string").join(families.hint("shuffle_hash"), "node")
-    members = found.groupBy("node", "family").agg(F.first("text").alias("text"))
+    members = stages.write(found.groupBy("node", "family").agg(F.first("text").alias("text")), "members")
     links = stages.write(confirm(members, line_sets, percent), "links")
-    stages.drop("suspects", "families")
+    stages.drop("suspects", "families", "members")
     roots = stages.write(components(links, "line-dedup-components"), "roots")
     stages.drop("links")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from podium.llm import hamming, line_dedup, queries
+from podium.llm import components as components_module, hamming, line_dedup, queries
 from podium.llm.components import components
 from podium.llm.decontamination import drop_hits
 from podium.llm.exact_dedup import exact_dedup
@@ -297,3 +297,45 @@ def test_columns_of_any_name_keep_their_values(spark):
         for r in out.collect():
             assert [r[c] for c in INTERNAL] == [r.doc_id * 100 + n for n in range(len(INTERNAL))]
     assert drop_lines(df).count() == 4
+
+
+def test_buckets_are_found_in_a_stream():
+    """Buckets of any size, also of cells larger than what is held at a time, from rows that come cell by cell, a third of them copies."""
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 63, 900, dtype=np.uint64) * np.uint64(2)
+    keys = np.concatenate([keys, keys[:150], np.repeat(keys[150:160], 7), np.repeat(keys[160], 300)])
+    nodes = rng.integers(0, 1 << 63, len(keys), dtype=np.uint64)
+    keys, nodes = np.append(keys, keys[::3]), np.append(nodes, nodes[::3])
+    for cells, limit in ((64, 1 << 20), (64, 40), (1, 100)):
+        parts = [line_dedup._dealt(keys[i::3], nodes[i::3], cells) for i in range(3)]
+        rows = pa.Table.from_batches(parts).sort_by("cell").to_batches(max_chunksize=5)
+        buckets = line_dedup.Buckets(limit)
+        got = [r for b in rows for x in buckets.add(*line_dedup._pairs(b)) for r in x.to_pylist()]
+        got += [r for x in buckets.close() for r in x.to_pylist()]
+        want = {}
+        for k, n in zip(keys.tolist(), nodes.view(np.int64).tolist()):
+            want.setdefault(k, set()).add(n)
+        want = {frozenset(x) for x in want.values() if len(x) > 1}
+        large, pairs = {}, set()
+        for r in got:
+            if r["b"] is None:
+                large.setdefault(r["key"], set()).add(r["a"])
+                assert r["size"] is None or r["size"] > line_dedup._TOGETHER
+            else:
+                pairs.add(frozenset((r["a"], r["b"])))
+        together = {frozenset(p) for x in want if len(x) <= line_dedup._TOGETHER for p in combinations(x, 2)}
+        told = {frozenset(x) for x in large.values()}
+        assert {x for x in want if len(x) > line_dedup._TOGETHER} <= told <= want
+        assert together == pairs | {frozenset(p) for x in told if len(x) <= line_dedup._TOGETHER for p in combinations(x, 2)}
+        if limit == 1 << 20:
+            assert all(len(x) > line_dedup._TOGETHER for x in told) and all(r["size"] == len(large[r["key"]]) for r in got if r["b"] is None)
+
+
+def test_small_graphs_end_in_one_task(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 90), (7, 7), (-5, 60), (60, 61)]
+    want = {i: 0 for i in range(41)} | {100: 90, 95: 90, 90: 90} | {-5: -5, 60: -5, 61: -5}
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    for held in (components_module._HELD, 0):
+        monkeypatch.setattr(components_module, "_HELD", held)
+        assert {r.node: r.root for r in components_module.components(frame).collect()} == want
+    assert components_module.components(frame.filter("a = b")).count() == 0
