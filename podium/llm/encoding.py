@@ -98,16 +98,21 @@ class StretchTable:
 
     def rows(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The table row of each stretch; unknown ones are encoded and added first."""
-        keys, first, back = np.unique(span_hashes(flat, starts, ends, lower=False), return_index=True, return_inverse=True)
+        found = pa.array(span_hashes(flat, starts, ends, lower=False)).dictionary_encode()
+        keys, back = found.dictionary.to_numpy(), found.indices.to_numpy()
         at, known = self._find(keys)
         if not known.all():
             if len(self.keys) + len(keys) > self.limit:
                 self._reset()
                 known[:] = False
-            text, of = flat.tobytes(), first[~known]
-            self.add(keys[~known], [text[a:b] for a, b in zip(starts[of].tolist(), ends[of].tolist())])
+            first = np.empty(len(keys), np.int64)
+            first[back[::-1]] = np.arange(len(back))[::-1]
+            new = np.flatnonzero(~known)
+            new = new[np.argsort(keys[new])]
+            text, of = flat.tobytes(), first[new]
+            self.add(keys[new], [text[a:b] for a, b in zip(starts[of].tolist(), ends[of].tolist())])
             at = np.searchsorted(self.keys, keys)
-        return at[back.reshape(-1)]
+        return at[back]
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the stretches one after another, position of each stretch and the end)."""

@@ -28,23 +28,45 @@ class Shard:
         terms = np.concatenate([t for t, _ in texts]).astype(np.int64)
         owner = np.repeat(np.arange(len(units)), [len(t) for t, _ in texts])
         order = np.lexsort((owner, terms))
-        self.term, self.unit, tf = terms[order], owner[order].astype(np.int32), np.concatenate([n for _, n in texts])[order].astype(np.int64)
+        self.term, self.unit, tf = terms[order], owner[order], np.concatenate([n for _, n in texts])[order].astype(np.int64)
         norm = k1 * (1 - b + b * lengths / max(mean_length, 1.0))
         self.weight = idf[self.term] * tf * (k1 + 1) / (tf + norm[self.unit])
         self.names, self.begin = np.unique(self.term, return_index=True)
-        self.begin = np.append(self.begin, len(self.term))
+        self.begin, self.gone = np.append(self.begin, len(self.term)), 0
         # All terms of each unit, as places in ``names``: what it asks for when it opens a window.
         self.queries = [np.searchsorted(self.names, t) for t, _ in texts]
 
+    def scores(self, n: int) -> np.ndarray:
+        """BM25 score of each unit for all terms of the seed."""
+        spans = [slice(i, j) for i, j in zip(self.begin[self.queries[n]].tolist(), self.begin[self.queries[n] + 1].tolist()) if i < j]
+        if not spans:
+            return np.zeros(len(self.units))
+        return np.bincount(np.concatenate([self.unit[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.units))
+
     def neighbours(self, n: int) -> np.ndarray:
         """Units that share a term with the seed, best first; ties go to the earlier unit."""
-        spans = [slice(self.begin[t], self.begin[t + 1]) for t in self.queries[n]]
-        if not spans:
-            return np.zeros(0, np.int64)
-        scores = np.bincount(np.concatenate([self.unit[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.units))
+        scores = self.scores(n)
         found = np.flatnonzero(scores)
         return found[np.argsort(-scores[found], kind="stable")]
 
+    def following(self, n: int, used: np.ndarray) -> Iterator[int]:
+        """The neighbours that are not ``used`` yet, in the same order. Few are taken, so they are not sorted."""
+        self._without(used)
+        scores = self.scores(n)
+        scores[used] = 0
+        while scores[best := int(np.argmax(scores))] > 0:
+            scores[best] = 0
+            yield best
+
+    def _without(self, used: np.ndarray) -> None:
+        """Used units leave the postings when they are an eighth of those in them."""
+        gone = int(used.sum())
+        if 8 * (gone - self.gone) < len(used) - self.gone:
+            return
+        keep, self.gone = ~used[self.unit], gone
+        self.begin = np.concatenate([[0], np.cumsum(keep)])[self.begin]
+        self.unit, self.weight = self.unit[keep], self.weight[keep]
+
 
 def fill(shard: Shard, window: int, last: bool) -> Iterator[list[tuple[np.ndarray, tuple]]]:
     """Windows as lists of (ids, what is known of the piece). Units that do not fill a window at the end are yielded only if ``last``.
@@ -74,7 +96,7 @@ def fill(shard: Shard, window: int, last: bool) -> Iterator[list[tuple[np.ndarra
             if not free or rest:
                 break
             if not asked:
-                found, asked = iter(shard.neighbours(seed).tolist()), True
+                found, asked = shard.following(seed, used), True
             following = next((i for i in found if not used[i]), None)
             if following is None:
                 while at < len(units) and used[at]:
@@ -111,13 +133,16 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
             ids, at = tool.column(batch["text"])
             ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
             sums, rests, terms, counts = [], [], [], []
-            for i, j in zip(at.tolist(), at[1:].tolist()):
+            # The distinct ids of all texts of the slice at once, each with its text's number.
+            both, many = np.unique(np.repeat(np.arange(batch.num_rows) << 32, np.diff(at)) | ids, return_counts=True)
+            term, many = (both & 0xFFFFFFFF).astype(ids.dtype), many.astype("<u4")
+            cut = np.searchsorted(both, np.arange(batch.num_rows + 1) << 32).tolist()
+            for i, j, c, d in zip(at.tolist(), at[1:].tolist(), cut, cut[1:]):
                 whole = (j - i) // window * window
                 sums.append([zlib.crc32(ids[k : k + window].astype("<u4")) for k in range(i, i + whole, window)])
                 rests.append(ids[i + whole : j].tobytes())
-                term, count = np.unique(ids[i:j], return_counts=True)
-                terms.append(term.tobytes())
-                counts.append(count.astype("<u4").tobytes())
+                terms.append(term[c:d].tobytes())
+                counts.append(many[c:d].tobytes())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(at)), pa.array(sums, pa.list_(pa.int64())), pa.array(rests, pa.binary()),
                                               pa.array(terms, pa.binary()), pa.array(counts, pa.binary()), pa.array([ids.itemsize] * batch.num_rows, pa.int32())],
                                              names=["doc_id", "n", "sums", "rest", "terms", "counts", "width"])

@@ -233,3 +233,19 @@ def test_packing_finds_neighbours_in_other_tasks_and_by_any_term(spark, vocabula
     idf = np.linspace(2, 1, 200)
     shard = Shard([unit(0, range(60)), unit(1, range(100, 160)), unit(2, range(30, 60))], idf, 60, 1.2, 0.75)
     assert shard.neighbours(0).tolist() == [0, 2]
+
+
+def test_neighbours_are_taken_from_what_is_left():
+    """Taken one by one, while units are used up and leave the postings, they come as the whole ranking has them, ties included."""
+    from podium.llm.packing import Shard
+
+    rng = np.random.default_rng(8)
+    texts = [np.unique(rng.zipf(1.4, 60).clip(max=400)) for _ in range(90)]
+    units = [(np.zeros(1, np.uint16), (i, 0, len(t), t.astype(np.uint16), np.ones(len(t), np.uint32))) for i, t in enumerate([*texts, *texts[:30], np.array([500])])]
+    whole, shard = (Shard(units, np.linspace(2, 1, 600), 30, 1.2, 0.75) for _ in range(2))
+    used, postings = np.zeros(len(units), bool), len(shard.unit)
+    for seed in rng.permutation(len(units)).tolist():
+        used[seed] = True
+        want = [i for i in whole.neighbours(seed).tolist() if not used[i]]
+        assert list(shard.following(seed, used)) == want
+    assert len(shard.unit) < postings / 4
